@@ -192,8 +192,8 @@ def _markdown_lines() -> list[Column]:
         F.lit(""),
         F.concat(F.lit("- Route: "), F.col("route_type")),
         F.concat(F.lit("- Strategies: "), _strategy_list("baseline")),
-        F.format_string("- Pure FPS: %.2f", _metric("fps", "pure")),
-        F.format_string("- E2E FPS: %.2f", _metric("fps", "e2e")),
+        F.concat(F.lit("- Pure FPS: "), _metric("fps", "pure").cast("string")),
+        F.concat(F.lit("- E2E FPS: "), _metric("fps", "e2e").cast("string")),
         F.lit(""),
     ]
 

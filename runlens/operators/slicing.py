@@ -112,19 +112,21 @@ def with_position(
     order: list[str],
     name: str = "position",
     rows_per_slice: int = ROWS_PER_SLICE,
+    tie: list[str] | None = None,
 ) -> DataFrame:
     """1-based row number per key.
 
-    The last column of ``order`` must be unique inside (keys, the other order
-    columns) and numeric or temporal; the columns before it may repeat freely.
+    Large groups are cut along the last column of ``order``, which is numeric or temporal;
+    the columns before it may repeat freely. ``order`` with ``tie`` is unique per key.
     """
+    tie = tie or []
     keyed, keys = with_keys(df, keys)
     if not has_large_group(keyed, keys, rows_per_slice):
-        whole = Window.partitionBy(*keys).orderBy(*order)
+        whole = Window.partitionBy(*keys).orderBy(*order, *tie)
         return keyed.withColumn(name, F.row_number().over(whole).cast("bigint")).drop("_all")
     *prefix, last = order
     sliced = with_slice(keyed, keys + prefix, last, rows_per_slice)
-    numbered = with_running(sliced, keys, [last], F.lit(1).cast("bigint"), name, prefix)
+    numbered = with_running(sliced, keys, [last, *tie], F.lit(1).cast("bigint"), name, prefix)
     return numbered.drop("_slice", "_all")
 
 
