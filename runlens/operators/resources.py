@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.measures import positive_only
 
 
-def resource_stats(
-    df: DataFrame, keys: list[str], order: list[str], with_accelerator: bool = True
-) -> DataFrame:
-    """Averages and extremes over samples that were taken, plus the newest memory reading.
-
-    Every aggregate combines on the map side, so a run of any size costs one row per task.
-    The accelerator block is null when no sample of the run saw it in use.
-    """
+def resource_aggregates(columns: list[str], order: list[str]) -> list[Column]:
+    """The aggregates of ``resource_stats``; usable on batch and streaming groups alike."""
     zero = F.lit(0.0)
     cpu = positive_only(F.col("cpu_percent"))
     memory = positive_only(F.col("memory_percent"))
     used = positive_only(F.col("npu_utilization"))
     at = F.struct(*order)
     micros = F.unix_micros(F.col(order[0]).cast("timestamp"))
-    optional = [c for c in ("npu_memory_used_mb", "npu_memory_total_mb") if c in df.columns]
-    found = df.groupBy(*keys).agg(
+    card = [
+        F.max_by(c, at).alias(alias)
+        for c, alias in (
+            ("npu_memory_used_mb", "current_memory_mb"),
+            ("npu_memory_total_mb", "total_memory_mb"),
+        )
+        if c in columns
+    ]
+    return [
         F.count(F.lit(1)).alias("samples"),
         ((F.max(micros) - F.min(micros)) / F.lit(1e6)).alias("duration_seconds"),
         F.struct(
@@ -43,11 +44,19 @@ def resource_stats(
                 F.avg(used).alias("avg_utilization"),
                 F.max(used).alias("max_utilization"),
                 F.min(used).alias("min_utilization"),
-                *[
-                    F.max_by(c, at).alias(alias)
-                    for c, alias in zip(optional, ("current_memory_mb", "total_memory_mb"))
-                ],
+                *card,
             ),
         ).alias("npu"),
-    )
+    ]
+
+
+def resource_stats(
+    df: DataFrame, keys: list[str], order: list[str], with_accelerator: bool = True
+) -> DataFrame:
+    """Averages and extremes over samples that were taken, plus the newest memory reading.
+
+    Every aggregate combines on the map side, so a run of any size costs one row per task.
+    The accelerator block is null when no sample of the run saw it in use.
+    """
+    found = df.groupBy(*keys).agg(*resource_aggregates(df.columns, order))
     return found if with_accelerator else found.drop("npu")
