@@ -186,16 +186,23 @@ def _walk(start: Column) -> Column:
     return walked["seen"]
 
 
-def _trace(maps: DataFrame, keys: list[str], start: int) -> DataFrame:
-    """(keys, idx, before, after) for maps numbered 0, 1, 2 ... per key."""
+def _trace(maps: DataFrame, keys: list[str], starts: DataFrame | None, default: int) -> DataFrame:
+    """(keys, idx, before, after) for maps numbered 0, 1, 2 ... per key.
+
+    ``starts`` holds ``start`` for keys that do not begin with ``default``.
+    """
     if not has_large_group(maps, keys, _STEPS_PER_BLOCK):
-        walked = _blocks(maps, keys).select(*keys, F.explode(_walk(F.lit(start))).alias("_s"))
-        return walked.select(*keys, "_s.*")
+        blocks = _blocks(maps, keys)
+        start = F.lit(default)
+        if starts is not None:
+            blocks = null_safe_join(blocks, starts, keys, "left")
+            start = F.coalesce("start", start)
+        return blocks.select(*keys, F.explode(_walk(start)).alias("_s")).select(*keys, "_s.*")
     numbered = maps.withColumn("_block", F.floor(F.col("idx") / _STEPS_PER_BLOCK))
     blocks = checkpointed(_blocks(numbered, keys + ["_block"]))
     folded = F.aggregate("fs", _step_map(0, -_FREE, _FREE), lambda acc, e: _compose(acc, e["f"]))
     upper = blocks.select(*keys, F.col("_block").alias("idx"), folded.alias("f"))
-    entries = _trace(upper, keys, start).select(
+    entries = _trace(upper, keys, starts, default).select(
         *keys, F.col("idx").alias("_block"), F.col("before").alias("_entry")
     )
     walked = null_safe_join(blocks, entries, keys + ["_block"], "inner").select(
@@ -204,6 +211,25 @@ def _trace(maps: DataFrame, keys: list[str], start: int) -> DataFrame:
     return walked.select(*keys, "_s.*")
 
 
+def latency_steps(
+    numbered: DataFrame, keys: list[str], latency: str, low: int, high: int, every: int
+) -> DataFrame:
+    """The adjustment after every full group of ``every`` rows, from rows with ``_pos``."""
+    mean = F.avg(latency)
+    return (
+        numbered.groupBy(*keys, F.floor((F.col("_pos") - 1) / every).alias("idx"))
+        .agg(
+            F.when(mean < 0.01, _step_map(1, -_FREE, high))
+            .when(mean > 0.05, _step_map(-1, low, _FREE))
+            .otherwise(_step_map(0, -_FREE, _FREE))
+            .alias("f"),
+            F.count(F.lit(1)).alias("_n"),
+        )
+        .filter(F.col("_n") == every)
+        .drop("_n")
+    )
+
+
 def adaptive_batch_trace(
     df: DataFrame,
     keys: list[str],
@@ -213,25 +239,15 @@ def adaptive_batch_trace(
     low: int = 1,
     high: int = 16,
     every: int = 10,
+    starts: DataFrame | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Batch size after every ``every`` latencies.
 
     A mean below 10 ms grows the size by one, above 50 ms shrinks it by one, within bounds.
+    ``starts`` may give other first sizes per key (column ``start``).
     """
     numbered = with_position(df.select(*keys, order, latency), keys, [order], "_pos", rows_per_slice)
-    mean = F.col("avg_latency")
-    steps = (
-        numbered.withColumn("idx", F.floor((F.col("_pos") - 1) / every))
-        .groupBy(*keys, "idx")
-        .agg(F.avg(latency).alias("avg_latency"), F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") == every)
-        .withColumn(
-            "f",
-            F.when(mean < 0.01, _step_map(1, -_FREE, high))
-            .when(mean > 0.05, _step_map(-1, low, _FREE))
-            .otherwise(_step_map(0, -_FREE, _FREE)),
-        )
-    )
-    sizes = _trace(steps.select(*keys, "idx", "f"), keys, start)
+    steps = latency_steps(numbered, keys, latency, low, high, every)
+    sizes = _trace(steps, keys, starts, start)
     return sizes.select(*keys, F.col("idx").alias("step"), F.col("after").alias("batch_size"))

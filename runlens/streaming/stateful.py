@@ -1,114 +1,20 @@
-"""Streaming operators that keep state per key.
-
-The state of a key is a few numbers (or the parts of one open batch). Rows of one trigger reach
-a processor in any order, so ordered operators sort the trigger's rows of a key by the order
-column; bound the trigger with ``maxFilesPerTrigger``.
-"""
+"""Streaming reassembly of batches from their parts."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
-class _WarmupDrop(StatefulProcessor):
-    """Drops the first rows of a key; holds back at most that many rows at a time."""
-
-    def __init__(self, order: str, n: int):
-        self.order, self.n = order, max(1, n)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n int")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        done = self.seen.get()[0] if self.seen.exists() else 0
-        missing = self.n - done
-        if missing <= 0:
-            yield from rows
-            return
-        held = None
-        for batch in rows:
-            held = batch if held is None else pd.concat([held, batch])
-            held = held.sort_values(self.order, kind="stable")
-            rest, held = held.iloc[missing:], held.iloc[:missing]
-            if len(rest):
-                yield rest
-        self.seen.update((done + (0 if held is None else len(held)),))
-
-    def close(self) -> None:
-        pass
-
-
-def live_warmup_drop(stream: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
-    """The stream without the first ``n`` rows (at least one) of every run."""
-    return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_WarmupDrop(order, n),
-        outputStructType=stream.schema,
-        outputMode="Append",
-        timeMode="None",
-    )
-
-
-class _AdaptiveSize(StatefulProcessor):
-    """Keeps the size, the step number and the unfinished group of latencies of a key."""
-
-    def __init__(self, keys, order, latency, start, low, high, every):
-        self.keys, self.order, self.latency = keys, order, latency
-        self.start, self.low, self.high, self.every = start, low, high, every
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "size int, step long, open array<double>")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        size, step, pending = self.state.get() if self.state.exists() else (self.start, 0, [])
-        arrived = pd.concat([b[[self.order, self.latency]] for b in rows])
-        arrived = arrived.sort_values(self.order, kind="stable")
-        values = [*pending, *arrived[self.latency].tolist()]
-        full = len(values) // self.every
-        out = []
-        for i in range(full):
-            mean = sum(values[i * self.every : (i + 1) * self.every]) / self.every
-            if mean < 0.01:
-                size = min(size + 1, self.high)
-            elif mean > 0.05:
-                size = max(size - 1, self.low)
-            out.append((*key, step + i, size))
-        self.state.update((size, step + full, values[full * self.every :]))
-        yield pd.DataFrame(out, columns=[*self.keys, "step", "batch_size"])
-
-    def close(self) -> None:
-        pass
-
-
-def live_adaptive_batch(
-    stream: DataFrame,
-    keys: list[str],
-    order: str,
-    latency: str,
-    start: int = 4,
-    low: int = 1,
-    high: int = 16,
-    every: int = 10,
-) -> DataFrame:
-    """The batch size after every ``every`` latencies of a run."""
-    schema = T.StructType(
-        [stream.schema[k] for k in keys]
-        + [T.StructField("step", T.LongType()), T.StructField("batch_size", T.LongType())]
-    )
-    return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_AdaptiveSize(keys, order, latency, start, low, high, every),
-        outputStructType=schema,
-        outputMode="Append",
-        timeMode="None",
-    )
+ROWS_PER_FRAME = 10_000
 
 
 class _Reassemble(StatefulProcessor):
-    """Holds the parts of one batch until all arrived or its time is up."""
+    """Holds the parts of one batch in the state store until all arrived or its time is up."""
 
     COLUMNS = ["batch_id", "sub_batch_id", "result", "status"]
 
@@ -120,19 +26,23 @@ class _Reassemble(StatefulProcessor):
         self.parts = handle.getMapState("parts", "sub_batch_id long", "result string")
         self.meta = handle.getValueState("meta", "received int, closed boolean")
 
-    def _rows(self, batch_id, parts, status) -> pd.DataFrame:
-        rows = [(batch_id, sub, result, status) for sub, result in sorted(parts)]
-        return pd.DataFrame(rows, columns=self.COLUMNS)
+    def _frames(self, batch_id, parts, status) -> Iterator[pd.DataFrame]:
+        parts = iter(parts)
+        while rows := [(batch_id, *part, status) for part in islice(parts, ROWS_PER_FRAME)]:
+            yield pd.DataFrame(rows, columns=self.COLUMNS)
 
-    def _held(self):
-        return [(k[0], v[0]) for k, v in self.parts.iterator()]
+    def _release(self, batch_id, status) -> Iterator[pd.DataFrame]:
+        held = ((key[0], value[0]) for key, value in self.parts.iterator())
+        yield from self._frames(batch_id, held, status)
+        self.parts.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         received, closed = self.meta.get() if self.meta.exists() else (0, False)
         newest = 0
         for batch in rows:
             if closed:
-                yield self._rows(key[0], zip(batch["sub_batch_id"], batch["result"]), "late")
+                late = zip(batch["sub_batch_id"], batch["result"])
+                yield from self._frames(key[0], late, "late")
                 continue
             for sub, result, expected, ts in zip(
                 batch["sub_batch_id"], batch["result"], batch["expected"], batch["ts"]
@@ -144,8 +54,7 @@ class _Reassemble(StatefulProcessor):
                 if received >= expected:
                     closed = True
         if closed and self.parts.exists():
-            yield self._rows(key[0], self._held(), "complete")
-            self.parts.clear()
+            yield from self._release(key[0], "complete")
         elif not closed:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
@@ -155,8 +64,7 @@ class _Reassemble(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         received, closed = self.meta.get()
         if not closed:
-            yield self._rows(key[0], self._held(), "timeout")
-            self.parts.clear()
+            yield from self._release(key[0], "timeout")
             self.meta.update((received, True))
 
     def close(self) -> None:

@@ -65,8 +65,7 @@ def gap_batches(spark, sf_dir):
     return ops.gap_batches(arrivals, ["run_id"], "ts", 8, 3600.0, tie=["event_id"]).drop("ts")
 
 
-@query(
-    """WITH RECURSIVE steps AS (
+ADAPTIVE_TRACE_SQL = """WITH RECURSIVE steps AS (
       SELECT run_id, (rn - 1) // 10 AS step, avg(execute_s) AS mean
       FROM (SELECT run_id, execute_s, row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS rn
         FROM timing_v) GROUP BY ALL HAVING count(*) = 10),
@@ -77,7 +76,9 @@ def gap_batches(spark, sf_dir):
         WHEN s.mean > 0.05 THEN greatest(batch_size - 1, 1) ELSE batch_size END
       FROM walk w JOIN steps s ON s.run_id = w.run_id AND s.step = w.step + 1)
     SELECT run_id, step, batch_size FROM walk WHERE step >= 0"""
-)
+
+
+@query(ADAPTIVE_TRACE_SQL)
 def adaptive_batch_trace(spark, sf_dir):
     return ops.adaptive_batch_trace(timing(spark, sf_dir), ["run_id"], "event_id", "execute_s")
 
