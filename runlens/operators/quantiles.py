@@ -30,10 +30,11 @@ def large_groups(df: DataFrame, keys: list[str], limit: int = LARGE_GROUP) -> Da
     )
 
 
-def small_percentiles(column: str, probs=PROBS) -> Column:
-    """Percentiles of the rows that are not in a large group; null for a large group."""
-    small = F.when(F.col("_large").isNull(), F.col(column))
-    return F.percentile(small, [float(p) for p in probs])
+def percentiles(column: str, weight: str | None = None, probs=PROBS, large: bool = False) -> Column:
+    """Built-in percentiles; with ``large`` they skip rows flagged as part of a large group."""
+    value = F.when(F.col("_large").isNull(), F.col(column)) if large else F.col(column)
+    wanted = [float(p) for p in probs]
+    return F.percentile(value, wanted, F.col(weight)) if weight else F.percentile(value, wanted)
 
 
 def _ranks(n: Column, probs) -> Column:
@@ -43,17 +44,26 @@ def _ranks(n: Column, probs) -> Column:
 
 
 def selected_percentiles(
-    df: DataFrame, keys: list[str], columns: list[str], probs=PROBS, limit: int = LARGE_GROUP
+    df: DataFrame,
+    keys: list[str],
+    columns: list[str],
+    probs=PROBS,
+    limit: int = LARGE_GROUP,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Percentile arrays ``_q_<column>`` of every group in ``df`` by rank selection."""
+    """Percentile arrays ``_q_<column>`` of every group in ``df`` by rank selection.
+
+    With ``weight`` a row stands for that many equal values.
+    """
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
-    long = df.select(*keys, F.expr(f"stack({len(columns)}, {pairs}) AS (_name, _v)")).filter(
-        F.col("_v").isNotNull()
-    )
+    times = (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w")
+    long = df.select(
+        *keys, times, F.expr(f"stack({len(columns)}, {pairs}) AS (_name, _v)")
+    ).filter(F.col("_v").isNotNull())
     group = keys + ["_name"]
     bounds = (
         long.groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .agg(F.sum("_w").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         .withColumn("_cells", F.least(F.lit(MAX_CELLS), F.ceil(F.col("_n") * 10 / limit)))
     )
     # Latencies crowd near their minimum and have a long tail, so the cells are
@@ -65,13 +75,13 @@ def selected_percentiles(
         F.floor(F.log1p(share * reach) / math.log1p(reach) * F.col("_cells")),
     ).otherwise(F.lit(0))
     placed = null_safe_join(long, bounds, group, "inner").select(
-        *group, "_v", "_n", cell.cast("bigint").alias("_cell")
+        *group, "_v", "_w", "_n", cell.cast("bigint").alias("_cell")
     )
 
     upto = F.sum("_c").over(Window.partitionBy(*group).orderBy("_cell"))
     cells = (
         placed.groupBy(*group, "_cell")
-        .agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+        .agg(F.sum("_w").alias("_c"), F.first("_n").alias("_n"))
         .withColumn("_before", upto - F.col("_c"))
         .withColumn("_wanted", _ranks(F.col("_n"), probs))
         .filter(
@@ -87,7 +97,7 @@ def selected_percentiles(
         null_safe_join(placed.drop("_n"), cells, group + ["_cell"], "inner")
         .groupBy(*group, "_cell", "_v")
         .agg(
-            F.count(F.lit(1)).alias("_c"),
+            F.sum("_w").alias("_c"),
             F.first("_before").alias("_before"),
             F.first("_wanted").alias("_wanted"),
         )

@@ -14,8 +14,8 @@ from runlens.operators.quantiles import (
     LARGE_GROUP,
     PROBS,
     large_groups,
+    percentiles,
     selected_percentiles,
-    small_percentiles,
 )
 from runlens.operators.slicing import (
     ROWS_PER_SLICE,
@@ -62,7 +62,7 @@ def mark_auto_warmup(df: DataFrame, keys: list[str], order: str, n: int) -> Data
     return null_safe_join(df, last, keys, "left").withColumn("phase", phase).drop("_last")
 
 
-def _moments(name: str) -> list[Column]:
+def _moments(name: str, weight: str | None = None) -> list[Column]:
     value = f"_ms_{name}"
     found = {
         "avg": f"avg({value})",
@@ -72,6 +72,16 @@ def _moments(name: str) -> list[Column]:
         "sum": f"sum({value})",
         "count": f"count({value})",
     }
+    if weight:
+        total, square = f"sum({value} * {weight})", f"sum({value} * {value} * {weight})"
+        count = f"sum(if({value} IS NULL, 0, {weight}))"
+        mean = f"({total} / {count})"
+        found.update(
+            avg=f"if({count} > 0, {mean}, NULL)",
+            std=f"if({count} > 0, sqrt(greatest({square} / {count} - {mean} * {mean}, 0)), NULL)",
+            sum=total,
+            count=count,
+        )
     return [F.expr(f"{formula} AS _{name}_{m}") for m, formula in found.items()]
 
 
@@ -88,24 +98,29 @@ def _distributions(
     values: dict[str, Column],
     extra: list[Column] | None = None,
     large_group: int = LARGE_GROUP,
+    weight: str | None = None,
 ) -> DataFrame:
-    """One struct of statistics per named value and group; one pass when no group is large."""
+    """One struct of statistics per named value and group; one pass when no group is large.
+
+    With ``weight`` a row stands for that many equal values.
+    """
     prepared = df.select("*", *[v.alias(f"_ms_{n}") for n, v in values.items()])
     aggs = list(extra or [])
     for name in values:
-        aggs += _moments(name)
+        aggs += _moments(name, weight)
     if has_large_group(df, keys, large_group):
         large = large_groups(df, keys, large_group)
         flagged = null_safe_join(prepared, large, keys, "left")
-        aggs += [small_percentiles(f"_ms_{n}").alias(f"_small_{n}") for n in values]
+        aggs += [percentiles(f"_ms_{n}", weight, large=True).alias(f"_small_{n}") for n in values]
         hot_rows = null_safe_join(prepared, large, keys, "inner")
-        hot = selected_percentiles(hot_rows, keys, [f"_ms_{n}" for n in values], PROBS, large_group)
+        names = [f"_ms_{n}" for n in values]
+        hot = selected_percentiles(hot_rows, keys, names, PROBS, large_group, weight)
         both = null_safe_join(flagged.groupBy(*keys).agg(*aggs), hot, keys, "left")
         both = both.withColumns(
             {f"_p_{n}": F.expr(f"coalesce(_small_{n}, _q__ms_{n})") for n in values}
         )
     else:
-        aggs += [F.percentile(f"_ms_{n}", list(PROBS)).alias(f"_p_{n}") for n in values]
+        aggs += [percentiles(f"_ms_{n}", weight).alias(f"_p_{n}") for n in values]
         both = prepared.groupBy(*keys).agg(*aggs)
     scratch = {c for c in both.columns if c.startswith("_")} - set(keys)
     kept = [F.col(c) for c in both.columns if c not in scratch]
@@ -121,6 +136,15 @@ def stage_stats(
     return stats.select(*keys, "stats.*")
 
 
+def counted_stats(
+    df: DataFrame, keys: list[str], ms: str, count: str, large_group: int = LARGE_GROUP
+) -> DataFrame:
+    """``stage_stats`` of a table of millisecond values and how often each occurred."""
+    values = {"stats": F.col(ms)}
+    stats = _distributions(df, keys, values, large_group=large_group, weight=count)
+    return stats.select(*keys, "stats.*")
+
+
 def run_statistics(df: DataFrame, keys: list[str], large_group: int = LARGE_GROUP) -> DataFrame:
     """The full metrics record of a run: five stage structs, ratios, fps, iterations, duration.
 

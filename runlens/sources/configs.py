@@ -176,10 +176,16 @@ EXPERIMENT_SCHEMA = (
 def read_experiment_specs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Experiment documents with their list options; a single model or image is a list of one."""
     read = spark.read.schema(EXPERIMENT_SCHEMA).option("multiLine", True).json(path)
+    return experiment_lists(read.withColumn("path", F.col("_metadata.file_path")))
+
+
+def experiment_lists(read: DataFrame) -> DataFrame:
     one = {"models": "model", "images": "image"}
-    lists = [F.coalesce(many, F.array_compact(F.array(single))).alias(many) for many, single in one.items()]
+    lists = [
+        F.coalesce(many, F.array_compact(F.array(single))).alias(many) for many, single in one.items()
+    ]
     rest = [c for c in read.columns if c not in (*one, *one.values())]
-    return read.select(F.col("_metadata.file_path").alias("path"), *lists, *rest)
+    return read.select(*lists, *rest)
 
 
 def expand_experiments(specs: DataFrame) -> DataFrame:

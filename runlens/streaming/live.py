@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.measures import to_ms
-from runlens.operators.quantiles import PROBS
 from runlens.operators.resources import resource_aggregates
-from runlens.operators.timing import STAGES
+from runlens.operators.timing import STAGES, counted_stats
 from runlens.sources.shared import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+LOCAL_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
 
 def timed(stream: DataFrame, ts: str, delay: str) -> DataFrame:
     """Event time as a zoned timestamp (watermarks refuse others) with a watermark on it."""
@@ -25,19 +26,13 @@ def _bounds() -> list:
     return [F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end")]
 
 
-def live_stage_stats(
-    stream: DataFrame,
-    keys: list[str],
-    window: str,
-    delay: str,
-    ts: str = "ts",
-    accuracy: int | None = None,
+def live_stage_counts(
+    stream: DataFrame, keys: list[str], window: str, delay: str, ts: str = "ts"
 ) -> DataFrame:
-    """Statistics of all five stages per tumbling window and run, as rows.
+    """How often every latency occurred per tumbling window, run and stage.
 
-    Two chained aggregations: equal values of a stage are counted first, spread by value, so a
-    busy run is not one group yet; the second level combines the counts. Its exact percentiles
-    hold the distinct values of one window. ``accuracy`` switches to sketches of fixed size.
+    Equal values combine before the shuffle and the groups are spread by value, so a busy run is
+    not one group.
     """
     rows = F.explode(
         F.array(
@@ -48,35 +43,23 @@ def live_stage_stats(
         timed(stream, ts, delay)
         .select(*keys, ts, rows.alias("_r"))
         .groupBy(F.window(ts, window), *keys, F.col("_r.stage").alias("stage"), F.col("_r.ms").alias("ms"))
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    mean = F.sum(F.col("ms") * F.col("c")) / F.sum("c")
-    square = F.sum(F.col("ms") * F.col("ms") * F.col("c")) / F.sum("c")
-    quantiles = (
-        F.percentile("ms", list(PROBS), F.col("c"))
-        if accuracy is None
-        else F.percentile_approx("ms", list(PROBS), accuracy)
-    )
-    found = counted.groupBy("window", *keys, "stage").agg(
-        mean.alias("avg"),
-        F.min("ms").alias("min"),
-        F.max("ms").alias("max"),
-        F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("std"),
-        quantiles.alias("_q"),
-        F.sum(F.col("ms") * F.col("c")).alias("sum"),
-        F.sum("c").alias("count"),
+        .agg(F.count(F.lit(1)).alias("occurrences"))
     )
-    return found.select(
-        *_bounds(),
-        *keys,
-        "stage",
-        "avg",
-        "min",
-        "max",
-        "std",
-        *[F.col("_q")[i].alias(p) for i, p in enumerate(("p50", "p95", "p99"))],
-        "sum",
-        "count",
+    return counted.select(*_bounds(), *keys, "stage", "ms", "occurrences")
+
+
+def live_stage_stats(
+    stream: DataFrame, keys: list[str], window: str, delay: str, ts: str = "ts"
+) -> DataFrame:
+    """Statistics of all five stages per closed window and run, as rows.
+
+    The stream counts values; the counts of a window are released together when it closes, and
+    each trigger turns them into exact statistics with the batch operator.
+    """
+    group = ["window_start", "window_end", *keys, "stage"]
+    counts = live_stage_counts(stream, keys, window, delay, ts)
+    return run_released(
+        counts, "live_stage_stats", lambda rows: counted_stats(rows, group, "ms", "occurrences")
     )
 
 
@@ -113,7 +96,11 @@ def live_resource_stats(
 def live_gap_sessions(
     stream: DataFrame, keys: list[str], gap: str, delay: str, size: int, ts: str = "ts"
 ) -> DataFrame:
-    """Arrivals without a gap, and the batches of at most ``size`` they are cut into."""
+    """Arrivals without a gap, and the batches of at most ``size`` they are cut into.
+
+    Sessions are merged in each map task first, so a busy key sends sessions, not rows.
+    """
+    stream.sparkSession.conf.set(LOCAL_SESSIONS, "true")
     found = timed(stream, ts, delay).groupBy(F.session_window(ts, gap), *keys).agg(
         F.min(ts).alias("first_arrival"),
         F.max(ts).alias("last_arrival"),
@@ -150,21 +137,41 @@ def on_result_stream(stream: DataFrame, callback: Callable, checkpoint: str, out
     )
 
 
+def _start(stream: DataFrame, base: str):
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return (
+        stream.writeStream.outputMode("append")
+        .option("checkpointLocation", f"{base}/progress")
+        .trigger(availableNow=True)
+    )
+
+
+def run_released(
+    stream: DataFrame, name: str, finish: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Apply a batch operator to the rows each trigger releases, and return all of its output.
+
+    A trigger that is run again overwrites its own folder.
+    """
+    spark = stream.sparkSession
+    base = scratch_path(spark, name)
+
+    def each(rows: DataFrame, batch_id: int) -> None:
+        rows.persist()
+        finish(rows).write.mode("overwrite").parquet(f"{base}/out/trigger={batch_id}")
+        rows.unpersist()
+
+    _start(stream, base).foreachBatch(each).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("trigger")
+
+
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Process all available input in append mode and return what was written.
 
     Output and progress live in the shared folder, so a restarted query goes on where it was.
     """
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     base = scratch_path(spark, name)
-    written = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{base}/out")
-        .option("checkpointLocation", f"{base}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-    written.awaitTermination()
+    sink = _start(stream, base).format("parquet").option("path", f"{base}/out")
+    sink.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")

@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runlens.dims import TILED_ROUTE, LARGE_INPUT_ROUTE
-from runlens.functions import basename, deep_merge, resolve_route, sanitize_segment, split_metrics
+from runlens.dims import LARGE_INPUT_ROUTE, TILED_ROUTE, lookup
+from runlens.functions import (
+    basename,
+    deep_merge,
+    resolve_route,
+    sanitize_segment,
+    split_metrics,
+    theoretical_speedup,
+)
 from runlens.operators import compare, reports
 from runlens.operators.resources import resource_stats as resource_stats_op
-from runlens.operators.timing import last_n, stage_stats
+from runlens.operators.timing import last_n, mark_auto_warmup, run_statistics, stage_stats
+from runlens.plans.strategies import expand_valid_strategies
 from workload.base import VIEWS, query, rounded, table
 from workload.timing import timing
 
@@ -380,3 +388,60 @@ def report_lines_text(spark, sf_dir):
 def report_lines_markdown(spark, sf_dir):
     rows = reports.to_report_row(with_metrics(results(spark, sf_dir)))
     return reports.report_lines(rows, "result_idx", "markdown")
+
+
+@query(
+    """WITH runs AS (
+      SELECT run_id, device_id, min(event_id) AS run_no, avg(execute_s * 1000) AS execute_avg,
+        1000 / avg(execute_s * 1000) AS pure_fps, 1000 / avg(total_s * 1000) AS e2e_fps,
+        CASE run_id WHEN 'view' THEN 'baseline' WHEN 'click' THEN 'multithread' WHEN 'error' THEN 'batch'
+          WHEN 'purchase' THEN 'pipeline' ELSE 'high_res' END AS strategy,
+        CASE device_id % 2 WHEN 0 THEN 'tiled_route' ELSE 'large_input_route' END AS route_type
+      FROM (SELECT *, row_number() OVER (PARTITION BY run_id, device_id ORDER BY event_id) AS rn
+        FROM timing_v) WHERE rn > 5 GROUP BY run_id, device_id),
+    joined AS (
+      SELECT r.*, b.pure_fps AS base, CASE strategy_name WHEN 'multithread' THEN 4 WHEN 'batch' THEN 4
+        WHEN 'pipeline' THEN 5 WHEN 'high_res_tiling' THEN 1 END AS theoretical
+      FROM (SELECT *, CASE strategy WHEN 'high_res' THEN 'high_res_tiling' ELSE strategy END
+          AS strategy_name FROM runs) r
+      JOIN (SELECT device_id, pure_fps FROM runs WHERE strategy = 'baseline') b USING (device_id)
+      WHERE strategy <> 'high_res' OR route_type = 'tiled_route')
+    SELECT device_id, run_id AS model_name, strategy_name AS strategy,
+      round(execute_avg, 6) AS execute_avg, round(pure_fps, 6) AS pure_fps, round(e2e_fps, 6) AS e2e_fps,
+      round(pure_fps, 6) AS throughput,
+      CASE WHEN strategy = 'baseline' THEN 1 ELSE round(pure_fps / base, 6) END::DOUBLE AS speedup,
+      CASE WHEN strategy = 'baseline' THEN 100 ELSE round(pure_fps / base / theoretical * 100, 6)
+        END::DOUBLE AS efficiency
+    FROM joined"""
+)
+def strategy_comparison(spark, sf_dir):
+    """End to end: warmup, run statistics, valid strategies, baseline, comparison table."""
+    keys = ["run_id", "device_id"]
+    phased = mark_auto_warmup(timing(spark, sf_dir), keys, "event_id", 5)
+    stats = run_statistics(phased, keys)
+    names = {"view": "baseline", "click": "multithread", "error": "batch", "purchase": "pipeline"}
+    runs = stats.select(
+        *keys,
+        F.coalesce(lookup(names, F.col("run_id")), F.lit("high_res")).alias("strategy"),
+        F.when(F.col("device_id") % 2 == 0, TILED_ROUTE).otherwise(LARGE_INPUT_ROUTE).alias("route_type"),
+        F.col("execute.avg").alias("execute_avg"),
+        F.col("fps.pure").alias("fps"),
+        F.col("fps.e2e").alias("e2e_fps"),
+    )
+    baseline = runs.filter("strategy = 'baseline'")
+    tested = expand_valid_strategies(runs).withColumn(
+        "theoretical_speedup", theoretical_speedup(F.col("strategy"), F.lit(4), F.lit(4))
+    )
+    compared = compare.compare_to_baseline(tested, baseline, ["device_id"])
+    rows = compare.union_results(baseline, compared).select(
+        "device_id",
+        F.col("run_id").alias("model_name"),
+        F.array("strategy").alias("strategies"),
+        "execute_avg",
+        F.col("fps").alias("pure_fps"),
+        "e2e_fps",
+        F.col("fps").alias("strategy_fps"),
+        "speedup",
+        "parallel_efficiency",
+    )
+    return rounded(compare.comparison_table(rows, "device_id"))

@@ -449,3 +449,105 @@ def tiled_inference(spark, sf_dir):
         F.col("result")[0].cast("double").alias("total"),
         F.col("result")[1].cast("double").alias("size"),
     )
+
+
+def _png(pixels: np.ndarray) -> bytes:
+    """A grey PNG file."""
+    import struct
+    import zlib
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    height, width = pixels.shape
+    raw = b"".join(b"\x00" + row.tobytes() for row in pixels)
+    header = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
+    return (
+        b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    )
+
+
+def image_files(spark, sf_dir) -> str:
+    """Write every vector as its own PNG file and return the folder.
+
+    The text writer stores the bytes of a value as they are, so the tasks write image files to
+    any file system Spark can reach; decoders ignore the line end after the image.
+    """
+
+    @F.pandas_udf("binary")
+    def encoded(data):
+        return data.map(lambda raw: _png(np.frombuffer(raw, dtype=np.uint8).reshape(8, 8)))
+
+    path = scratch_path(spark, "images")
+    files = vector_images(spark, sf_dir).select(
+        "image_id", encoded("data").cast("string").alias("value")
+    )
+    files.write.partitionBy("image_id").text(path)
+    return path
+
+
+def _image_id(path_column: str):
+    return F.regexp_extract(path_column, r"image_id=(\d+)/", 1).cast("bigint").alias("image_id")
+
+
+@query(
+    f"""SELECT vec_id AS image_id, 8 AS height, 8 AS width, 1 AS channels, {_hex_sql('px')} AS bytes
+    FROM vector_pixels_v"""
+)
+def load_images(spark, sf_dir):
+    decoded, _ = image_source.load_images(spark, [f"{image_files(spark, sf_dir)}/*"])
+    return decoded.select(
+        _image_id("origin"), "height", "width", "channels", F.hex("data").alias("bytes")
+    )
+
+
+@query("SELECT vec_id AS image_id FROM embeddings")
+def scan_images(spark, sf_dir):
+    found = image_source.scan_images(spark, [f"{image_files(spark, sf_dir)}/*"], (".TXT".lower(),))
+    return found.filter("length > 0").select(_image_id("path"))
+
+
+@query("SELECT count(*) AS results, sum(result)::BIGINT AS total FROM preproc_v WHERE success")
+def on_result(spark, sf_dir):
+    context = spark.sparkContext
+    results, total = context.accumulator(0), context.accumulator(0)
+
+    def callback(row):
+        results.add(1)
+        total.add(row["result"])
+
+    good, _ = image_ops.split_failed(preprocessed(spark, sf_dir))
+    scoring.on_result(good, callback)
+    return spark.createDataFrame([(results.value, total.value)], "results bigint, total bigint")
+
+
+@query(
+    """SELECT p_partkey AS spec, 'm' || p_partkey || '.om' AS model_path, i.image AS image_path, r.route
+        AS route_type, CASE WHEN p_size % 2 = 0 THEN '6K' END AS image_size_tier, p_size AS iterations
+    FROM part, (VALUES ('a.png'), ('b.png')) i(image),
+      (VALUES ('tiled_route'), ('large_input_route')) r(route)
+    WHERE p_size > 25 OR i.image = 'a.png'"""
+)
+def expand_experiments(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    path = scratch_path(spark, "experiments")
+    part.select(
+        F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".om")).alias("model"),
+        F.when(F.col("p_size") <= 25, "a.png").alias("image"),
+        F.when(F.col("p_size") > 25, F.array(F.lit("a.png"), F.lit("b.png"))).alias("images"),
+        F.array(F.lit("tiled_route"), F.lit("large_input_route")).alias("routes"),
+        F.when(F.col("p_size") % 2 == 0, F.array(F.lit("6K"))).alias("image_size_tiers"),
+        F.col("p_size").alias("iterations"),
+        F.col("p_partkey").cast("int").alias("device"),
+    ).write.json(path)
+    specs = config_source.experiment_lists(
+        spark.read.schema(config_source.EXPERIMENT_SCHEMA).json(path)
+    )
+    return config_source.expand_experiments(specs).select(
+        F.col("device").cast("bigint").alias("spec"),
+        "model_path",
+        "image_path",
+        "route_type",
+        "image_size_tier",
+        "iterations",
+    )

@@ -56,8 +56,7 @@ _STATS = """round(avg({0}_s * 1000), 8) AS avg, round(min({0}_s * 1000), 8) AS m
     )
 )
 def live_stage_stats(spark, sf_dir):
-    stats = live.live_stage_stats(timing_stream(spark, sf_dir), ["run_id"], "1 day", "1 hour")
-    done = live.run_available(stats, "live_stage_stats")
+    done = live.live_stage_stats(timing_stream(spark, sf_dir), ["run_id"], "1 day", "1 hour")
     return rounded(
         done.select(
             F.unix_micros("window_start").alias("window_us"), *done.columns[2:]
