@@ -37,7 +37,11 @@ def decode_output(data: Column) -> Column:
 
 
 def split_batch_output(vector: Column, parts: Column | int) -> Column:
-    """Cut the output of a batch into ``parts`` equal vectors."""
+    """Cut the output of a batch into ``parts`` equal vectors.
+
+    ``vector`` is a column of the frame; decode bytes in an earlier step, since Python functions
+    cannot run inside an array function.
+    """
     count = parts if isinstance(parts, Column) else F.lit(parts)
     length = F.floor(F.size(vector) / count).cast("int")
     return F.transform(

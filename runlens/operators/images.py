@@ -19,6 +19,9 @@ from pyspark.sql import types as T
 from runlens.operators.tiles import axis_tiles
 
 METHODS = ("nearest", "bilinear", "bicubic")
+BLOCK_COLUMNS = ["image_id", "tile_id", "x", "y", "w", "h", "channels", "data"]
+BYTES_PER_FRAME = 32 << 20
+ROWS_PER_FRAME = 10_000
 
 
 def result_status(df: DataFrame, result: str = "result") -> DataFrame:
@@ -115,28 +118,21 @@ def cut_tiles(images: DataFrame, tile: int = 640, overlap: float = 0.25) -> Data
     )
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for batch in batches:
             for image in batch.itertuples(index=False):
                 pixels = _array(image.data, image.height, image.width, image.channels)
-                spots = [(y, x) for y in image.ys for x in image.xs]
-                yield pd.DataFrame(
-                    {
-                        "image_id": image.image_id,
-                        "tile_id": range(len(spots)),
-                        "x": [x["start"] for _, x in spots],
-                        "y": [y["start"] for y, _ in spots],
-                        "w": [x["length"] for _, x in spots],
-                        "h": [y["length"] for y, _ in spots],
-                        "channels": image.channels,
-                        "data": [
-                            pixels[
-                                y["start"] : y["start"] + y["length"],
-                                x["start"] : x["start"] + x["length"],
-                            ].tobytes()
-                            for y, x in spots
-                        ],
-                    }
-                )
+                spots = ((y, x) for y in image.ys for x in image.xs)
+                for tile_id, (y, x) in enumerate(spots):
+                    top, left, h, w = y["start"], x["start"], y["length"], x["length"]
+                    block = pixels[top : top + h, left : left + w].tobytes()
+                    rows.append((image.image_id, tile_id, left, top, w, h, image.channels, block))
+                    held += len(block)
+                    if held > BYTES_PER_FRAME or len(rows) >= ROWS_PER_FRAME:
+                        yield pd.DataFrame(rows, columns=BLOCK_COLUMNS)
+                        rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=BLOCK_COLUMNS)
 
     key = images.schema["image_id"].dataType.simpleString()
     return planned.mapInPandas(

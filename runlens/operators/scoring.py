@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from runlens.operators.images import cut_tiles
 from runlens.operators.tiles import merge_tile_results, tile_grid
+from runlens.sources.shared import spread
 
 
 def score(
@@ -129,10 +130,10 @@ def tiled_inference(
     hold up one task. The model sees each tile's bytes.
     """
     blocks = cut_tiles(images, tile, overlap).select("image_id", "tile_id", "data")
-    spread = (
+    placed = (
         blocks.repartition(tasks, "image_id", "tile_id")
         if tasks
-        else blocks.repartition("image_id", "tile_id")
+        else spread(blocks, "image_id", "tile_id")
     )
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -145,5 +146,5 @@ def tiled_inference(
                 out.extend(np.asarray(v, dtype=np.float32) for v in predict(tiles))
             yield pd.Series(out, index=data.index)
 
-    results = spread.select("image_id", "tile_id", scored("data").alias("result"))
+    results = placed.select("image_id", "tile_id", scored("data").alias("result"))
     return merge_tile_results(tile_grid(images, tile, overlap), results, keep)

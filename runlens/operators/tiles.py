@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.vectors import hann_weight, truncate_vector
+from runlens.sources.shared import spread
 
 
 def _step(tile: int, overlap: float) -> int:
@@ -93,29 +94,39 @@ def merge_tile_results(tiles: DataFrame, results: DataFrame, keep: int = 10) ->
 
 
 def _axis_weights(extent: Column, tile: int, overlap: float) -> Column:
-    pieces = axis_tiles(extent, tile, overlap)
+    """Summed weight of every position along one axis.
+
+    Tiles begin at multiples of the step while they fit; all others are pushed to the same last
+    start. So a position is covered by at most ``ceil(tile / step)`` fitting tiles and by the
+    pushed ones, which needs no search through the grid.
+    """
+    step = _step(tile, overlap)
+    size = extent.cast("int")
+    fitting = F.greatest(F.lit(0), F.floor((size - tile) / step) + 1)
+    pushed = F.ceil(size / step) - fitting
+    last = F.greatest(F.lit(0), size - tile)
 
     def at(pos: Column) -> Column:
-        return F.aggregate(
-            pieces,
-            F.lit(0.0),
-            lambda acc, p: acc
-            + F.when(
-                (pos >= p["start"]) & (pos < p["start"] + p["length"]),
-                hann_weight(pos - p["start"], tile),
-            ).otherwise(F.lit(0.0)),
-        )
+        total = F.when(pos >= last, pushed * hann_weight(pos - last, tile)).otherwise(F.lit(0.0))
+        for back in range(-(-tile // step)):
+            number = F.floor(pos / step) - back
+            offset = pos - number * step
+            covers = (number >= 0) & (number < fitting) & (offset < tile)
+            total = total + F.when(covers, hann_weight(offset, tile)).otherwise(F.lit(0.0))
+        return total
 
-    return F.transform(F.sequence(F.lit(0), extent.cast("int") - 1), at)
+    return F.transform(F.sequence(F.lit(0), size - 1), at)
 
 
 def tile_weight_map(images: DataFrame, tile: int = 640, overlap: float = 0.25) -> DataFrame:
     """Summed Hann weight of every pixel over the tiles that cover it; tiny sums become 1.
 
     The grid is a product, so the weight is the product of two one-dimensional sums. Both are
-    row-local arrays; pixels appear only in the output.
+    row-local arrays; pixels appear only in the output. Image sizes are spread by image before
+    they grow into pixels, which also places the rows for a later grouping by image.
     """
-    axes = images.filter((F.col("width") > 0) & (F.col("height") > 0)).select(
+    sized = images.filter((F.col("width") > 0) & (F.col("height") > 0))
+    axes = spread(sized.select("image_id", "height", "width"), "image_id").select(
         "image_id",
         _axis_weights(F.col("height"), tile, overlap).alias("_wy"),
         _axis_weights(F.col("width"), tile, overlap).alias("_wx"),

@@ -27,3 +27,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash rows over as many tasks as a shuffle has partitions.
+
+    For small rows that grow into much work. The count is explicit because adaptive execution
+    would otherwise merge the partitions again, judging by their bytes.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *columns)

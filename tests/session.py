@@ -6,14 +6,15 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+from runlens.session import configured
+
 
 def test_session() -> SparkSession:
     builder = (
-        SparkSession.builder.master("local[8]")
+        configured(SparkSession.builder).master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .config("spark.ui.showConsoleProgress", "false")
     )

@@ -12,7 +12,7 @@ from runlens.operators.timing import stage_stats, successful_only
 from runlens.sources import configs as config_source
 from runlens.sources import images as image_source
 from runlens.sources import logs, sinks
-from runlens.sources.shared import scratch_path
+from runlens.sources.shared import scratch_path, spread
 from workload.base import VIEWS, query, rounded, table
 from workload.planning import configs, devices, models, scenarios
 from workload.results import results
@@ -256,7 +256,7 @@ def vector_images(spark, sf_dir):
             .tobytes()
         )
 
-    return table(spark, sf_dir, "embeddings").select(
+    return spread(table(spark, sf_dir, "embeddings"), "vec_id").select(
         F.col("vec_id").alias("image_id"),
         F.lit(8).alias("height"),
         F.lit(8).alias("width"),
@@ -468,7 +468,7 @@ def _png(pixels: np.ndarray) -> bytes:
 
 
 def image_files(spark, sf_dir) -> str:
-    """Write every vector as its own PNG file and return the folder.
+    """Write the vectors as PNG files, 16 vectors below each other per file; the folder.
 
     The text writer stores the bytes of a value as they are, so the tasks write image files to
     any file system Spark can reach; decoders ignore the line end after the image.
@@ -476,12 +476,19 @@ def image_files(spark, sf_dir) -> str:
 
     @F.pandas_udf("binary")
     def encoded(data):
-        return data.map(lambda raw: _png(np.frombuffer(raw, dtype=np.uint8).reshape(8, 8)))
-
-    path = scratch_path(spark, "images")
-    files = vector_images(spark, sf_dir).select(
-        "image_id", encoded("data").cast("string").alias("value")
+        return data.map(lambda raw: _png(np.frombuffer(raw, dtype=np.uint8).reshape(-1, 8)))
+
+    stacked = (
+        vector_images(spark, sf_dir)
+        .groupBy(F.floor(F.col("image_id") / 16).alias("image_id"))
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("image_id").alias("at"), "data"))).alias("v"))
+        .select(
+            "image_id",
+            F.aggregate("v", F.lit(b""), lambda acc, e: F.concat(acc, e["data"])).alias("data"),
+        )
     )
+    path = scratch_path(spark, "images")
+    files = stacked.select("image_id", encoded("data").cast("string").alias("value"))
     files.write.partitionBy("image_id").text(path)
     return path
 
@@ -491,8 +498,9 @@ def _image_id(path_column: str):
 
 
 @query(
-    f"""SELECT vec_id AS image_id, 8 AS height, 8 AS width, 1 AS channels, {_hex_sql('px')} AS bytes
-    FROM vector_pixels_v"""
+    f"""SELECT vec_id // 16 AS image_id, (8 * count(*))::INT AS height, 8 AS width, 1 AS channels,
+      string_agg({_hex_sql('px')}, '' ORDER BY vec_id) AS bytes
+    FROM vector_pixels_v GROUP BY vec_id // 16"""
 )
 def load_images(spark, sf_dir):
     decoded, _ = image_source.load_images(spark, [f"{image_files(spark, sf_dir)}/*"])
@@ -501,7 +509,7 @@ def load_images(spark, sf_dir):
     )
 
 
-@query("SELECT vec_id AS image_id FROM embeddings")
+@query("SELECT DISTINCT vec_id // 16 AS image_id FROM embeddings")
 def scan_images(spark, sf_dir):
     found = image_source.scan_images(spark, [f"{image_files(spark, sf_dir)}/*"], (".TXT".lower(),))
     return found.filter("length > 0").select(_image_id("path"))
