@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runlens.operators.slicing import (
     ROWS_PER_SLICE,
+    first_rows,
     has_large_group,
     null_safe_join,
     with_position,
@@ -37,20 +38,27 @@ def chunk_with_padding(
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Fixed chunks per submission; the last one is filled up with the first item."""
-    numbered = with_position(df, keys, [order], "_pos", rows_per_slice)
-    chunks = (
-        numbered.withColumn("chunk_no", F.floor((F.col("_pos") - 1) / size))
-        .groupBy(*keys, "chunk_no")
-        .agg(F.array_sort(F.collect_list(F.struct("_pos", item))).alias("_items"))
-        .withColumn("items", F.transform("_items", lambda x: x[item]))
+    if has_large_group(df, keys, rows_per_slice):
+        first = first_rows(df, keys, order).select(*keys, F.col(item).alias("_first"))
+        numbered = null_safe_join(
+            with_position(df, keys, [order], "_pos", rows_per_slice), first, keys, "left"
+        )
+    else:
+        run = Window.partitionBy(*keys).orderBy(order)
+        numbered = df.select(
+            "*", F.row_number().over(run).alias("_pos"), F.first_value(item).over(run).alias("_first")
+        )
+    entry = F.struct("_pos", F.col(item).alias("v"), "_first")
+    chunks = numbered.groupBy(*keys, F.floor((F.col("_pos") - 1) / size).alias("chunk_no")).agg(
+        F.array_sort(F.collect_list(entry)).alias("_items")
     )
-    first = df.groupBy(*keys).agg(F.min_by(item, order).alias("_first"))
-    missing = F.greatest(F.lit(0), size - F.size("items"))
-    return null_safe_join(chunks, first, keys, "left").select(
+    filled = F.size("_items")
+    padding = F.array_repeat(F.col("_items")[0]["_first"], F.greatest(F.lit(0), size - filled))
+    return chunks.select(
         *keys,
         "chunk_no",
-        F.size("items").alias("filled"),
-        F.concat("items", F.array_repeat("_first", missing)).alias("items"),
+        filled.alias("filled"),
+        F.concat(F.col("_items.v"), padding).alias("items"),
     )
 
 

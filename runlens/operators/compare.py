@@ -8,16 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.measures import parallel_efficiency, speedup
-from runlens.operators.slicing import null_safe_join, with_keys
+from runlens.operators.slicing import first_rows, null_safe_join, with_keys
 
 
 def first_baseline(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first baseline row per group in input order: a map-side minimum, no sort."""
-    rows = df.filter(F.array_contains("strategies", "baseline"))
-    rows, group = with_keys(rows, keys)
-    kept = [c for c in df.columns if c not in keys]
-    first = rows.groupBy(*group).agg(F.min_by(F.struct(*kept), order).alias("_row"))
-    return first.select(*keys, "_row.*").select(*df.columns)
+    """The first baseline row per group in input order; ``order`` is unique per group."""
+    rows, group = with_keys(df.filter(F.array_contains("strategies", "baseline")), keys)
+    return first_rows(rows, group, order).select(*df.columns)
 
 
 def compare_to_baseline(

@@ -95,10 +95,10 @@ def report_summary(df: DataFrame) -> DataFrame:
 
 
 def archive_route_label(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The single route of a report, or ``mixed``."""
-    route = resolve_route(F.col("route_type"))
-    label = F.when(F.min(route) == F.max(route), F.min(route)).otherwise(F.lit("mixed"))
-    return df.groupBy(*keys).agg(label.alias("route_label"))
+    """The single route of a report, or ``mixed``; routes are made distinct before comparing."""
+    routes = df.select(*keys, resolve_route(F.col("route_type")).alias("_route")).distinct()
+    label = F.when(F.count(F.lit(1)) == 1, F.min("_route")).otherwise(F.lit("mixed"))
+    return routes.groupBy(*keys).agg(label.alias("route_label"))
 
 
 def _metric(group: str, name: str) -> Column:

@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from runlens.functions.measures import positive_only
 
 
-def resource_aggregates(columns: list[str], order: list[str]) -> list[Column]:
-    """The aggregates of ``resource_stats``; usable on batch and streaming groups alike."""
+def resource_aggregates(columns: list[str], order: str, ts: str) -> list[Column]:
+    """The aggregates of ``resource_stats``; usable on batch and streaming groups alike.
+
+    ``order`` is one plain column, so that hash aggregation applies; a composite order would
+    make Spark sort all samples first.
+    """
     zero = F.lit(0.0)
     cpu = positive_only(F.col("cpu_percent"))
     memory = positive_only(F.col("memory_percent"))
     used = positive_only(F.col("npu_utilization"))
-    at = F.struct(*order)
-    micros = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     card = [
-        F.max_by(c, at).alias(alias)
+        F.max_by(c, order).alias(alias)
         for c, alias in (
             ("npu_memory_used_mb", "current_memory_mb"),
             ("npu_memory_total_mb", "total_memory_mb"),
@@ -35,8 +38,8 @@ def resource_aggregates(columns: list[str], order: list[str]) -> list[Column]:
         F.struct(
             F.coalesce(F.avg(memory), zero).alias("avg_percent"),
             F.coalesce(F.max(memory), zero).alias("max_percent"),
-            F.max_by("memory_used_mb", at).alias("current_mb"),
-            F.max_by("memory_total_mb", at).alias("total_mb"),
+            F.max_by("memory_used_mb", order).alias("current_mb"),
+            F.max_by("memory_total_mb", order).alias("total_mb"),
         ).alias("memory"),
         F.when(
             F.count(used) > 0,
@@ -51,12 +54,12 @@ def resource_aggregates(columns: list[str], order: list[str]) -> list[Column]:
 
 
 def resource_stats(
-    df: DataFrame, keys: list[str], order: list[str], with_accelerator: bool = True
+    df: DataFrame, keys: list[str], order: str, ts: str = "ts", with_accelerator: bool = True
 ) -> DataFrame:
     """Averages and extremes over samples that were taken, plus the newest memory reading.
 
-    Every aggregate combines on the map side, so a run of any size costs one row per task.
+    ``order`` is the arrival number (or time) of a sample, unique per run. Every aggregate combines on the map side, so a run of any size costs one row per task.
     The accelerator block is null when no sample of the run saw it in use.
     """
-    found = df.groupBy(*keys).agg(*resource_aggregates(df.columns, order))
+    found = df.groupBy(*keys).agg(*resource_aggregates(df.columns, order, ts))
     return found if with_accelerator else found.drop("npu")

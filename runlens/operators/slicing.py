@@ -42,6 +42,17 @@ def has_large_group(df: DataFrame, keys: list[str], limit: int) -> bool:
     return not sizes.filter(F.col("_rows") > limit).isEmpty()
 
 
+def first_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The row with the smallest ``order`` (unique per group) of every group.
+
+    The minimum is a hash aggregate with one row per group; the rows themselves are neither
+    sorted nor grouped.
+    """
+    first = df.groupBy(*keys).agg(F.min(order).alias("_first"))
+    found = null_safe_join(df, first, keys, "inner").filter(F.col(order) == F.col("_first"))
+    return found.select(*df.columns)
+
+
 def ordinal(df: DataFrame, column: str) -> Column:
     """The order column as a double that never decreases where the column grows."""
     kind = df.schema[column].dataType

@@ -99,6 +99,7 @@ def _distributions(
     extra: list[Column] | None = None,
     large_group: int = LARGE_GROUP,
     weight: str | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """One struct of statistics per named value and group; one pass when no group is large.
 
@@ -108,8 +109,9 @@ def _distributions(
     aggs = list(extra or [])
     for name in values:
         aggs += _moments(name, weight)
-    if has_large_group(df, keys, large_group):
-        large = large_groups(df, keys, large_group)
+    sizes = df if sizes is None else sizes
+    if has_large_group(sizes, keys, large_group):
+        large = large_groups(sizes, keys, large_group)
         flagged = null_safe_join(prepared, large, keys, "left")
         aggs += [percentiles(f"_ms_{n}", weight, large=True).alias(f"_small_{n}") for n in values]
         hot_rows = null_safe_join(prepared, large, keys, "inner")
@@ -145,10 +147,16 @@ def counted_stats(
     return stats.select(*keys, "stats.*")
 
 
-def run_statistics(df: DataFrame, keys: list[str], large_group: int = LARGE_GROUP) -> DataFrame:
+def run_statistics(
+    df: DataFrame,
+    keys: list[str],
+    large_group: int = LARGE_GROUP,
+    sizes: DataFrame | None = None,
+) -> DataFrame:
     """The full metrics record of a run: five stage structs, ratios, fps, iterations, duration.
 
     Expects the ``phase`` column; runs that only have warmup rows come back with zeros.
+    ``sizes`` may be the records before warmup was marked: counting their groups is cheaper.
     """
     test = F.col("phase") == "test"
     values = {s: F.when(test, to_ms(F.col(f"{s}_s"))) for s in STAGES}
@@ -157,7 +165,7 @@ def run_statistics(df: DataFrame, keys: list[str], large_group: int = LARGE_GROU
         F.count_if(test).alias("test"),
         F.count(F.lit(1)).alias("all_iterations"),
     ]
-    stats = _distributions(df, keys, values, counts, large_group)
+    stats = _distributions(df, keys, values, counts, large_group, sizes=sizes)
     return stats.select(
         *keys,
         *STAGES,

@@ -83,12 +83,12 @@ def live_resource_stats(
     slide: str,
     delay: str,
     ts: str = "ts",
-    order: list[str] | None = None,
+    order: str | None = None,
 ) -> DataFrame:
     """``resource_stats`` over sliding windows."""
     source = timed(stream, ts, delay)
     found = source.groupBy(F.window(ts, window, slide), *keys).agg(
-        *resource_aggregates(source.columns, order or [ts])
+        *resource_aggregates(source.columns, order or ts, ts)
     )
     return found.select(*_bounds(), *[c for c in found.columns if c != "window"])
 

@@ -145,7 +145,7 @@ def test_resource_stats_ignore_missing_samples(spark):
         "run_id string, at long, cpu_percent double, memory_percent double, memory_used_mb double, "
         "memory_total_mb double, npu_utilization double",
     ).withColumn("ts", F.timestamp_seconds("at"))
-    got = resources.resource_stats(df, ["run_id"], ["ts"]).first()
+    got = resources.resource_stats(df, ["run_id"], "ts").first()
     assert got.cpu.asDict() == {"avg": 50.0, "max": 50.0, "min": 50.0}
     assert got.memory.current_mb == 30.0 and got.duration_seconds == 2.0 and got.npu is None
-    assert "npu" not in resources.resource_stats(df, ["run_id"], ["ts"], False).columns
+    assert "npu" not in resources.resource_stats(df, ["run_id"], "ts", with_accelerator=False).columns

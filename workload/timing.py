@@ -82,7 +82,7 @@ def _wide_sql(stage: str) -> str:
     FROM phased_v GROUP BY run_id"""
 )
 def run_statistics(spark, sf_dir):
-    stats = ops.run_statistics(phased(spark, sf_dir), ["run_id"])
+    stats = ops.run_statistics(phased(spark, sf_dir), ["run_id"], sizes=timing(spark, sf_dir))
     flat = [
         F.col(f"{s}.{m}").alias(f"{s}_{m}")
         for s in ops.STAGES
