@@ -9,9 +9,10 @@ from runlens.operators.slicing import (
     ROWS_PER_SLICE,
     first_rows,
     has_large_group,
+    large_groups,
     null_safe_join,
+    sized,
     with_position,
-    with_running,
     with_slice,
 )
 from runlens.sources.shared import checkpointed
@@ -77,12 +78,12 @@ def gap_batches(
     inside the session).
     """
     tie = tie or []
-    micros = F.unix_micros(F.col(order).cast("timestamp"))
     gap = int(round(gap_seconds * 1_000_000))
-    timed = df.withColumn("_us", micros)
+    timed = df.withColumn("_us", F.unix_micros(F.col(order).cast("timestamp")))
     opens = F.coalesce(F.col("_us") - F.col("_prev") >= gap, F.lit(True)).cast("bigint")
 
-    if not has_large_group(df, keys, rows_per_slice):
+    large = large_groups(timed, keys, rows_per_slice, order)
+    if large is None:
         run = Window.partitionBy(*keys).orderBy(order, *tie)
         session = Window.partitionBy(*keys, "session_no").orderBy(order, *tie)
         return (
@@ -92,28 +93,47 @@ def gap_batches(
             .drop("_us", "_prev")
         )
 
-    sliced = with_slice(timed, keys, order, rows_per_slice)
-    ends = sliced.groupBy(*keys, "_slice").agg(F.max("_us").alias("_end"))
-    before = ends.select(
-        *keys,
-        "_slice",
-        F.lag("_end").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_before_end"),
+    # Inside a slice: does a row open a session, how many did so far, where did the last open.
+    local = keys + ["_slice"]
+    few = large.slices(rows_per_slice)
+    sliced = with_slice(timed, keys, order, large, rows_per_slice)
+    ends = sliced.filter("_large").groupBy(*local).agg(F.max("_us").alias("_end"))
+    across = Window.partitionBy(*keys).orderBy("_slice")
+    before = ends.select(*local, F.lag("_end").over(across).alias("_before_end"))
+    inside = Window.partitionBy(*local).orderBy(order, *tie)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    marked = (
+        null_safe_join(sliced, sized(before, few), local, "left")
+        .withColumn("_prev", F.coalesce(F.lag("_us").over(inside), F.col("_before_end")))
+        .withColumns({"_opens": opens, "_row": F.row_number().over(inside).cast("bigint")})
+        .withColumns(
+            {
+                "_opened": F.sum("_opens").over(so_far),
+                "_start": F.max(F.when(F.col("_opens") == 1, F.col("_row"))).over(so_far),
+            }
+        )
     )
-    inside = Window.partitionBy(*keys, "_slice").orderBy(order, *tie)
-    linked = null_safe_join(sliced, before, keys + ["_slice"], "left").withColumn(
-        "_prev", F.coalesce(F.lag("_us").over(inside), F.col("_before_end"))
+    # Across slices: rows and sessions of earlier slices, and the row where the open session began.
+    totals = marked.filter("_large").groupBy(*local).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_opens").alias("_o"), F.max("_start").alias("_s")
     )
-    marked = linked.withColumn("_opens", opens).drop("_before_end", "_prev")
-    sessions = with_running(marked, keys, [order, *tie], F.col("_opens"), "session_no")
-    numbered = with_running(sessions, keys, [order, *tie], F.lit(1).cast("bigint"), "_pos")
-    starts = (
-        numbered.filter(F.col("_opens") == 1)
-        .select(*keys, "session_no", F.col("_pos").alias("_start"))
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        totals.withColumn("_rows", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .withColumns(
+            {
+                "_sessions": F.sum("_o").over(earlier),
+                "_began": F.max(F.col("_rows") + F.col("_s")).over(earlier),
+            }
+        )
+        .select(*local, "_rows", "_sessions", "_began")
     )
-    return (
-        null_safe_join(numbered, starts, keys + ["session_no"], "left")
-        .withColumn("batch_no", F.floor((F.col("_pos") - F.col("_start")) / size))
-        .drop("_us", "_opens", "_pos", "_start", "_slice")
+    rows_before = F.coalesce("_rows", F.lit(0))
+    start = F.coalesce(rows_before + F.col("_start"), F.col("_began"))
+    return null_safe_join(marked, sized(carried, few), local, "left").select(
+        *df.columns,
+        (F.col("_opened") + F.coalesce("_sessions", F.lit(0))).alias("session_no"),
+        F.floor((rows_before + F.col("_row") - start) / size).alias("batch_no"),
     )
 
 

@@ -13,26 +13,16 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.operators.slicing import null_safe_join
+from runlens.operators.slicing import BROADCAST_ROWS, null_safe_join, sized
 
 PROBS = (0.5, 0.95, 0.99)
 LARGE_GROUP = 100_000
 MAX_CELLS = 100_000
 
 
-def large_groups(df: DataFrame, keys: list[str], limit: int = LARGE_GROUP) -> DataFrame:
-    """Groups above ``limit`` rows: at most (all rows / limit) of them."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > limit)
-        .select(*keys, F.lit(True).alias("_large"))
-    )
-
-
 def percentiles(column: str, weight: str | None = None, probs=PROBS, large: bool = False) -> Column:
-    """Built-in percentiles; with ``large`` they skip rows flagged as part of a large group."""
-    value = F.when(F.col("_large").isNull(), F.col(column)) if large else F.col(column)
+    """Built-in percentiles; with ``large`` they skip rows of a large group (``_n`` is set)."""
+    value = F.when(F.col("_n").isNull(), F.col(column)) if large else F.col(column)
     wanted = [float(p) for p in probs]
     return F.percentile(value, wanted, F.col(weight)) if weight else F.percentile(value, wanted)
 
@@ -50,10 +40,12 @@ def selected_percentiles(
     probs=PROBS,
     limit: int = LARGE_GROUP,
     weight: str | None = None,
+    groups: int = BROADCAST_ROWS + 1,
 ) -> DataFrame:
     """Percentile arrays ``_q_<column>`` of every group in ``df`` by rank selection.
 
-    With ``weight`` a row stands for that many equal values.
+    With ``weight`` a row stands for that many equal values. ``groups`` is the number of groups
+    where it is known; the tables of bounds and wanted cells have a few rows per group.
     """
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
     times = (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w")
@@ -74,7 +66,8 @@ def selected_percentiles(
         F.col("_hi") > F.col("_lo"),
         F.floor(F.log1p(share * reach) / math.log1p(reach) * F.col("_cells")),
     ).otherwise(F.lit(0))
-    placed = null_safe_join(long, bounds, group, "inner").select(
+    facts = groups * len(columns)
+    placed = null_safe_join(long, sized(bounds, facts), group, "inner").select(
         *group, "_v", "_w", "_n", cell.cast("bigint").alias("_cell")
     )
 
@@ -94,7 +87,9 @@ def selected_percentiles(
     )
     inside = Window.partitionBy(*group, "_cell").orderBy("_v")
     hits = (
-        null_safe_join(placed.drop("_n"), cells, group + ["_cell"], "inner")
+        null_safe_join(
+            placed.drop("_n"), sized(cells, 2 * len(probs) * facts), group + ["_cell"], "inner"
+        )
         .groupBy(*group, "_cell", "_v")
         .agg(
             F.sum("_w").alias("_c"),

@@ -3,11 +3,12 @@
 A window over a key puts all rows of that key into one task. The helpers here
 cut a large group into consecutive slices of its order column, run the window
 inside each slice, and carry what crosses a slice border in a summary with one
-row per slice. Groups up to ``rows_per_slice`` rows stay in one slice, so the
-summary holds at most (all rows / rows_per_slice) rows plus one per prefix.
+row per slice.
 
-Which plan to use is decided by a check of the group sizes (one scan of the key
-columns): without a large group a plain window is the better plan.
+Whether that is needed is decided by a check of the group sizes (one scan of the
+key columns): without a large group a plain window is the better plan. The check
+also tells how many large groups and slices there are, so their tables are
+broadcast only while they are known to be small.
 
 Slices come from exact counts and bounds of each group, so a task that is run
 again after a lost executor puts every row into the same slice.
@@ -15,13 +16,60 @@ again after a lost executor puts every row into the same slice.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runlens.sources.shared import checkpointed
+
 ROWS_PER_SLICE = 1_000_000
+BROADCAST_ROWS = 100_000
+
+
+@dataclass(frozen=True)
+class LargeGroups:
+    """Groups above a size limit: ``frame`` has their keys, ``_n`` and order bounds."""
+
+    frame: DataFrame
+    groups: int
+    rows: int
+
+    def slices(self, rows_per_slice: int) -> int:
+        """No more slices than this come from the large groups."""
+        return self.rows // rows_per_slice + 2 * self.groups
+
+
+def sized(frame: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a side of known size; a larger one is left to a shuffled join."""
+    return F.broadcast(frame) if rows <= BROADCAST_ROWS else frame
+
+
+def large_groups(
+    df: DataFrame, keys: list[str], limit: int, order: str | None = None
+) -> LargeGroups | None:
+    """The groups with more than ``limit`` rows, or None; at most (all rows / limit) of them."""
+    facts = [F.count(F.lit(1)).alias("_n")]
+    if order is not None:
+        at = ordinal(df, order)
+        facts += [F.min(at).alias("_lo"), F.max(at).alias("_hi")]
+    found = df.groupBy(*keys).agg(*facts).filter(F.col("_n") > limit).persist()
+    try:
+        if found.isEmpty():
+            return None
+        kept = checkpointed(found)
+    finally:
+        found.unpersist()
+    groups, rows = kept.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    return LargeGroups(kept, groups, rows)
+
+
+def has_large_group(df: DataFrame, keys: list[str], limit: int) -> bool:
+    """Whether any group of ``keys`` has more than ``limit`` rows."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return not sizes.filter(F.col("_n") > limit).isEmpty()
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -36,12 +84,6 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     return left.join(renamed, condition, how).drop(*[f"__right_{k}" for k in keys])
 
 
-def has_large_group(df: DataFrame, keys: list[str], limit: int) -> bool:
-    """Whether any group of ``keys`` has more than ``limit`` rows."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return not sizes.filter(F.col("_rows") > limit).isEmpty()
-
-
 def first_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row with the smallest ``order`` (unique per group) of every group.
 
@@ -69,51 +111,25 @@ def with_slice(
     df: DataFrame,
     keys: list[str],
     order: str,
+    large: LargeGroups | None,
     rows_per_slice: int = ROWS_PER_SLICE,
-    name: str = "_slice",
 ) -> DataFrame:
-    """Add a slice number that grows with ``order`` inside each group of ``keys``."""
-    at = ordinal(df, order)
-    large = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-        .filter((F.col("_n") > rows_per_slice) & (F.col("_hi") > F.col("_lo")))
-    )
+    """Add ``_slice``, which grows with ``order`` inside each large group, and ``_large``."""
+    if large is None:
+        return df.withColumns({"_slice": F.lit(0).cast("bigint"), "_large": F.lit(False)})
     share = (ordinal(df, order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    cut = F.floor(share * F.ceil(F.col("_n") / rows_per_slice))
-    return (
-        null_safe_join(df, large, keys, "left")
-        .withColumn(name, F.coalesce(cut, F.lit(0).cast("bigint")))
-        .drop("_n", "_lo", "_hi")
+    cut = F.when(
+        F.col("_hi") > F.col("_lo"), F.floor(share * F.ceil(F.col("_n") / rows_per_slice))
     )
-
-
-def with_running(
-    sliced: DataFrame,
-    keys: list[str],
-    order: list[str],
-    value: Column,
-    name: str,
-    prefix: list[str] | None = None,
-) -> DataFrame:
-    """Running sum of ``value`` up to and including each row, over a sliced frame.
-
-    ``order`` sorts inside one (keys, prefix, slice); prefix columns sort first.
-    """
-    prefix = prefix or []
-    local = keys + prefix + ["_slice"]
-    valued = sliced.withColumn("_v", value)
-    sums = valued.groupBy(*local).agg(F.sum("_v").alias("_s"))
-    across = Window.partitionBy(*keys).orderBy(*prefix, "_slice")
-    offsets = sums.select(
-        *local, (F.sum("_s").over(across) - F.col("_s")).alias("_before")
-    ).filter(F.col("_before") != 0)
-    within = Window.partitionBy(*local).orderBy(*order)
-    running = F.sum("_v").over(within.rowsBetween(Window.unboundedPreceding, 0))
     return (
-        null_safe_join(valued, offsets, local, "left")
-        .withColumn(name, running + F.coalesce(F.col("_before"), F.lit(0)))
-        .drop("_v", "_before")
+        null_safe_join(df, sized(large.frame, large.groups), keys, "left")
+        .withColumns(
+            {
+                "_slice": F.coalesce(cut, F.lit(0).cast("bigint")),
+                "_large": F.col("_n").isNotNull(),
+            }
+        )
+        .drop("_n", "_lo", "_hi")
     )
 
 
@@ -132,13 +148,29 @@ def with_position(
     """
     tie = tie or []
     keyed, keys = with_keys(df, keys)
-    if not has_large_group(keyed, keys, rows_per_slice):
+    *prefix, last = order
+    large = large_groups(keyed, keys, rows_per_slice, None if prefix else last)
+    if large is None:
         whole = Window.partitionBy(*keys).orderBy(*order, *tie)
         return keyed.withColumn(name, F.row_number().over(whole).cast("bigint")).drop("_all")
-    *prefix, last = order
-    sliced = with_slice(keyed, keys + prefix, last, rows_per_slice)
-    numbered = with_running(sliced, keys, [last, *tie], F.lit(1).cast("bigint"), name, prefix)
-    return numbered.drop("_slice", "_all")
+    if prefix:
+        large = large_groups(keyed, keys + prefix, rows_per_slice, last)
+    sliced = with_slice(keyed, keys + prefix, last, large, rows_per_slice)
+    local = keys + prefix + ["_slice"]
+    counted = sliced if prefix else sliced.filter("_large")
+    counts = counted.groupBy(*local).agg(F.count(F.lit(1)).alias("_c"))
+    across = Window.partitionBy(*keys).orderBy(*prefix, "_slice")
+    offsets = counts.select(
+        *local, (F.sum("_c").over(across) - F.col("_c")).alias("_before")
+    ).filter(F.col("_before") != 0)
+    if not prefix:
+        offsets = sized(offsets, large.slices(rows_per_slice))
+    within = Window.partitionBy(*local).orderBy(last, *tie)
+    return (
+        null_safe_join(sliced, offsets, local, "left")
+        .withColumn(name, F.row_number().over(within) + F.coalesce("_before", F.lit(0)))
+        .drop("_before", "_slice", "_large", "_all")
+    )
 
 
 def with_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:

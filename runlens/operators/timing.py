@@ -13,14 +13,15 @@ from runlens.functions.measures import fps, fps_per_mpix, pixels, to_ms
 from runlens.operators.quantiles import (
     LARGE_GROUP,
     PROBS,
-    large_groups,
     percentiles,
     selected_percentiles,
 )
 from runlens.operators.slicing import (
     ROWS_PER_SLICE,
     has_large_group,
+    large_groups,
     null_safe_join,
+    sized,
     with_halo,
     with_keys,
     with_position,
@@ -109,15 +110,19 @@ def _distributions(
     aggs = list(extra or [])
     for name in values:
         aggs += _moments(name, weight)
-    sizes = df if sizes is None else sizes
-    if has_large_group(sizes, keys, large_group):
-        large = large_groups(sizes, keys, large_group)
-        flagged = null_safe_join(prepared, large, keys, "left")
+    large = large_groups(df if sizes is None else sizes, keys, large_group)
+    if large is not None:
+        known = sized(large.frame, large.groups)
+        flagged = null_safe_join(prepared, known, keys, "left")
         aggs += [percentiles(f"_ms_{n}", weight, large=True).alias(f"_small_{n}") for n in values]
-        hot_rows = null_safe_join(prepared, large, keys, "inner")
+        hot_rows = null_safe_join(prepared, known, keys, "inner").drop("_n")
         names = [f"_ms_{n}" for n in values]
-        hot = selected_percentiles(hot_rows, keys, names, PROBS, large_group, weight)
-        both = null_safe_join(flagged.groupBy(*keys).agg(*aggs), hot, keys, "left")
+        hot = selected_percentiles(
+            hot_rows, keys, names, PROBS, large_group, weight, large.groups
+        )
+        both = null_safe_join(
+            flagged.groupBy(*keys).agg(*aggs), sized(hot, large.groups), keys, "left"
+        )
         both = both.withColumns(
             {f"_p_{n}": F.expr(f"coalesce(_small_{n}, _q__ms_{n})") for n in values}
         )
