@@ -99,7 +99,7 @@ def write_inference_results(spark, sf_dir):
 @query(
     """SELECT 'scenario-' || scenario_no AS task_name,
       CASE WHEN route_type = '' THEN 'standard' ELSE route_type END AS route_type,
-      count(*) AS results, round(sum(coalesce(pure_fps, 0)), 4) AS fps
+      count(*) AS results, round(sum(coalesce(pure_fps, 0)), 6) AS fps
     FROM results_v GROUP BY ALL"""
 )
 def write_archive(spark, sf_dir):
@@ -110,7 +110,7 @@ def write_archive(spark, sf_dir):
     sinks.write_archive(rows, root)
     return spark.read.parquet(root).groupBy("task_name", "route_type").agg(
         F.count(F.lit(1)).alias("results"),
-        F.round(F.sum(F.coalesce("pure_fps", F.lit(0.0))), 4).alias("fps"),
+        F.round(F.sum(F.coalesce("pure_fps", F.lit(0.0))), 6).alias("fps"),
     )
 
 
