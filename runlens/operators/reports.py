@@ -240,13 +240,17 @@ def report_lines(
     ``df`` holds report rows plus the unique ``order`` column that numbers them. The lines
     stay distributed; sort by both numbers to print them.
     """
-    numbered = (
-        with_position(df, [], [order], "result_no", rows_per_slice)
-        if style == "text"
-        else df.withColumn("result_no", F.col(order))
-    )
+    if style == "text":
+        # Only the order column is numbered; the wide rows keep their tasks if numbers are few.
+        numbers = with_position(df.select(order), [], [order], "result_no", rows_per_slice)
+        numbered = df.join(numbers, order)
+    else:
+        numbered = df.withColumn("result_no", F.col(order))
     lines = F.array_compact(F.array(*STYLES[style]()))
-    return numbered.select("result_no", F.posexplode(lines).alias("line_no", "line"))
+    # The outer form: for the inner one Spark adds a filter on the size of the array, which
+    # would format every line twice.
+    exploded = numbered.select("result_no", F.posexplode_outer(lines).alias("line_no", "line"))
+    return exploded.filter(F.col("line_no").isNotNull())
 
 
 def route_table_lines(comparison: DataFrame) -> DataFrame:

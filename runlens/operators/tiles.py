@@ -132,8 +132,10 @@ def tile_weight_map(images: DataFrame, tile: int = 640, overlap: float = 0.25) -
         _axis_weights(F.col("width"), tile, overlap).alias("_wx"),
     )
     weight = F.col("_a") * F.col("_b")
+    # Arrays are never empty here; the outer form spares the size filter Spark would add, which
+    # computes them a second time.
     return (
-        axes.select("image_id", "_wx", F.posexplode("_wy").alias("y", "_a"))
-        .select("image_id", "y", "_a", F.posexplode("_wx").alias("x", "_b"))
+        axes.select("image_id", "_wx", F.posexplode_outer("_wy").alias("y", "_a"))
+        .select("image_id", "y", "_a", F.posexplode_outer("_wx").alias("x", "_b"))
         .select("image_id", "y", "x", F.when(weight < 1e-6, 1.0).otherwise(weight).alias("weight"))
     )
