@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.text import resolve_route
-from runlens.operators.slicing import ROWS_PER_SLICE, with_position
+from runlens.operators.slicing import ROWS_PER_SLICE, null_safe_join, with_position
 
 REPORT_COLUMNS = (
     "scenario_name",
@@ -243,7 +243,7 @@ def report_lines(
     if style == "text":
         # Only the order column is numbered; the wide rows keep their tasks if numbers are few.
         numbers = with_position(df.select(order), [], [order], "result_no", rows_per_slice)
-        numbered = df.join(numbers, order)
+        numbered = null_safe_join(df, numbers, [order], "left")
     else:
         numbered = df.withColumn("result_no", F.col(order))
     lines = F.array_compact(F.array(*STYLES[style]()))

@@ -31,3 +31,23 @@ def test_runs(spark, name):
 def test_driver_contract(spark):
     assert driver.entry(spark).count() > 0
     assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["build_matrix", "build_tasks", "device_capability", "compare_to_baseline", "merge_tile_results",
+     "resource_stats", "gap_batches", "priority_batches", "route_comparison", "tier_and_resolution"],
+)
+def test_plan_has_no_cross_join(spark, name):
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_hash_aggregation_for_latest_sample(spark):
+    plan = QUERIES["resource_stats"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_only_read_columns_reach_the_scan(spark):
+    plan = QUERIES["stage_stats_many_runs"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "l_comment" not in plan and "l_shipdate" not in plan and "l_quantity" in plan
