@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runlens.llm import extract, packing, tokens, url_model
+from runlens.llm import extract, langid, packing, tokens, url_model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +41,10 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_model.judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.in_fold("doc_id", 3, 1))
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.identify(docs, model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
