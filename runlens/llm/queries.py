@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import extract, langid, packing, tokens, url_model
+from runlens.llm import extract, langid, neardup, packing, tokens, url_model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,8 @@ def op7_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.in_fold("doc_id", 3, 1))
     model = langid.fit(docs.where(~F.col("held_out")))
     return langid.identify(docs, model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
