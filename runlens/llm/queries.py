@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import extract, langid, neardup, packing, phrase_index, pseudonyms, tokens, url_model
+from runlens.llm import extract, langid, neardup, packing, phrase_index, pseudonyms, tokens, topk, url_model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,11 @@ ORACLES["op10_phrase_index"] = phrase_index.ORACLE
 @query
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_values")
+
+
+@query
+def op8_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+ORACLES["op8_top_products"] = topk.ORACLE
