@@ -28,6 +28,8 @@ BITS_PER_DOUBLING = 12
 CHUNK = 1 << 15
 #: Texts whose two best languages are closer than this (difference of scores) are ambiguous.
 CLOSE = 0.1
+#: A corpus rejects texts that score less.
+LEAST_SCORE = 0.3
 
 _LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -171,6 +173,12 @@ def predicted(text: Column, model: Model) -> Column:
     return decoded(text)
 
 
+def accepted(text: Column, model: Model, least: float = LEAST_SCORE) -> Column:
+    """Whether a text has a language: some letter, and a score that is better than a guess."""
+    lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    return F.when(lettered, predicted(F.when(lettered, text), model)["score"] >= least).otherwise(False)
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Every row with lang_pred, score (0 to 1) and ambiguous.
 

@@ -212,3 +212,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each component with all its columns: the one of the smallest id, one row if it is
+    repeated. Rows without an id stay."""
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_doc_id")).distinct()
+    named = docs.join(kept, docs["doc_id"] == F.col("kept_doc_id"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -147,14 +147,8 @@ def proximity_matches(index: Index, items: Items, slop: int) -> DataFrame:
     return full.select("doc", "text_hash", "item", "start").distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each row of ``docs`` (doc_id, text).
-
-    A word is hit if it lies in an occurrence of any window of WINDOW consecutive item words. Null or empty
-    texts have no words; items without words have no windows; an item without an id hits words but is not
-    named or counted. Repeated rows are judged each, by their own text. Without items nothing is hit.
-    """
-    index, items = build_index(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))
+def hit_documents(index: Index, items: Items) -> DataFrame:
+    """(doc, text_hash, n_hit, ids): documents with a window of some item, the words in them, and the items' ids."""
     matches = staged(phrase_matches(index, items), "matches")
     key = ["doc", "text_hash"]
     hit = (
@@ -165,22 +159,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         matches.select(*key, "item").distinct().join(items.names, "item")
         .groupBy(*key).agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
     )
-    told = staged(
-        hit.alias("a").join(
-            named.alias("b"),
-            F.col("a.doc").eqNullSafe(F.col("b.doc")) & (F.col("a.text_hash") == F.col("b.text_hash")), "left",
-        ).select("a.*", "ids"), "hits",
-    )
+    same = F.col("a.doc").eqNullSafe(F.col("b.doc")) & (F.col("a.text_hash") == F.col("b.text_hash"))
+    return staged(hit.alias("a").join(named.alias("b"), same, "left").select("a.*", "ids"), "hits")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each row of ``docs`` (doc_id, text).
+
+    A word is hit if it lies in an occurrence of any window of WINDOW consecutive item words. Null or empty
+    texts have no words; items without words have no windows; an item without an id hits words but is not
+    named or counted. Repeated rows are judged each, by their own text. Without items nothing is hit.
+    """
+    index, items = build_index(docs, benchmark)
+    told = broadcast_if_small(hit_documents(index, items), BROADCAST_ROWS)
     rows = index.postings.where(F.col("term") == END_TERM).select("doc", "text_hash", F.col("pos").alias("n_words"))
     same = F.col("r.doc").eqNullSafe(F.col("t.doc")) & (F.col("r.text_hash") == F.col("t.text_hash"))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
-    return rows.alias("r").join(broadcast_if_small(told, BROADCAST_ROWS).alias("t"), same, "left").select(
+    return rows.alias("r").join(told.alias("t"), same, "left").select(
         F.col("r.doc").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
 
 
+def without_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in which no window of the benchmark occurs, with all their columns."""
+    told = broadcast_if_small(hit_documents(*build_index(docs, benchmark)), BROADCAST_ROWS)
+    same = docs["doc_id"].eqNullSafe(F.col("t.doc")) & (F.xxhash64(docs["text"]) == F.col("t.text_hash"))
+    return docs.join(told.alias("t"), same, "left_anti")
+
+
 def _sql_words(column: str) -> str:
     return rf"regexp_extract_all(translate(coalesce({column}, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
