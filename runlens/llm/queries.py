@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import extract, langid, neardup, packing, phrase_index, pseudonyms, tokens, topk, url_model
+from runlens.llm import extract, langid, neardup, packing, phrase_index, pseudonyms, tokens, topk, toxicity, url_model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,11 @@ def op8_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op8_top_products"] = topk.ORACLE
+
+
+@query
+def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.in_fold("doc_id", 4, 2))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.where(~F.col("held_out")).select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
