@@ -21,8 +21,8 @@ from runlens.llm.staging import staged
 SCALE = 1024
 #: Candidates of a block, and queries that meet it at once.
 BLOCK, QUERIES = 4096, 512
-#: Rotated dimensions of the partial sum, as a share of all.
-HEAD = 0.25
+#: Shares of the rotated dimensions that the partial sums take in, one after another.
+HEADS = (0.25, 0.5, 0.75, 1.0)
 #: Doubles add whole numbers exactly below this.
 EXACT = 2.0**53
 #: Rounding of the rotated bounds, relative to the product of lengths.
@@ -83,25 +83,32 @@ def best_of_block(queries: pd.DataFrame, others: pd.DataFrame, turn: np.ndarray,
     if queries.empty or others.empty:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
     dimensions = len(turn)
-    head = max(1, int(dimensions * HEAD))
     others = others.sort_values("id", kind="stable")
     ids, whole = others["id"].to_numpy(), matrix(others["v"], dimensions)
     turned = whole.astype(float) @ turn
-    rest = np.linalg.norm(turned[:, head:], axis=1)
     length = np.linalg.norm(turned, axis=1)
     found = []
     for at in range(0, len(queries), QUERIES):
         part = queries.iloc[at : at + QUERIES]
         q_ids, q_whole = part["id"].to_numpy(), matrix(part["v"], dimensions)
         q = q_whole.astype(float) @ turn
-        q_rest, q_length = np.linalg.norm(q[:, head:], axis=1), np.linalg.norm(q, axis=1)
-        slack = np.outer(q_length, length) * SLACK
-        partial = q[:, :head] @ turned[:, :head].T
-        spread = np.outer(q_rest, rest) + slack
+        slack = np.outer(np.linalg.norm(q, axis=1), length) * SLACK
         least = part["least"].astype(float).fillna(-np.inf).to_numpy()
-        if len(ids) > k:  # k + 1 lower bounds, one of which may be the query's own vector
-            least = np.maximum(least, np.partition(partial - spread, -(k + 1), axis=1)[:, -(k + 1)])
-        row, column = np.nonzero((partial + spread >= least[:, None]) & (q_ids[:, None] != ids[None, :]))
+        alive, columns = q_ids[:, None] != ids[None, :], np.arange(len(ids))
+        partial, done = np.zeros(alive.shape), 0
+        for share in HEADS:
+            head = max(1, round(dimensions * share))
+            partial += q[:, done:head] @ turned[columns, done:head].T
+            done = head
+            spread = slack + np.outer(np.linalg.norm(q[:, head:], axis=1), np.linalg.norm(turned[columns, head:], axis=1))
+            lower = np.where(alive, partial - spread, -np.inf)
+            if lower.shape[1] >= k:
+                least = np.maximum(least, np.partition(lower, -k, axis=1)[:, -k])
+            alive &= partial + spread >= least[:, None]
+            some = alive.any(axis=0)
+            alive, partial, slack, columns = alive[:, some], partial[:, some], slack[:, some], columns[some]
+        row, column = np.nonzero(alive)
+        column = columns[column]
         score = exact_products(q_whole[row], whole[column])
         order = np.lexsort((ids[column], -score, row)) if score.dtype != object else np.array(
             sorted(range(len(row)), key=lambda i: (row[i], -score[i], ids[column[i]])), int
