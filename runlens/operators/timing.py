@@ -74,12 +74,12 @@ def _moments(name: str, weight: str | None = None) -> list[Column]:
         "count": f"count({value})",
     }
     if weight:
-        total, square = f"sum({value} * {weight})", f"sum({value} * {value} * {weight})"
-        count = f"sum(if({value} IS NULL, 0, {weight}))"
-        mean = f"({total} / {count})"
+        total, count = f"sum({value} * {weight})", f"sum(if({value} IS NULL, 0, {weight}))"
+        # Deviations from the group's mean: a difference of large squares would cancel.
+        square = f"sum(({value} - _mean_{name}) * ({value} - _mean_{name}) * {weight})"
         found.update(
-            avg=f"if({count} > 0, {mean}, NULL)",
-            std=f"if({count} > 0, sqrt(greatest({square} / {count} - {mean} * {mean}, 0)), NULL)",
+            avg=f"if({count} > 0, {total} / {count}, NULL)",
+            std=f"if({count} > 0, sqrt({square} / {count}), NULL)",
             sum=total,
             count=count,
         )
@@ -107,6 +107,13 @@ def _distributions(
     With ``weight`` a row stands for that many equal values.
     """
     prepared = df.select("*", *[v.alias(f"_ms_{n}") for n, v in values.items()])
+    if weight:
+        means = [
+            F.try_divide(F.sum(F.col(f"_ms_{n}") * F.col(weight)), F.sum(F.when(F.col(f"_ms_{n}").isNotNull(), F.col(weight))))
+            .alias(f"_mean_{n}")
+            for n in values
+        ]
+        prepared = null_safe_join(prepared, prepared.groupBy(*keys).agg(*means), keys, "left")
     aggs = list(extra or [])
     for name in values:
         aggs += _moments(name, weight)

@@ -149,3 +149,10 @@ def test_resource_stats_ignore_missing_samples(spark):
     assert got.cpu.asDict() == {"avg": 50.0, "max": 50.0, "min": 50.0}
     assert got.memory.current_mb == 30.0 and got.duration_seconds == 2.0 and got.npu is None
     assert "npu" not in resources.resource_stats(df, ["run_id"], "ts", with_accelerator=False).columns
+
+
+def test_counted_spread_of_large_values(spark):
+    df = spark.createDataFrame([("a", 1e8, 1), ("a", 1e8 + 1, 1), ("a", 1e8 + 2, 1), ("b", 5.0, 3), ("c", None, 2)], "k string, ms double, n long")
+    got = {r.k: r for r in timing.counted_stats(df, ["k"], "ms", "n").collect()}
+    assert abs(got["a"].std - 0.816497) < 1e-6 and got["a"].avg == 1e8 + 1
+    assert (got["b"].std, got["b"]["count"], got["c"].std) == (0.0, 3, 0.0)
