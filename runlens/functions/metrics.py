@@ -15,12 +15,13 @@ def merge_levels(left: Column, right: Column) -> Column:
 
 
 def deep_merge(left: Column, right: Column) -> Column:
-    """Merge maps of maps; the right side wins per inner key, a missing side keeps the other."""
-    return F.map_zip_with(
+    """Merge maps of maps; the right side wins per inner key, a missing side (or map) keeps the other."""
+    merged = F.map_zip_with(
         left,
         right,
         lambda _, a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(merge_levels(a, b)),
     )
+    return F.when(left.isNull(), right).when(right.isNull(), left).otherwise(merged)
 
 
 def split_metrics(metrics: Column) -> Column:

@@ -144,13 +144,10 @@ def reassemble_batches(
 
     A batch with more than ``parts_per_row`` sub-batches continues in further rows
     (``part_no``), so no row grows with the batch. A sub-batch that was delivered twice
-    keeps the later delivery by ``order``.
+    keeps the later delivery by ``order``, or the largest result without one.
     """
-    unique = df
-    if order:
-        unique = df.groupBy("batch_id", "sub_batch_id").agg(
-            F.max_by("result", F.struct(*order)).alias("result")
-        )
+    newest = F.max_by("result", F.struct(*order)) if order else F.max("result")
+    unique = df.groupBy("batch_id", "sub_batch_id").agg(newest.alias("result"))
     entry = F.struct("sub_batch_id", "result")
     return (
         unique.withColumn("part_no", F.floor(F.col("sub_batch_id") / parts_per_row))

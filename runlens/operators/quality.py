@@ -290,7 +290,10 @@ COMMAND_RULES = (
 
 
 def validate_configs(df: DataFrame, rules=RUNTIME_RULES) -> DataFrame:
-    """Add ``errors``, ``warnings`` and ``is_valid`` to a table of run configurations."""
+    """Add ``errors``, ``warnings``, ``is_valid`` and ``unchecked`` to a table of run configurations.
+
+    ``unchecked`` lists the rules whose columns the table lacks: they can neither pass nor fail.
+    """
     have = set(df.columns)
     usable = [r for r in rules if have.issuperset(r.needs)]
 
@@ -302,6 +305,10 @@ def validate_configs(df: DataFrame, rules=RUNTIME_RULES) -> DataFrame:
         df.withColumn("errors", listed(ERROR))
         .withColumn("warnings", listed(WARNING))
         .withColumn("is_valid", F.size("errors") == 0)
+        .withColumn(
+            "unchecked",
+            F.array(*[F.lit(r.message) for r in rules if r not in usable]).cast("array<string>"),
+        )
     )
 
 

@@ -101,9 +101,9 @@ def archive_route_label(df: DataFrame, keys: list[str]) -> DataFrame:
     return routes.groupBy(*keys).agg(label.alias("route_label"))
 
 
-def _metric(group: str, name: str) -> Column:
+def _metric(group: str, name: str, missing: float = 0.0) -> Column:
     inner = F.try_element_at("metrics", F.lit(group))
-    return F.coalesce(F.try_element_at(inner, F.lit(name)), F.lit(0.0))
+    return F.coalesce(F.try_element_at(inner, F.lit(name)), F.lit(missing))
 
 
 def _usage(group: str, name: str) -> Column:
@@ -152,7 +152,7 @@ def _text_lines() -> list[Column]:
         + _if_group(
             "metrics",
             "strategy",
-            F.format_string("  speedup: %.2fx", _metric("strategy", "speedup")),
+            F.format_string("  speedup: %.2fx", _metric("strategy", "speedup", 1.0)),
             F.format_string("  efficiency: %.1f%%", _metric("strategy", "parallel_efficiency")),
         )
     )

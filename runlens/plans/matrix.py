@@ -89,7 +89,7 @@ def build_route_matrix(
 def augment_matrix(images: DataFrame, resolutions=tuple(RESOLUTIONS), count: int = 1) -> DataFrame:
     """Every image x copy x known resolution, with the file name of the resized copy."""
     name = F.element_at(F.split("path", "/"), -1)
-    has_suffix = F.instr(F.substring(name, 2, 1_000_000), ".") > 0
+    has_suffix = F.expr("instr(substring(element_at(split(path, '/'), -1), 2), '.') > 0")
     stem = F.when(has_suffix, F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
     suffix = F.when(has_suffix, F.regexp_extract(name, r"(\.[^.]*)$", 1)).otherwise(F.lit(".jpg"))
     copy = F.explode(F.sequence(F.lit(1), F.lit(count))).alias("copy")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,9 +15,9 @@ IMAGE_SCHEMA = "origin string, height int, width int, channels int, data binary"
 
 
 def has_suffix(path: Column, suffixes=IMAGE_SUFFIXES) -> Column:
-    """Case-insensitive suffix test on a path."""
-    kept = "|".join(s.lstrip(".") for s in suffixes)
-    return F.lower(path).rlike(rf"\.({kept})$")
+    """Case-insensitive suffix test on a path; suffixes are plain text, with or without their point."""
+    ends = [F.lower(path).endswith("." + s.lstrip(".").lower()) for s in suffixes]
+    return reduce(or_, ends) if ends else F.lit(False)
 
 
 def scan_images(spark: SparkSession, paths: list[str], suffixes=IMAGE_SUFFIXES) -> DataFrame:

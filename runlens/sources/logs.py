@@ -36,6 +36,6 @@ def sample_logs(df: DataFrame, rate: float, ident: Column, seed: int = 0) -> Dat
     """
     if rate >= 1.0:
         return df
-    drawn = F.pmod(F.xxhash64(ident, F.lit(seed)), F.lit(1_000_000))
-    keep = F.col("level").isin(*ALWAYS_KEPT) | (drawn < int(rate * 1_000_000))
+    drawn = F.shiftrightunsigned(F.xxhash64(ident, F.lit(seed)), 1)
+    keep = F.col("level").isin(*ALWAYS_KEPT) | (drawn < int(max(rate, 0.0) * 2**63))
     return df.filter(F.coalesce(keep, F.lit(False)))

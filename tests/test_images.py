@@ -212,3 +212,13 @@ def test_stages_and_callbacks(spark):
     total = spark.sparkContext.accumulator(0)
     scoring.on_result(staged, lambda row: total.add(row.v))
     assert total.value == 150
+
+
+def test_suffixes_are_plain_text(spark):
+    from runlens.sources.images import has_suffix
+
+    df = spark.createDataFrame([("a.PNG",), ("b.q.z",), ("b.q9z",), ("apng",)], "p string")
+    names = lambda suffixes: [r.p for r in df.filter(has_suffix(F.col("p"), suffixes)).collect()]
+    assert names((".PNG",)) == names(("png",)) == ["a.PNG"]
+    assert names((".q.z",)) == ["b.q.z"]
+    assert names(()) == []

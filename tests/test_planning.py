@@ -179,3 +179,10 @@ def test_device_capability(spark):
     )
     got = {r.id: (r.devices, r.supported) for r in registry.device_capability(scenarios, devices).collect()}
     assert got == {1: (2, True), 2: (0, False)}
+
+
+def test_rules_without_their_columns_are_named(spark):
+    df = spark.createDataFrame([(-1,)], "device_id int")
+    row = quality.validate_configs(df, quality.COMMAND_RULES).first()
+    assert row.errors == ["device_id must be >= 0"] and "unsupported backend" in row.unchecked
+    assert "device_id must be >= 0" not in row.unchecked

@@ -188,3 +188,22 @@ def test_experiment_specs(spark, tmp_path):
     assert {(r.model_path, r.image_path, r.route_type, r.image_size_tier) for r in got} == {
         ("m", "a", "tiled_route", None), ("m", "b", "tiled_route", None),
     }
+
+
+def test_merge_with_a_missing_map(spark):
+    df = spark.createDataFrame([(None, {"b": {"x": 1.0}}), ({"a": {}}, None), (None, None)], f"l {METRICS}, r {METRICS}")
+    got = [r.m for r in df.select(deep_merge(F.col("l"), F.col("r")).alias("m")).collect()]
+    assert got == [{"b": {"x": 1.0}}, {"a": {}}, None]
+
+
+def test_missing_speedup_is_one(spark):
+    df = spark.createDataFrame([(1, "s", "m", "r", [], {"strategy": {"parallel_efficiency": 50.0}}, {}, {}, 0.0)], RESULT)
+    lines = [r.line for r in reports.report_lines(reports.to_report_row(df), "n", "text").orderBy("line_no").collect()]
+    assert "  speedup: 1.00x" in lines
+
+
+def test_low_sampling_rates(spark):
+    df = spark.range(1000).select("id", F.lit("INFO").alias("level"))
+    assert logs.sample_logs(df, 0.0, F.col("id")).count() == 0
+    assert logs.sample_logs(df, -1.0, F.col("id")).count() == 0
+    assert 400 < logs.sample_logs(df, 0.5, F.col("id")).count() < 600

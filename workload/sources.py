@@ -22,7 +22,7 @@ from workload.results import results
 def scan_by_suffix(spark, sf_dir):
     cut = F.regexp_replace("url", r"^(.*\.(com|org))/[a-z]+/[0-9]+$", "$1")
     pages = table(spark, sf_dir, "pages")
-    return pages.filter(image_source.has_suffix(cut, (".COM".lower(), ".org"))).select("page_id", "url")
+    return pages.filter(image_source.has_suffix(cut, (".COM", ".org"))).select("page_id", "url")
 
 
 VIEWS["preproc_v"] = """
@@ -511,7 +511,7 @@ def load_images(spark, sf_dir):
 
 @query("SELECT DISTINCT vec_id // 16 AS image_id FROM embeddings")
 def scan_images(spark, sf_dir):
-    found = image_source.scan_images(spark, [f"{image_files(spark, sf_dir)}/*"], (".TXT".lower(),))
+    found = image_source.scan_images(spark, [f"{image_files(spark, sf_dir)}/*"], (".TXT",))
     return found.filter("length > 0").select(_image_id("path"))
 
 
