@@ -19,22 +19,32 @@ from runlens.sources.shared import scratch_path
 Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
 
-def run_carried(stream: DataFrame, name: str, step: Step, state_schema: str) -> DataFrame:
-    """Run ``step(rows, state) -> (output, new state)`` per trigger until the input is exhausted."""
+def run_carried(
+    stream: DataFrame, name: str, step: Step, state_schema: str, base: str | None = None
+) -> DataFrame:
+    """Run ``step(rows, state) -> (output, new state)`` per trigger until the input is exhausted.
+
+    ``base`` is the folder of progress, state and output: a query that is started again with the same
+    folder goes on where it was. Without one each call starts anew in a scratch folder.
+    """
     spark = stream.sparkSession
-    base = scratch_path(spark, name)
+    base = base or scratch_path(spark, name)
+    empty = step(spark.createDataFrame([], stream.schema), spark.createDataFrame([], state_schema))[0]
+    empty.write.mode("overwrite").parquet(f"{base}/out/trigger=-1")
 
     def each(rows: DataFrame, batch_id: int) -> None:
         session = rows.sparkSession
         rows.persist()
-        if batch_id:
-            state = session.read.schema(state_schema).parquet(f"{base}/state/{batch_id - 1}")
-        else:
-            state = session.createDataFrame([], state_schema)
-        output, new_state = step(rows, state)
-        new_state.write.mode("overwrite").parquet(f"{base}/state/{batch_id}")
-        output.write.mode("overwrite").parquet(f"{base}/out/trigger={batch_id}")
-        rows.unpersist()
+        try:
+            if batch_id:
+                state = session.read.schema(state_schema).parquet(f"{base}/state/{batch_id - 1}")
+            else:
+                state = session.createDataFrame([], state_schema)
+            output, new_state = step(rows, state)
+            new_state.write.mode("overwrite").parquet(f"{base}/state/{batch_id}")
+            output.write.mode("overwrite").parquet(f"{base}/out/trigger={batch_id}")
+        finally:
+            rows.unpersist()
 
     started = (
         stream.writeStream.foreachBatch(each)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,31 +148,41 @@ def _start(stream: DataFrame, base: str):
 
 
 def run_released(
-    stream: DataFrame, name: str, finish: Callable[[DataFrame], DataFrame]
+    stream: DataFrame, name: str, finish: Callable[[DataFrame], DataFrame], base: str | None = None
 ) -> DataFrame:
     """Apply a batch operator to the rows each trigger releases, and return all of its output.
 
-    A trigger that is run again overwrites its own folder.
+    A trigger that is run again overwrites its own folder. ``base`` as in ``run_available``.
     """
     spark = stream.sparkSession
-    base = scratch_path(spark, name)
+    base = base or scratch_path(spark, name)
+    empty = finish(spark.createDataFrame([], stream.schema))
+    empty.write.mode("overwrite").parquet(f"{base}/out/trigger=-1")
 
     def each(rows: DataFrame, batch_id: int) -> None:
         rows.persist()
-        finish(rows).write.mode("overwrite").parquet(f"{base}/out/trigger={batch_id}")
-        rows.unpersist()
+        try:
+            finish(rows).write.mode("overwrite").parquet(f"{base}/out/trigger={batch_id}")
+        finally:
+            rows.unpersist()
 
     _start(stream, base).foreachBatch(each).start().awaitTermination()
     return spark.read.parquet(f"{base}/out").drop("trigger")
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
+def run_available(stream: DataFrame, name: str, base: str | None = None) -> DataFrame:
     """Process all available input in append mode and return what was written.
 
-    Output and progress live in the shared folder, so a restarted query goes on where it was.
+    ``base`` is the folder of progress and output: a query that is started again with the same folder goes
+    on where it was. Without one each call starts anew in a scratch folder.
     """
     spark = stream.sparkSession
-    base = scratch_path(spark, name)
+    base = base or scratch_path(spark, name)
     sink = _start(stream, base).format("parquet").option("path", f"{base}/out")
     sink.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    try:
+        return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], stream.schema)  # no trigger wrote anything

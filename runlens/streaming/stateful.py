@@ -38,34 +38,38 @@ class _Reassemble(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         received, closed = self.meta.get() if self.meta.exists() else (0, False)
-        newest = 0
+        newest = max((int(t) for t in self.handle.listTimers()), default=self.timeout_ms) - self.timeout_ms
         for batch in rows:
-            if closed:
-                late = zip(batch["sub_batch_id"], batch["result"])
-                yield from self._frames(key[0], late, "late")
-                continue
-            for sub, result, expected, ts in zip(
-                batch["sub_batch_id"], batch["result"], batch["expected"], batch["ts"]
+            newest = max(newest, int(batch["ts"].max().timestamp() * 1000))
+            held: dict[int, str] = {}
+            for at, (sub, result, expected) in enumerate(
+                zip(batch["sub_batch_id"], batch["result"], batch["expected"])
             ):
-                newest = max(newest, int(ts.timestamp() * 1000))
-                if not self.parts.containsKey((sub,)):
+                if closed:
+                    late = zip(batch["sub_batch_id"][at:], batch["result"][at:])
+                    yield from self._frames(key[0], late, "late")
+                    break
+                if sub not in held and not self.parts.containsKey((sub,)):
                     received += 1
+                held[sub] = result
+                closed = received >= expected
+            for sub, result in held.items():
                 self.parts.updateValue((sub,), (result,))
-                if received >= expected:
-                    closed = True
-        if closed and self.parts.exists():
-            yield from self._release(key[0], "complete")
-        elif not closed:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(newest + self.timeout_ms)
+            if closed and self.parts.exists():
+                yield from self._release(key[0], "complete")
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(newest + self.timeout_ms)
         self.meta.update((received, closed))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        received, closed = self.meta.get()
-        if not closed:
-            yield from self._release(key[0], "timeout")
-            self.meta.update((received, True))
+        _, closed = self.meta.get()
+        if closed:  # all rows the watermark still lets through are labelled: forget the batch
+            self.meta.clear()
+            return
+        yield from self._release(key[0], "timeout")
+        self.meta.update((0, True))
+        self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.timeout_ms)
 
     def close(self) -> None:
         pass
@@ -75,7 +79,9 @@ def live_reassemble(stream: DataFrame, timeout_ms: int) -> DataFrame:
     """Parts ``(batch_id, sub_batch_id, result, expected, ts)`` released per batch.
 
     ``complete``: all expected parts arrived. ``timeout``: event time passed ``timeout_ms`` after
-    the newest part. ``late``: the batch had been released before. The stream needs a watermark.
+    the newest part. ``late``: the batch had been released before. A row's label depends on the rows before
+    it, not on how they are grouped for Python; of a repeated part the later result counts. A released batch is
+    forgotten once event time is another ``timeout_ms`` further. The stream needs a watermark.
     """
     kind = stream.schema["batch_id"].dataType.simpleString()
     return stream.groupBy("batch_id").transformWithStateInPandas(

@@ -103,3 +103,49 @@ def test_callback_per_row(spark, folder):
     )
     query.awaitTermination()
     assert seen.value == batch(spark, folder).count()
+
+
+@pytest.mark.parametrize("size", [1, 7, 10_000])
+def test_labels_do_not_depend_on_arrow_batches(spark, tmp_path, size):
+    """40 parts of a batch that expects 25, one of them twice, in one trigger."""
+    sent = [(1, i, f"r{i}", 25, 5) for i in range(20)] + [(1, 3, "again", 25, 5)] + [(1, i, f"r{i}", 25, 6) for i in range(20, 40)]
+    schema = "batch_id long, sub_batch_id long, result string, expected int, at long"
+    spark.createDataFrame(sent, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    parts = (
+        spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        .select("batch_id", "sub_batch_id", "result", "expected", F.timestamp_seconds("at").alias("ts"))
+        .withWatermark("ts", "10 seconds")
+    )
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        got = rows(live.run_available(stateful.live_reassemble(parts, 60_000), "arrow"), "sub_batch_id", "result", "status")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    complete = [(i, "again" if i == 3 else f"r{i}", "complete") for i in range(25)]
+    assert got == complete + [(i, f"r{i}", "late") for i in range(25, 40)]
+
+
+def test_restart_goes_on(spark, tmp_path):
+    """A second start with the same folder takes only what is new, and keeps the state of the first."""
+    source, base = tmp_path / "in", str(tmp_path / "base")
+    want = []
+    for part in range(2):
+        sent = [("a", part * 4 + i, 0.5) for i in range(4)]
+        spark.createDataFrame(sent, SCHEMA).coalesce(1).write.mode("append").parquet(str(source))
+        rows_in = spark.readStream.schema(SCHEMA).parquet(str(source))
+        got = carried.run_carried(rows_in, "restart", _count_rows, "run_id string, seen bigint", base)
+        want.append(rows(got, "run_id", "seen"))
+    assert want == [[("a", 4)], [("a", 4), ("a", 8)]]
+
+
+def _count_rows(new, state):
+    both = state.unionByName(new.groupBy("run_id").agg(F.count("*").alias("seen"))).groupBy("run_id").agg(F.sum("seen").alias("seen"))
+    return both, both
+
+
+def test_empty_stream(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    empty = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "none"))
+    assert carried.live_warmup_drop(empty, ["run_id"], "seq", 5).columns == ["run_id", "seq", "lat"]
+    assert live.run_available(empty, "empty").count() == 0
