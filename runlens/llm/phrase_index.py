@@ -66,10 +66,11 @@ def build_index(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     terms = staged(placed.select("word").distinct().select("word", F.monotonically_increasing_id().alias("term")), "terms")
     end = docs.sparkSession.createDataFrame([(END, END_TERM)], "word string, term long")
     looked_up = broadcast_if_small(staged(terms.unionByName(end), "lookup"), BROADCAST_ROWS)
-    occurring = docs.select(
-        F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"),
-        F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("pos", "word"),
-    )
+    # The hash is taken before the words become rows; in one select it would be taken for every word.
+    split = docs.select(
+        F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), F.concat(words(F.col("text")), F.array(F.lit(END))).alias("w")
+    )
+    occurring = split.select("doc", "text_hash", F.posexplode("w").alias("pos", "word"))
     postings = occurring.join(looked_up, "word").select("doc", "text_hash", "term", "pos")
     spelled = placed.join(terms, "word").select("item", "place", "term", "length")
     return Index(staged(postings, "postings"), terms), Items(staged(spelled, "item-words"), windows, names)
