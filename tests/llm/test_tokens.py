@@ -27,7 +27,6 @@ def library(name="byte_bpe_50k.json"):
 @given(st.text(st.sampled_from("ab' .\n\t 　\x85\x1c​é9!<|endoftext|>s"), max_size=60))
 def test_pieces_encode_to_the_same_ids(text):
     use = tokens.encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
-    assert "".join(tokens.pieces(text)) == text
     got = np.frombuffer(next(use.ids([text])), "<u4").tolist()
     assert got == library().encode(text, add_special_tokens=False).ids
 
