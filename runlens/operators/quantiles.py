@@ -13,11 +13,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.operators.slicing import BROADCAST_ROWS, null_safe_join, sized
+from runlens.operators.slicing import BROADCAST_ROWS, CENTRE, null_safe_join, sized
 
 PROBS = (0.5, 0.95, 0.99)
 LARGE_GROUP = 100_000
-MAX_CELLS = 100_000
 
 
 def percentiles(column: str, weight: str | None = None, probs=PROBS, large: bool = False) -> Column:
@@ -55,13 +54,15 @@ def selected_percentiles(
     group = keys + ["_name"]
     bounds = (
         long.groupBy(*group)
-        .agg(F.sum("_w").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        .withColumn("_cells", F.least(F.lit(MAX_CELLS), F.ceil(F.col("_n") * 10 / limit)))
+        .agg(F.sum("_w").alias("_n"), F.percentile_approx("_v", CENTRE, F.lit(10_000)).alias("_c"))
+        .select(*group, "_n", F.col("_c")[0].alias("_lo"), F.col("_c")[1].alias("_hi"))
+        .withColumn("_cells", F.ceil(F.col("_n") * 10 / limit))
     )
     # Latencies crowd near their minimum and have a long tail, so the cells are
     # logarithmic. log1p never decreases, hence cells keep the order of values.
     reach = 1e6
-    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    centred = F.least(F.greatest("_v", "_lo"), F.col("_hi"))
+    share = (centred - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     cell = F.when(
         F.col("_hi") > F.col("_lo"),
         F.floor(F.log1p(share * reach) / math.log1p(reach) * F.col("_cells")),

@@ -26,12 +26,15 @@ from pyspark.sql import types as T
 from runlens.sources.shared import checkpointed
 
 ROWS_PER_SLICE = 1_000_000
+#: Slices and cells divide what lies between these quantiles; the first and the last also take what lies
+#: beyond, so a few outliers cannot squeeze all other rows into one.
+CENTRE = [0.001, 0.999]
 BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
 class LargeGroups:
-    """Groups above a size limit: ``frame`` has their keys, ``_n`` and order bounds."""
+    """Groups above a size limit: ``frame`` has their keys, ``_n`` and the order's central bounds."""
 
     frame: DataFrame
     groups: int
@@ -51,11 +54,7 @@ def large_groups(
     df: DataFrame, keys: list[str], limit: int, order: str | None = None
 ) -> LargeGroups | None:
     """The groups with more than ``limit`` rows, or None; at most (all rows / limit) of them."""
-    facts = [F.count(F.lit(1)).alias("_n")]
-    if order is not None:
-        at = ordinal(df, order)
-        facts += [F.min(at).alias("_lo"), F.max(at).alias("_hi")]
-    found = df.groupBy(*keys).agg(*facts).filter(F.col("_n") > limit).persist()
+    found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).persist()
     try:
         if found.isEmpty():
             return None
@@ -63,6 +62,13 @@ def large_groups(
     finally:
         found.unpersist()
     groups, rows = kept.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    if order is not None:
+        at = ordinal(df, order)
+        theirs = null_safe_join(df, sized(kept, groups), keys, "inner")
+        centre = theirs.groupBy(*keys, "_n").agg(F.percentile_approx(at, CENTRE, F.lit(10_000)).alias("_c"))
+        kept = checkpointed(
+            centre.select(*keys, "_n", F.col("_c")[0].alias("_lo"), F.col("_c")[1].alias("_hi"))
+        )
     return LargeGroups(kept, groups, rows)
 
 
@@ -117,7 +123,8 @@ def with_slice(
     """Add ``_slice``, which grows with ``order`` inside each large group, and ``_large``."""
     if large is None:
         return df.withColumns({"_slice": F.lit(0).cast("bigint"), "_large": F.lit(False)})
-    share = (ordinal(df, order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    centred = F.least(F.greatest(ordinal(df, order), F.col("_lo")), F.col("_hi"))
+    share = (centred - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     cut = F.when(
         F.col("_hi") > F.col("_lo"), F.floor(share * F.ceil(F.col("_n") / rows_per_slice))
     )

@@ -207,3 +207,20 @@ def test_reassembly_keeps_the_later_delivery(spark):
         "batch_id int, sub_batch_id long, result string, at int",
     )
     assert batching.reassemble_batches(df, order=["at"]).collect()[0].results == {0: "new", 1: "x"}
+
+
+def test_one_early_row_does_not_fill_a_slice(spark):
+    """10,000 rows, one of them with a clock reset far back."""
+    df = spark.range(10_000).select(F.lit("a").alias("run"), F.when(F.col("id") == 0, -(10**9)).otherwise(F.col("id")).alias("at"))
+    large = slicing.large_groups(df, ["run"], 100, "at")
+    sizes = [r["count"] for r in slicing.with_slice(df, ["run"], "at", large, 100).groupBy("_slice").count().collect()]
+    assert len(sizes) > 90 and max(sizes) <= 200
+    placed = slicing.with_position(df, ["run"], ["at"], "pos", 100)
+    assert placed.filter(F.col("pos") != F.when(F.col("at") < 0, 1).otherwise(F.col("at") + 1)).count() == 0
+
+
+def test_one_huge_value_does_not_fill_a_cell(spark):
+    values = [(i % 5003) / 5003 for i in range(20_000)] + [1e9]
+    df = spark.createDataFrame([("a", v) for v in values], "k string, v double")
+    got = quantiles.selected_percentiles(df, ["k"], ["v"], limit=100).first()._q_v
+    assert [round(x, 9) for x in got] == [round(float(x), 9) for x in np.percentile(values, [50, 95, 99])]
