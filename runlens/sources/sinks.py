@@ -26,7 +26,8 @@ def write_inference_results(df: DataFrame, path: str) -> None:
 def write_archive(df: DataFrame, root: str, format: str = "parquet") -> None:
     """Store rows per task and route; only the partitions present in ``df`` are replaced.
 
-    Every task writes its own rows, so a route that holds most rows has many writers.
+    Rows of a partition are gathered first, so few files are written; a partition that holds most rows is split
+    over many writers.
     """
     named = df.withColumns(
         {
@@ -35,7 +36,8 @@ def write_archive(df: DataFrame, root: str, format: str = "parquet") -> None:
         }
     )
     (
-        named.write.mode("overwrite")
+        named.hint("rebalance", "task_name", "route_type")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("task_name", "route_type")
         .format(format)

@@ -98,20 +98,16 @@ def write_inference_results(spark, sf_dir):
 
 @query(
     """SELECT 'scenario-' || scenario_no AS task_name,
-      CASE WHEN route_type = '' THEN 'standard' ELSE route_type END AS route_type,
-      count(*) AS results, round(sum(coalesce(pure_fps, 0)), 6) AS fps
-    FROM results_v GROUP BY ALL"""
+      CASE WHEN route_type = '' THEN 'standard' ELSE route_type END AS route_type, result_idx, model_name, pure_fps
+    FROM results_v"""
 )
 def write_archive(spark, sf_dir):
     rows = results(spark, sf_dir).select(
-        F.col("scenario_name").alias("task_name"), "route_type", "model_name", "pure_fps"
+        F.col("scenario_name").alias("task_name"), "route_type", "result_idx", "model_name", "pure_fps"
     )
     root = scratch_path(spark, "archive")
     sinks.write_archive(rows, root)
-    return spark.read.parquet(root).groupBy("task_name", "route_type").agg(
-        F.count(F.lit(1)).alias("results"),
-        F.round(F.sum(F.coalesce("pure_fps", F.lit(0.0))), 6).alias("fps"),
-    )
+    return spark.read.parquet(root).select("task_name", "route_type", "result_idx", "model_name", "pure_fps")
 
 
 @query("SELECT count(*) AS result_count, '1.0' AS version, count(*) AS lines FROM results_v")
@@ -128,11 +124,12 @@ def write_report_json(spark, sf_dir):
         AS backend,
       resolution, multithread_on, CASE WHEN batch_on THEN batch_size ELSE 4 END AS batch_size,
       CASE WHEN batch_on THEN timeout_ms ELSE 10 END::DOUBLE AS timeout_ms, 0.5::DOUBLE AS iou_threshold,
-      '720p' AS input_tier
-    FROM configs_v"""
+      '720p' AS input_tier, false AS unreadable
+    FROM configs_v
+    UNION ALL SELECT NULL, 0, 4, 'pil', '640x640', false, 4, 10, 0.5, '720p', true"""
 )
 def read_run_configs(spark, sf_dir):
-    """Configurations written as JSON lines and read back through the defaults."""
+    """JSON documents that each hold many configurations, and a broken one, through the reader."""
     batch = F.when(F.col("batch_on"), F.struct(F.lit(True).alias("enabled"), "batch_size", "timeout_ms"))
     documents = configs(spark, sf_dir).select(
         F.col("config_id").cast("string").alias("model_path"),
@@ -145,13 +142,13 @@ def read_run_configs(spark, sf_dir):
         ).alias("strategies"),
     )
     path = scratch_path(spark, "configs")
-    documents.write.json(path)
-    read = config_source.with_config_defaults(
-        spark.read.schema(config_source.CONFIG_SCHEMA).json(path)
-    )
-    flat = config_source.flat_configs(read)
+    part = F.pmod(F.xxhash64("model_path"), F.lit(64)).alias("part")
+    whole = documents.groupBy(part).agg(F.to_json(F.collect_list(F.struct(*documents.columns))).alias("value"))
+    broken = spark.range(1).select(F.lit(-1).cast("bigint").alias("part"), F.lit('{"model_path": ').alias("value"))
+    whole.unionByName(broken).write.partitionBy("part").text(path)
+    flat = config_source.flat_configs(config_source.read_run_configs(spark, path))
     return flat.select(
-        F.col("model_path").cast("bigint").alias("config_id"),
+        F.col("model_path").try_cast("bigint").alias("config_id"),
         "device_id",
         "num_threads",
         "backend",
@@ -161,6 +158,7 @@ def read_run_configs(spark, sf_dir):
         "timeout_ms",
         "iou_threshold",
         "input_tier",
+        "unreadable",
     )
 
 
@@ -170,7 +168,7 @@ def read_run_configs(spark, sf_dir):
     UNION ALL SELECT 'scenario', name, 1 FROM scenarios_v"""
 )
 def read_registry(spark, sf_dir):
-    """Registry documents, one per source row, written as JSON and read back."""
+    """Registry documents of many entries each, through the reader."""
     path = scratch_path(spark, "registry")
     parts = [
         ("models", models(spark, sf_dir)),
@@ -178,9 +176,10 @@ def read_registry(spark, sf_dir):
         ("scenarios", scenarios(spark, sf_dir).drop("scenario_id")),
     ]
     for name, rows in parts:
-        rows.select(F.array(F.struct("*")).alias(name)).write.mode("append").json(path)
-    documents = spark.read.schema(config_source.REGISTRY_SCHEMA).json(path)
-    found_models, found_devices, found_scenarios = config_source.registry_tables(documents)
+        document = F.pmod(F.xxhash64("name"), F.lit(16)).alias("document")
+        many = rows.groupBy(document).agg(F.collect_list(F.struct(*rows.columns)).alias(name))
+        many.write.mode("append").partitionBy("document").json(path)
+    found_models, found_devices, found_scenarios = config_source.read_registry(spark, path)
     return (
         found_models.select(F.lit("model").alias("kind"), "name", F.size("input_specs").alias("items"))
         .union(found_devices.select(F.lit("device"), "name", F.size("supported_tiers")))
@@ -215,9 +214,11 @@ def log_lines(spark, sf_dir):
       1 AS extra_keys FROM log_v"""
 )
 def read_structured_logs(spark, sf_dir):
-    parsed = logs.parse_log_lines(log_lines(spark, sf_dir))
+    path = scratch_path(spark, "logs")
+    log_lines(spark, sf_dir).select("value").write.text(path)
+    parsed = logs.read_structured_logs(spark, path)
     return parsed.select(
-        "event_id",
+        F.col("extra")["request_id"].cast("bigint").alias("event_id"),
         "level",
         "logger",
         "line",
