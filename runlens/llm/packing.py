@@ -11,7 +11,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -22,6 +21,8 @@ from runlens.llm.tokens import encoder, tokenizer_path
 BUCKETS = 256
 DIMENSIONS = 4
 BITS = 15
+#: Bytes hashed at once; bounds memory for long texts and stays in the processor's cache.
+CHUNK = 1 << 14
 #: How strongly a projection is stretched before it is cut to BITS bits.
 STRETCH = 3.0
 #: Sequence ids count up from the partition's number times this.
@@ -34,18 +35,14 @@ def projection(dimensions: int = DIMENSIONS) -> np.ndarray:
     return np.random.default_rng(7).standard_normal((BUCKETS, dimensions))
 
 
-def document_vector(text: str) -> np.ndarray:
-    """Unit vector of square-rooted hashed trigram counts; zeros without a trigram."""
-    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    if len(raw) < 3:
-        return np.zeros(BUCKETS)
+def document_vector(raw: np.ndarray) -> np.ndarray:
+    """Unit vector of square-rooted hashed trigram counts of UTF-8 bytes; zeros without a trigram."""
     counts = np.zeros(BUCKETS)
-    for at in range(0, len(raw) - 2, 1 << 20):
-        part = raw[at : at + (1 << 20) + 2].astype(np.uint32)
-        mixed = (part[:-2] * 40503 ^ part[1:-1] * 30011 ^ part[2:] * 2741) * np.uint32(2654435761)
+    for at in range(0, len(raw) - 2, CHUNK):
+        part = raw[at : at + CHUNK + 2].astype(np.uint32)
+        mixed = part[:-2] * np.uint32(2654435761) + part[1:-1] * np.uint32(2246822519) + part[2:] * np.uint32(3266489917)
         counts += np.bincount(mixed >> np.uint32(24), minlength=BUCKETS)
-    rooted = np.sqrt(counts)
-    return rooted / np.sqrt(counts.sum())
+    return np.sqrt(counts / max(counts.sum(), 1))
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -83,14 +80,18 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 def curve_key(text: Column) -> Column:
     """Hilbert key of each text; null counts as empty."""
 
-    @F.pandas_udf("long")
-    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         onto = projection()
         for batch in batches:
-            vectors = np.array([document_vector(t or "") for t in batch]).reshape(len(batch), BUCKETS)
+            large = batch.cast(pa.large_string())
+            _, offsets, data = large.buffers()
+            raw = np.frombuffer(data or b"", np.uint8)
+            ends = np.frombuffer(offsets, np.int64)[large.offset : large.offset + len(large) + 1].tolist()
+            vectors = np.array([document_vector(raw[i:j]) for i, j in zip(ends, ends[1:])]).reshape(-1, BUCKETS)
             squashed = (np.tanh(vectors @ onto * STRETCH) + 1) / 2
             cells = np.minimum(squashed * (1 << BITS), (1 << BITS) - 1).astype(np.int64)
-            yield pd.Series(hilbert_key(cells))
+            yield pa.array(hilbert_key(cells))
 
     return keys(text)
 

@@ -12,29 +12,25 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts are handed to the tokenizer in groups of about so many characters.
 GROUP_CHARS = 1 << 20
-#: Encoded pieces a worker remembers, and the longest piece worth remembering. Only speed depends on them.
-REMEMBERED = 300_000
+#: Encoded pieces a worker remembers (twice so many at most), and the longest piece worth remembering.
+#: Only speed depends on them.
+REMEMBERED = 700_000
 REMEMBERED_CHARS = 40
+#: Words that the tokenizer gets as one text.
+JOINED = 2000
 
 #: A space after white space: there the next cut would not be safe.
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= )")
-
-
-def pieces(text: str) -> list[str]:
-    """Cut before each space that follows a non-space character; joined, the pieces are the text."""
-    if _SPACE_AFTER_SPACE.search(text):
-        return _SAFE_CUT.split(text)
-    first, *rest = text.split(" ")
-    cut = [" " + x for x in rest]
-    return [first, *cut] if first else cut
+#: Further cuts for a piece not met before: no token goes from a letter to a point or comma.
+_FINER_CUT = re.compile(r"(?<=[A-Za-z])(?=[.,])|(?<=\S)(?=\s)")
 
 
 def tokenizer_path(name: str) -> str:
@@ -51,7 +47,10 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.memory: dict[str, bytes] = {}
+        # Ids of a space and a word, by the word; of other pieces, by the piece.
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
         if path.endswith(".model"):
             import sentencepiece
 
@@ -67,6 +66,7 @@ class Encoder:
             self._encode = lambda texts: [
                 e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)
             ]
+            self.spaced = np.zeros(0, bool)
             with open(path, encoding="utf-8") as file:
                 told = json.load(file)
             before = told.get("pre_tokenizer") or {}
@@ -77,10 +77,66 @@ class Encoder:
                 and before.get("use_regex", True)
                 and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in told["added_tokens"])
             )
+            if self.cuts:  # in a byte-level vocabulary this letter stands for a space
+                self.spaced = np.zeros(model.get_vocab_size(), bool)
+                self.spaced[[i for t, i in model.get_vocab().items() if t[0] == "\u0120"]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [pa.array(ids, pa.uint32()).buffers()[1].to_pybytes()[: 4 * len(ids)] if ids else b""
-                for ids in self._encode(texts)]
+        """The ids of each text, asked of the library one by one."""
+        return [np.array(ids, "<u4").tobytes() for ids in self._encode(texts)]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of a space and each word, the words being letters only: joined, each starts where a token
+        starts with a space."""
+        out: list[bytes] = []
+        groups = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        for group, found in zip(groups, self._encode([" " + " ".join(g) for g in groups])):
+            ids = np.array(found, "<u4")
+            cuts = [*np.flatnonzero(self.spaced[ids]).tolist(), len(ids)]
+            raw = ids.tobytes()
+            if len(cuts) != len(group) + 1:
+                out += self.encode([" " + w for w in group])
+            else:
+                out += [raw[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:])]
+        return out
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of a space and each of these words, which memory does not hold."""
+        known: dict[str, bytes] = {}
+        plain: set[str] = set()
+        cut: dict[str, list[str]] = {}
+        for word in words:
+            if (ids := self.older.get(word)) is not None:
+                known[word] = ids
+            elif word.isalpha():
+                plain.add(word)
+            else:
+                cut[word] = parts = _FINER_CUT.split(" " + word)
+                if (stem := parts[0][1:]).isalpha() and stem not in self.words:
+                    if (ids := self.older.get(stem)) is None:
+                        plain.add(stem)
+                    else:
+                        known[stem] = ids
+        names = list(plain)
+        known |= zip(names, self.encode_words(names))
+        names = list({p for parts in cut.values() for p in (parts[1:] if parts[0][1:].isalpha() else parts) if p not in self.others})
+        if len(self.others) > REMEMBERED:
+            self.others = {}
+        self.others |= zip(names, self.encode(names))
+        for word, parts in cut.items():
+            stem = parts[0][1:]
+            if stem.isalpha():
+                first = known[stem] if stem in known else self.words[stem]
+                known[word] = b"".join([first, *[self.piece(p) for p in parts[1:]]])
+            else:
+                known[word] = b"".join([self.piece(p) for p in parts])
+        return known
+
+    def piece(self, text: str) -> bytes:
+        ids = self.others.get(text)
+        if ids is None:
+            ids = self.others[text] = self.encode([text])[0]
+        return ids
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each whole text."""
@@ -89,21 +145,26 @@ class Encoder:
                 yield self.encode([text])[0] if text else b""
             return
         for group in _groups(texts):
-            cut = [pieces(t) if t else [] for t in group]
-            known = self.memory
-            found = [list(map(known.get, c)) for c in cut]
-            missing = {p for c, f in zip(cut, found) if None in f for p, x in zip(c, f) if x is None}
-            new: dict[str, bytes] = {}
-            if missing:
-                names = list(missing)
-                new = dict(zip(names, self.encode(names)))
-            for c, f in zip(cut, found):
-                if new and None in f:
-                    f = [new[p] if x is None else x for p, x in zip(c, f)]
-                yield b"".join(f)
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-            known.update((p, x) for p, x in new.items() if len(p) <= REMEMBERED_CHARS)
+            done: list[bytes | None] = []
+            left: dict[int, tuple[list[str], list[bytes | None]]] = {}
+            for text in group:
+                if _SPACE_AFTER_SPACE.search(text):
+                    done.append(b"".join([self.piece(p) for p in _SAFE_CUT.split(text)]))
+                    continue
+                first, *words = text.split(" ")
+                found = [self.piece(first) if first else b"", *map(self.words.get, words)]
+                try:
+                    done.append(b"".join(found))
+                except TypeError:  # a word is not in memory
+                    left[len(done)] = words, found
+                    done.append(None)
+            new = self.learn({w for words, found in left.values() for w, x in zip(words, found[1:]) if x is None})
+            for at, (words, found) in left.items():
+                done[at] = b"".join([found[0], *[new[w] if x is None else x for w, x in zip(words, found[1:])]])
+            yield from done
+            if len(self.words) > REMEMBERED:
+                self.words, self.older = {}, self.words
+            self.words |= {w: x for w, x in new.items() if len(w) <= REMEMBERED_CHARS}
 
 
 def _groups(texts: list[str]) -> Iterator[list[str]]:
