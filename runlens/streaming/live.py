@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions.measures import to_ms
@@ -99,9 +100,9 @@ def live_gap_sessions(
 ) -> DataFrame:
     """Arrivals without a gap, and the batches of at most ``size`` they are cut into.
 
-    Sessions are merged in each map task first, so a busy key sends sessions, not rows.
+    Under the settings of ``run_available`` sessions are merged in each map task first, so a busy key sends
+    sessions, not rows.
     """
-    stream.sparkSession.conf.set(LOCAL_SESSIONS, "true")
     found = timed(stream, ts, delay).groupBy(F.session_window(ts, gap), *keys).agg(
         F.min(ts).alias("first_arrival"),
         F.max(ts).alias("last_arrival"),
@@ -138,8 +139,24 @@ def on_result_stream(stream: DataFrame, callback: Callable, checkpoint: str, out
     )
 
 
+@contextmanager
+def _settings(spark: SparkSession):
+    """What these streams are planned with; the session has its own settings back afterwards."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, LOCAL_SESSIONS: "true"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def _start(stream: DataFrame, base: str):
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return (
         stream.writeStream.outputMode("append")
         .option("checkpointLocation", f"{base}/progress")
@@ -166,7 +183,8 @@ def run_released(
         finally:
             rows.unpersist()
 
-    _start(stream, base).foreachBatch(each).start().awaitTermination()
+    with _settings(spark):
+        _start(stream, base).foreachBatch(each).start().awaitTermination()
     return spark.read.parquet(f"{base}/out").drop("trigger")
 
 
@@ -179,7 +197,8 @@ def run_available(stream: DataFrame, name: str, base: str | None = None) -> Data
     spark = stream.sparkSession
     base = base or scratch_path(spark, name)
     sink = _start(stream, base).format("parquet").option("path", f"{base}/out")
-    sink.start().awaitTermination()
+    with _settings(spark):
+        sink.start().awaitTermination()
     try:
         return spark.read.schema(stream.schema).parquet(f"{base}/out")
     except AnalysisException as error:
