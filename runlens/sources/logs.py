@@ -29,6 +29,11 @@ def read_structured_logs(spark: SparkSession, path: str | list[str]) -> DataFram
     return parse_log_lines(spark.read.text(path))
 
 
+def sample_bound(rate: float) -> str:
+    """The first 16 hexadecimal digits of a hash are below this for a share ``rate`` of all hashes."""
+    return f"{int(max(rate, 0.0) * 2**64):016x}"
+
+
 def sample_logs(df: DataFrame, rate: float, ident: Column, seed: int = 0) -> DataFrame:
     """Keep errors always and other rows at ``rate``, decided by a hash of ``ident``.
 
@@ -36,6 +41,6 @@ def sample_logs(df: DataFrame, rate: float, ident: Column, seed: int = 0) -> Dat
     """
     if rate >= 1.0:
         return df
-    drawn = F.shiftrightunsigned(F.xxhash64(ident, F.lit(seed)), 1)
-    keep = F.col("level").isin(*ALWAYS_KEPT) | (drawn < int(max(rate, 0.0) * 2**63))
+    drawn = F.substring(F.md5(F.concat_ws(":", ident.cast("string"), F.lit(str(seed)))), 1, 16)
+    keep = F.col("level").isin(*ALWAYS_KEPT) | (drawn < sample_bound(rate))
     return df.filter(F.coalesce(keep, F.lit(False)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runlens.functions import decode_output, normalize_pixels
 from runlens.operators import images as image_ops
 from runlens.operators import quality, scoring
-from runlens.operators.timing import stage_stats, successful_only
+from runlens.operators.timing import successful_only
 from runlens.sources import configs as config_source
 from runlens.sources import images as image_source
 from runlens.sources import logs, sinks
@@ -234,7 +234,10 @@ def sample_logs_errors(spark, sf_dir):
     return kept.filter("level = 'ERROR'").select("event_id", "level")
 
 
-@query()
+@query(
+    f"""SELECT event_id, level FROM log_v
+    WHERE level = 'ERROR' OR md5(event_id::VARCHAR || ':0')[1:16] < '{logs.sample_bound(0.1)}'"""
+)
 def sample_logs(spark, sf_dir):
     parsed = logs.parse_log_lines(log_lines(spark, sf_dir))
     return logs.sample_logs(parsed, 0.1, F.col("event_id")).select("event_id", "level")
@@ -388,11 +391,14 @@ def score(spark, sf_dir):
     )
 
 
-@query()
+@query("SELECT count(*) AS images, true AS consistent FROM embeddings")
 def score_timed(spark, sf_dir):
+    """Times differ from run to run; every row is in one batch, and the stages add up."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     timing = scoring.score_timed(vectors, "vec_id", "embedding", _fixed_model, 32)
-    return stage_stats(timing.withColumn("run", F.lit("score")), ["run"], "execute_s")
+    parts = F.col("preprocess_s") + F.col("execute_s") + F.col("postprocess_s")
+    adds_up = (F.col("execute_s") > 0) & (F.abs(F.col("total_s") - parts) < 1e-9)
+    return timing.agg(F.sum("images").cast("bigint").alias("images"), F.bool_and(adds_up).alias("consistent"))
 
 
 @query("SELECT vec_id, len(embedding)::INT AS length, floor(embedding[64] * 1000)::BIGINT AS last FROM embeddings")
