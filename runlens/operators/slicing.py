@@ -10,7 +10,7 @@ key columns): without a large group a plain window is the better plan. The check
 also tells how many large groups and slices there are, so their tables are
 broadcast only while they are known to be small.
 
-Slices come from exact counts and bounds of each group, so a task that is run
+Slices come from stored counts and bounds of each group, so a task that is run
 again after a lost executor puts every row into the same slice.
 """
 
