@@ -11,9 +11,10 @@ from runlens.llm.staging import staged
 def components(links: DataFrame) -> DataFrame:
     """(id, label) of every end of a link (u, v); label is the smallest id that can be reached.
 
-    Each round takes the smallest label among the neighbours and then the label of that label, so the
-    rounds grow with the logarithm of the longest path. Every round is a written table. Links from an id to
-    itself and repeated links change nothing; without links there are no rows.
+    Each round takes the smallest label among the neighbours and then the label of that label. Star-like groups
+    take a few rounds; where small ids lie far apart on a path, the rounds grow with the distance between
+    them. Every round is a written table. Links from an id to itself and repeated links change nothing; without
+    links there are no rows.
     """
     both = staged(
         links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links"
