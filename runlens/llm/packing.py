@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.tokens import encoder, tokenizer_path
+from runlens.llm.tokens import REMEMBERED, encoder, tokenizer_path
 
 BUCKETS = 256
 DIMENSIONS = 4
@@ -136,19 +136,20 @@ class Packer:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", size: int = 1024, end_id: int = 0
+    docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", size: int = 1024, end_id: int = 0, remembered: int = REMEMBERED
 ) -> DataFrame:
     """Pieces of documents in sequences of at most ``size`` tokens, neighbours on the curve together.
 
     A document is the ids of its whole text and ``end_id``; a null or empty text is ``end_id`` alone.
     Repeated rows are packed each. Equal keys are spread by id and text, so a large group of copies is no
     single range. No padding is needed: a sequence has ``size`` tokens or, at the end of a range, a
-    power of two. Only doc_id and text are read. No rows, no pieces.
+    power of two. Only doc_id and text are read. No rows, no pieces. ``remembered`` bounds what a worker keeps
+    of encoded words; only speed and memory depend on it.
     """
     schema = pa.schema([(name.split()[0], pa.int64()) for name in PIECES.split(", ")])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = encoder(tokenizer_path(tokenizer))
+        use = encoder(tokenizer_path(tokenizer), remembered)
         packer = Packer(size, TaskContext.get().partitionId() * SEQUENCES_PER_PARTITION)
         last = int(end_id).to_bytes(4, "little")
 

@@ -45,7 +45,8 @@ def tokenizer_path(name: str) -> str:
 class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         # Ids of a space and a word, by the word; of other pieces, by the piece.
         self.words: dict[str, bytes] = {}
@@ -120,7 +121,7 @@ class Encoder:
         names = list(plain)
         known |= zip(names, self.encode_words(names))
         names = list({p for parts in cut.values() for p in (parts[1:] if parts[0][1:].isalpha() else parts) if p not in self.others})
-        if len(self.others) > REMEMBERED:
+        if len(self.others) > self.remembered:
             self.others = {}
         self.others |= zip(names, self.encode(names))
         for word, parts in cut.items():
@@ -162,7 +163,7 @@ class Encoder:
             for at, (words, found) in left.items():
                 done[at] = b"".join([found[0], *[new[w] if x is None else x for w, x in zip(words, found[1:])]])
             yield from done
-            if len(self.words) > REMEMBERED:
+            if len(self.words) > self.remembered:
                 self.words, self.older = {}, self.words
             self.words |= {w: x for w, x in new.items() if len(w) <= REMEMBERED_CHARS}
 
@@ -181,14 +182,14 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
         yield group
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """The encoder of this worker process; loaded once."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, remembered) not in _encoders:
+        _encoders[path, remembered] = Encoder(path, remembered)
+    return _encoders[path, remembered]
 
 
 def token_count(text: Column, tokenizer: str = "byte_bpe_50k.json") -> Column:
