@@ -2,7 +2,8 @@
 
 A page is read once into blocks (runs of text between block boundaries) under a tree of elements. Every
 block passes points for its length and commas to its ancestors, halved at each level and discounted by
-the share of link text. The best container wins; siblings that score well are kept with it.
+the share of link text. The best container wins; siblings that score well are kept with it. Forms and
+containers with a suspicious name are judged last, by what they hold beside the rest of the page.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ ENDS = {
 FENCES = frozenset("table ul ol dl article main section body html".split())
 
 # Fixed values of this method.
-NEVER = frozenset("nav footer aside form button menu dialog object head".split())
+NEVER = frozenset("nav footer aside button menu head".split())
+#: Dropped unless they hold the text of the page.
+SUSPECT = frozenset("form dialog object".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PRIOR = {"article": 50.0, "main": 30.0, "section": 2.0, "div": 2.0, "td": 1.0, "blockquote": 1.0}
@@ -43,11 +46,20 @@ UNLIKELY = re.compile(
     r"recommend\w*|widgets?|pagination|pager|login|toolbar|copyright|disclaimer|teasers?)(?:$|[\s_-])",
     re.I,
 )
+#: Text of others and words about the page: here an article is no sign of the page's own text.
+FOREIGN = re.compile(
+    r"(?:^|[\s_-])(?:(?<!has[_-])(?<!with[_-])(?<!no[_-])(?:cookies?|consent|gdpr|comments?|commentlist|disqus|respond|"
+    r"repl(?:y|ies)|related|recommend\w*|teasers?|newsletter))(?:$|[\s_-])",
+    re.I,
+)
+#: A suspect holds the text of the page if the rest has so many times less text without links.
+OUTWEIGHS = 4
 PAGE_HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{RAW.replace(' ', '|')})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"""|<(?:svg|math)(?=[\s/>])(?:[^>"'/]|/(?!>)|"[^"]*"|'[^']*')*+/>"""
+    rf"|<(?P<raw>{RAW.replace(' ', '|')})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"""|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*+)>"""
     r"|<(?P<end2>/?)(?P<name2>[a-z][a-z0-9:-]*)(?P<rest2>[^>]*)>"
     r"|<[!?/][^>]*(?:>|\Z)",
@@ -59,10 +71,10 @@ ATTRIBUTE = re.compile(r"""([a-z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""",
 class Page:
     """Elements as parallel lists; blocks as (element, text, characters inside links, links)."""
 
-    def __init__(self, source: str, by_name: bool) -> None:
+    def __init__(self, source: str) -> None:
         self.tags, self.parents = ["#root"], [-1]
         self.blocks: list[tuple[int, str, int, int]] = []
-        self.by_name = by_name
+        self.suspects: dict[int, bool] = {}  # element: whether its text is foreign to the page
         stack = [0]  # open elements
         dropped = 0  # position in the stack of the outermost dropped element, 0 if none
         inside = 0  # open article or main elements
@@ -125,8 +137,11 @@ class Page:
             self.parents.append(stack[-1])
             stack.append(len(self.tags) - 1)
             rest = found["rest"] if found["name"] else found["rest2"]
-            if not dropped and self.unwanted(name, rest, inside):
-                dropped = len(stack) - 1
+            if not dropped:
+                if name in NEVER or name == "header" and not inside:
+                    dropped = len(stack) - 1
+                else:
+                    self.suspect(name, rest, inside)
             inside += name in ("article", "main")
             anchors += name == "a"
             links += name == "a" and not dropped
@@ -134,34 +149,98 @@ class Page:
             words.append(source[at:])
         flush()
 
-    def unwanted(self, name: str, rest: str, inside: int) -> bool:
-        if name in NEVER or name == "header" and not inside:
-            return True
-        if not self.by_name or not rest.strip() or name in ("html", "body", "article", "main") or name in INLINE:
-            return False
+    def suspect(self, name: str, rest: str, inside: int) -> None:
+        """Note the newest element if its name, class, id or role speaks against it."""
+        new = len(self.tags) - 1
+        if name in SUSPECT:
+            self.suspects[new] = False
+        if not rest.strip() or name in ("html", "body", "article", "main") or name in INLINE:
+            return
         told = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(rest)}
         named = f"{told.get('class', '')} {told.get('id', '')}"
-        return bool(
+        role = told.get("role", "").lower()
+        if (
             "hidden" in told
             or told.get("aria-hidden") == "true"
-            or told.get("role", "").lower() in ROLES
+            or role in ROLES and role != "form"
             or re.search(r"display\s*:\s*none", told.get("style", ""), re.I)
-            or UNLIKELY.search(named)
-            or not inside and PAGE_HEADER.search(named)
-        )
+            or FOREIGN.search(named)
+        ):
+            self.suspects[new] = True
+        elif role == "form" or UNLIKELY.search(named) or not inside and PAGE_HEADER.search(named):
+            self.suspects[new] = False
 
-    def main_text(self) -> str:
-        if not self.blocks:
-            return ""
+    def path(self, element: int) -> list[int]:
+        path = [element]
+        while self.parents[path[-1]] >= 0:
+            path.append(self.parents[path[-1]])
+        return path
+
+    def drop_suspects(self) -> None:
+        """Keep the blocks that lie in no suspect or only in such that hold the text of the page.
+
+        Suspects are judged from the outermost inwards against the text that is kept so far. If nothing would be
+        left, names and forms misled and all blocks stay.
+        """
+        if not self.suspects or not self.blocks:
+            return
+        paths = [self.path(b[0]) for b in self.blocks]
+        within = [[e for e in reversed(p) if e in self.suspects] for p in paths]
+        plain = [max(0, len(text) - linked) for _, text, linked, _ in self.blocks]
+        own = [k for k, w in enumerate(within) if not any(self.suspects[e] for e in w)]
+        best = self.scored([self.blocks[k] for k in own], [paths[k] for k in own])[0] if own else 0
+        above_best = set(self.path(best))
+        # Elements have larger numbers than their parents, so sums run upwards.
+        inner, articles, filled = [0] * len(self.tags), [0] * len(self.tags), [False] * len(self.tags)
+        for (e, *_), n in zip(self.blocks, plain):
+            inner[e] += n
+            filled[e] = True
+        for e in range(len(self.tags) - 1, 0, -1):
+            above = self.parents[e]
+            inner[above] += inner[e]
+            filled[above] |= filled[e]
+            articles[above] += articles[e] + (filled[e] and self.tags[e] in ("article", "main"))
+        waiting: dict[int, list[tuple[int, int]]] = {}  # blocks by the outermost suspect not yet judged
+        outer, clear = 0, set()  # kept text, article and main elements with kept text
+
+        def keep(k: int, judged: int) -> None:
+            nonlocal outer
+            if judged < len(within[k]):
+                waiting.setdefault(within[k][judged], []).append((k, judged))
+            else:
+                kept.append(k)
+                outer += plain[k]
+                clear.update(e for e in paths[k] if self.tags[e] in ("article", "main"))
+
+        kept: list[int] = []
+        for k in range(len(self.blocks)):
+            keep(k, 0)
+        # A suspect is judged before those inside it: it has the smaller number.
+        for s in sorted(self.suspects):
+            if s not in waiting:
+                continue
+            outweighs = inner[s] > OUTWEIGHS * outer
+            other = bool(clear.difference(self.path(s)))
+            form = self.tags[s] == "form"
+            if self.suspects[s]:
+                stays = outweighs and not other and articles[s] == 1
+            elif other:
+                stays = outweighs and s in above_best
+            else:
+                inset = any(self.tags[e] == "article" and e in clear for e in self.path(s))
+                stays = outweighs or not inset and (s in above_best and bool(articles[s] or form) or form and inner[s] > outer)
+            if stays:
+                for k, judged in waiting.pop(s):
+                    keep(k, judged + 1)
+        if kept:
+            self.blocks = [self.blocks[k] for k in sorted(kept)]
+
+    def scored(self, blocks: list[tuple[int, str, int, int]], paths: list[list[int]]) -> tuple[int, dict, dict, dict]:
+        """The best container; points, characters and characters inside links of each element."""
         score: dict[int, float] = {}
         chars: dict[int, int] = {}
         linked: dict[int, int] = {}
-        paths: list[list[int]] = []
-        for element, text, in_links, _ in self.blocks:
-            path = [element]
-            while self.parents[path[-1]] >= 0:
-                path.append(self.parents[path[-1]])
-            paths.append(path)
+        for (_, text, in_links, _), path in zip(blocks, paths):
             points = 1 + text.count(",") + min(len(text) / 100, 3)
             # An element that holds only its own text is a paragraph: its parent is the first container.
             for level, e in enumerate(path[1:] if len(path) > 1 else path):
@@ -171,7 +250,14 @@ class Page:
                 linked[e] = linked.get(e, 0) + min(in_links, len(text))
         for e in score:
             score[e] = (score[e] + PRIOR.get(self.tags[e], 0.0)) * (1 - linked[e] / chars[e])
-        best = max(score, key=lambda e: (score[e], -e))
+        return max(score, key=lambda e: (score[e], -e)), score, chars, linked
+
+    def main_text(self) -> str:
+        if not self.blocks:
+            return ""
+        self.drop_suspects()
+        paths = [self.path(b[0]) for b in self.blocks]
+        best, score, chars, linked = self.scored(self.blocks, paths)
         kept = {best}
         if best:
             least = max(10.0, score[best] * 0.2)
@@ -195,13 +281,8 @@ class Page:
 
 
 def main_text(source: str | None) -> str:
-    """The main text of one page; empty for null or a page without text.
-
-    If class names and ids left nothing, they misled: the page is read again without them.
-    """
-    if not source:
-        return ""
-    return Page(source, True).main_text() or Page(source, False).main_text()
+    """The main text of one page; empty for null or a page without text."""
+    return Page(source).main_text() if source else ""
 
 
 def main_text_column(source: Column) -> Column:

@@ -38,6 +38,38 @@ def test_misleading_names_do_not_empty_a_page():
     assert extract.main_text("<div class=comments><p>All the text there is</p></div>") == "All the text there is"
 
 
+BODY = "".join(f"<p>Paragraph {i} has words, commas, and enough length to be taken for text of the page itself.</p>" for i in range(5))
+
+
+@pytest.mark.parametrize("wrapper", ["form action=x", "div class='content has-sidebar'", "div class=content-sidebar-wrap", "dialog open", "object", "div class=has-comments"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_wrappers_that_hold_the_text_stay(wrapper, inner):
+    comments = f"<div id=comments>{BODY.replace('Paragraph', 'Comment')}</div>"
+    page = f"<p>A stray line</p><{wrapper}><{inner}>{BODY}</{inner}>{comments}<form><p>Your name</p></form></{wrapper.split()[0]}>"
+    got = extract.main_text(page)
+    assert got.count("Paragraph") == 5 and "Comment" not in got and "Your name" not in got
+
+
+def test_suspects_beside_the_text_are_dropped():
+    long = BODY.replace("Paragraph", "Other") * 3
+    for other in ("div class=comments", "form", "div class=sidebar", "div class=related", "dialog"):
+        for page in (f"<article>{BODY}</article><{other}>{long}</{other.split()[0]}>", f"<article>{BODY}<{other}>{long}</{other.split()[0]}></article>"):
+            got = extract.main_text(page)
+            assert got.count("Paragraph") == 5 and "Other" not in got, other
+    comments = "<article>Other one, and more</article><article>Other two, and more</article>" * 5
+    assert extract.main_text(f"<div><p>Short text.</p></div><div id=comments>{comments}</div>") == "Short text."
+
+
+def test_a_page_of_nothing_but_a_form():
+    assert extract.main_text("<form><p>All there is</p></form>") == "All there is"
+
+
+@pytest.mark.parametrize("tag", ["<svg class=i />", '<svg a="x>y"/>', "<math/>", "<svg-icon></svg-icon>", "<title-bar></title-bar>", "<select-box>"])
+def test_empty_and_custom_elements_swallow_nothing(tag):
+    assert extract.main_text(f"<article>{tag}<p>The text</p></article>") == "The text"
+    assert extract.main_text("<article><svg><title>No</title></svg><script/>no</script><p>The text</p></article>") == "The text"
+
+
 def test_all_pages_of_the_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in extract.extract_main_text(pages).collect():
