@@ -2,7 +2,8 @@
 
 A page is read once into blocks (runs of text between block boundaries) under a tree of elements. Every
 block passes points for its length and commas to its ancestors, halved at each level and discounted by
-the share of link text. The best container wins; siblings that score well are kept with it. Forms and
+the share of link text. The best container wins; siblings that score well are kept with it, and so are those
+with few links beside them and headings before them. Forms and
 containers with a suspicious name are judged last, by what they hold beside the rest of the page.
 """
 
@@ -54,6 +55,8 @@ FOREIGN = re.compile(
 )
 #: A suspect holds the text of the page if the rest has so many times less text without links.
 OUTWEIGHS = 4
+#: Text with a smaller share of links than this reads as text.
+LOW_LINK = 0.33
 PAGE_HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 
 TOKEN = re.compile(
@@ -266,19 +269,78 @@ class Page:
                     density = linked[e] / chars[e]
                     if score.get(e, 0.0) >= least or self.tags[e] == "p" and chars[e] > 80 and density < 0.25:
                         kept.add(e)
+        kept |= self.neighbours(best, kept, paths, chars, linked)
         menus = {
             e for e in chars
             if self.tags[e] in ("ul", "ol", "table", "div") and e not in kept and linked[e] > 0.66 * chars[e]
             and sum(n for (_, _, _, n), path in zip(self.blocks, paths) if e in path) >= 3
         } if any(linked.values()) else set()
         chosen = []
-        for (_, text, _, _), path in zip(self.blocks, paths):
-            if kept.intersection(path) and not menus.intersection(path):
+        for k, ((_, text, _, _), path) in enumerate(zip(self.blocks, paths)):
+            if (~k in kept or kept.intersection(path)) and not menus.intersection(path):
                 header = next((k for k, e in enumerate(path) if self.tags[e] == "header"), None)
                 if header is None or any(self.tags[e] in HEADINGS for e in path[:header]):
                     chosen.append(text)
         return "\n".join(chosen)
 
+    def neighbours(self, best: int, kept: set[int], paths: list[list[int]], chars: dict[int, int], linked: dict[int, int]) -> set[int]:
+        """Elements around the best container to keep, and blocks of their own text as ~k.
+
+        Next to a kept part, before and after, parts with few links stay as far as they follow each other, and what
+        lies between kept parts. A level that stays whole is followed by the one above, up to the body. Beside an
+        article, and above a level that does not stay whole, only headings right before are kept.
+        """
+        found: set[int] = set()
+        whole = self.tags[best] not in ("article", "main")
+        cur, first = best, True
+        depth = len(self.path(best)) - 1
+        while cur:
+            above = self.parents[cur]
+            depth -= 1
+            top = self.tags[above] in ("#root", "html", "body")
+            # Parts in order: child elements, and runs of text of the element itself.
+            parts: dict[int, tuple[int, int, int]] = {}  # part: characters, characters inside links, last block
+            for k, path in enumerate(paths):
+                at = len(path) - 1 - depth  # a path ends at the root
+                if at < 0 or path[at] != above:
+                    continue
+                part = path[at - 1] if at else ~k
+                if at:
+                    parts[part] = chars[part], linked[part], k
+                else:
+                    _, text, in_links, _ = self.blocks[k]
+                    parts[part] = len(text), min(len(text), in_links), k
+            order = list(parts)
+            low = [parts[x][1] <= LOW_LINK * parts[x][0] for x in order]
+            here = [i for i, x in enumerate(order) if x == cur or x in kept]
+            if not here:
+                break
+            spread = whole and (first or not top)
+            start, end = here[0], here[-1]
+            if spread:
+                found.update(order[i] for i in here)
+                while start and low[start - 1]:
+                    start -= 1
+                while end + 1 < len(order) and low[end + 1]:
+                    end += 1
+                found.update(order[i] for i in range(start, end + 1) if low[i])
+            while start and low[start - 1] and self.is_heading(order[start - 1], paths):
+                start -= 1
+                found.add(order[start])
+            if top and len(order) > 1:
+                break
+            first = first and len(order) == 1
+            whole = whole and start == 0 and end + 1 == len(order) and all(x in found or x in kept for x in order)
+            cur = above
+        return found
+
+    def is_heading(self, part: int, paths: list[list[int]]) -> bool:
+        """Whether all blocks of a part are headings."""
+        if part < 0:
+            return False
+        inside = [p for p in paths if part in p]
+        return all(any(self.tags[e] in HEADINGS for e in p[: p.index(part) + 1]) for p in inside)
+
 
 def main_text(source: str | None) -> str:
     """The main text of one page; empty for null or a page without text."""

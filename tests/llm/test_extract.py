@@ -70,6 +70,33 @@ def test_empty_and_custom_elements_swallow_nothing(tag):
     assert extract.main_text("<article><svg><title>No</title></svg><script/>no</script><p>The text</p></article>") == "The text"
 
 
+LONG = "".join(f"<p>Paragraph {i}{', words of the text that go on and on for some time until the line ends' * 5}.</p>" for i in range(10))
+
+
+@pytest.mark.parametrize(
+    "page, first, last",
+    [
+        ("<div class=content><div>{}</div><div>One short end.</div></div>", "Paragraph 0", "One short end."),
+        ("<div><h1>Title</h1><div>{}</div></div>", "Title", "Paragraph 9"),
+        ("<body><div><div><h1>Title</h1></div><div><div>{}</div><div>Short</div></div></div></body>", "Title", "Short"),
+        ("<body><h1>Title</h1><article>{}</article></body>", "Title", "Paragraph 9"),
+        ("<div>Lead in.<div>{}</div><ul><li>one<li>two</ul>Bare end</div>", "Lead in.", "Bare end"),
+        ("<div><div class=row><div>{}</div></div><div class=row><div>Short row</div></div></div>", "Paragraph 0", "Short row"),
+        ("<div><a href=1>all link</a></div><div>{}</div><div><a href=1>more links</a> by</div><div>Behind links</div>", "Paragraph 0", "Paragraph 9"),
+    ],
+)
+def test_short_parts_and_titles_stay(page, first, last):
+    got = extract.main_text(page.format(LONG)).split("\n")
+    assert sum(x.startswith("Paragraph") for x in got) == 10
+    assert got[0].startswith(first) and got[-1].startswith(last)
+
+
+def test_short_parts_between_sections_stay():
+    page = f"<div><div>{LONG}</div><h2>Part two</h2><div>Short, one.</div><div>{LONG}</div></div>"
+    got = extract.main_text(page).split("\n")
+    assert len(got) == 22 and got[10:12] == ["Part two", "Short, one."]
+
+
 def test_all_pages_of_the_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in extract.extract_main_text(pages).collect():
