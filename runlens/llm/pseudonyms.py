@@ -19,8 +19,11 @@ TRIAL_KEY = "not a secret"
 #: Dates from here, for so many days (200 years), permute among themselves; the two factors are its Feistel halves.
 FIRST_DAY, DAY_HALVES = "1900-01-01", (17, 4297)
 
-# The formats. Java syntax; every repeat is bounded or possessive.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?<=\.[A-Za-z]{2,24})"
+# The formats. Java syntax; every repeat of a group is bounded or possessive.
+EMAIL = (
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?<=\.[A-Za-z]{2,24})"
+    r"|(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9]))"
+)
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 IP = rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\w)"
 IBAN = r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
@@ -35,12 +38,19 @@ DATE = r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4
 CARD = r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])"
 NAMED_SECRET = (
     r"(?<=[=:\s\"'])(?<=(?i:passwo?r?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,4}[:=]\s{0,4}[\"']?)"
-    r"[A-Za-z0-9_+/=.~-]{5,4096}[A-Za-z0-9_+/=]"
+    r"[A-Za-z0-9_+/=.~-]{5,}[A-Za-z0-9_+/=]"
 )
 KEY_ID = r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|(?<!\w)gh[pousr]_[A-Za-z0-9]{36}(?!\w)"
 KINDS = [("email", EMAIL), ("secret", NAMED_SECRET), ("key_id", KEY_ID), ("ip", IP), ("iban", IBAN), ("date", DATE),
          ("ssn", SSN), ("phone", PHONE), ("card", CARD)]
 ANY = "|".join(f"(?:{pattern})" for _, pattern in KINDS)
+#: Lengths of IBANs by country, as registered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FO FI FK GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
 #: No format matches a text without one of these.
 NEEDED = "[0-9@=:]"
 
@@ -66,6 +76,8 @@ def feistel(digits: Column, key: str, tweak: Column) -> Column:
         half, left = F.floor(F.size(x) / 2).cast("int"), i % 2 == 0
         other = F.when(left, F.slice(x, half + 1, F.size(x) - half)).otherwise(F.slice(x, F.lit(1), half))
         values = F.array_join(F.transform(other, lambda d: d["v"].cast("string")), ",", "-")
+        # Every digit hashes what is told: that of a very long value is hashed first.
+        values = F.when(F.size(x) > 4096, F.sha2(values, 256)).otherwise(values)
         told = F.concat_ws(":", F.lit(key), tweak, i.cast("string"), values)
 
         def shifted(d: Column, j: Column, t: Column) -> Column:
@@ -164,19 +176,47 @@ def luhn(digits: Column) -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    """The kind of a match, null if it is not valid."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
+    """The kind of a match by its format."""
     # The value stands alone here. A named secret is known by what stands before it, so it is what is left.
     kind = F.lit("secret")
     for name, pattern in reversed(KINDS):
         if name != "secret":
             kind = F.when(value.rlike(f"^(?:{pattern})$"), name).otherwise(kind)
-    valid = (
-        F.when(kind == "card", luhn(digits)).when(kind == "phone", F.length(digits).between(7, 15))
-        .when(kind == "iban", iban_remainder(F.regexp_replace(value, " ", "")) == 1)
-        .when(kind == "ip", ~value.isin("127.0.0.1", "0.0.0.0", "255.255.255.255")).otherwise(F.lit(True))
-    )
-    return F.when(valid, kind)
+    return kind
+
+
+def valid_part(match: Column, kind: Column) -> Column:
+    """The longest valid part from the start of a match, up to a separator or its end; null if there is none.
+
+    An IBAN of the length of its country goes before longer ones.
+    """
+    digits = lambda v: F.regexp_replace(v, "[^0-9]", "")
+    parts = lambda unit, seps, lengths, until="[ -]": F.array(
+        *(F.regexp_extract(match, f"^{unit}(?:{seps}{unit}){{{n - 1}}}(?={until}|$)", 0) for n in lengths)
+    )
+    card = F.filter(parts("[0-9]", "[ -]?", range(19, 12, -1)), lambda v: (v != "") & luhn(digits(v)))
+    # A dot after a number of its own may belong to an address, and +1 has eleven digits.
+    phone = F.filter(parts(r"[+(]*[0-9]", r"[ .()-]*", range(15, 6, -1), " "), lambda v: (v != "") & v.rlike(f"^(?:{PHONE})$"))
+    # What follows a country code may be a whole card, which is found at its own start.
+    called = digits(F.regexp_replace(match, r"^\+[0-9]{1,3}[ .-]", ""))
+    north = F.get(F.filter(phone, lambda v: v.rlike(r"^\+1[ .-]") & (F.length(digits(v)) == 11)), F.lit(0))
+    phone = F.when(~(F.length(called).between(13, 19) & luhn(called)), F.coalesce(north, F.get(phone, F.lit(0))))
+    iban = F.filter(
+        parts("[A-Z0-9]", " ?", range(35, 14, -1)),
+        lambda v: (v != "") & (iban_remainder(F.regexp_replace(v, " ", "")) == 1),
+    )
+    own = F.lit(None).cast("int")
+    for length, countries in IBAN_LENGTHS.items():
+        own = F.when(F.substring(match, 1, 2).isin(*countries.split()), length).otherwise(own)
+    fitting = lambda found: F.coalesce(
+        F.get(F.filter(found, lambda v: F.length(F.regexp_replace(v, " ", "")) == own), F.lit(0)), F.get(found, F.lit(0))
+    )
+    return (
+        F.when(kind == "card", F.when(luhn(digits(match)), match).otherwise(F.get(card, F.lit(0))))
+        .when(kind == "phone", F.when(F.length(digits(match)).between(7, 15), match).otherwise(phone))
+        .when(kind == "iban", let(iban, fitting))
+        .when((kind != "ip") | ~match.isin("127.0.0.1", "0.0.0.0", "255.255.255.255"), match)
+    )
 
 
 def pseudonym(value: Column, kind: Column, key: str) -> Column:
@@ -217,16 +257,49 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
 
 def pseudonymised(text: Column, key: str = TRIAL_KEY) -> Column:
     """struct(text, n_values): the text with its values replaced, and how many were."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("old"), kind_of(m).alias("kind")))
-    matches = F.transform(found, lambda m: F.struct(m["old"], pseudonym(m["old"], m["kind"], key).alias("new")))
+    # Formats are looked for at every place, also inside a match: that one may not be valid. The line end in front
+    # stands for the start of the text, where split would not cut.
+    searched = F.concat(F.lit("\n"), text)
+    found = F.transform(
+        F.regexp_extract_all(searched, F.lit(f"(?=({ANY}))"), F.lit(1)),
+        lambda m: let(F.struct(m.alias("m"), kind_of(m).alias("kind")), lambda x: F.struct(valid_part(x["m"], x["kind"]).alias("old"), x["kind"])),
+    )
+
+    def step(state: Column, m: Column) -> Column:
+        taken = F.when((state["left"] <= 0) & m["old"].isNotNull(), F.length(m["old"])).otherwise(state["left"])
+        left = F.greatest(F.lit(0), taken - F.length(m["piece"]))
+        return F.struct(left.alias("left"), F.array_append(state["all"], state["left"]).alias("all"))
+
+    def covered(matches: Column) -> Column:
+        """How many characters at each place belong to a value before it."""
+        nothing = F.struct(F.lit(0).alias("left"), F.array().cast("array<int>").alias("all"))
+        overlaps = F.exists(matches, lambda m: F.coalesce(F.length(m["old"]) > F.length(m["piece"]), F.lit(False)))
+        return F.when(overlaps, F.aggregate(matches, nothing, step, lambda s: s["all"])).otherwise(
+            F.transform(matches, lambda m: F.lit(0))
+        )
+
+    def written(m: Column, c: Column) -> Column:
+        rest = lambda n: F.substr(m["piece"], n + 1)
+        kept = lambda t: F.struct(t.alias("text"), F.lit(0).alias("n"))
+        new = let(
+            pseudonym(m["old"], m["kind"], key),
+            lambda new: F.struct(F.concat(new, rest(F.length(m["old"]))).alias("text"), (new != m["old"]).cast("int").alias("n")),
+        )
+        return F.when(c > 0, kept(rest(c))).when(m["old"].isNotNull(), new).otherwise(kept(m["piece"]))
 
-    def replaced(matches: Column) -> Column:
-        told = F.zip_with(F.split(text, ANY, -1), matches, lambda b, m: F.concat(b, F.coalesce(m["new"], F.lit(""))))
-        count = F.size(F.filter(matches, lambda m: m["old"] != m["new"])).cast("long")
-        return F.struct(F.array_join(told, "").alias("text"), count.alias("n_values"))
+    def replaced(pieces: Column) -> Column:
+        matches = F.zip_with(
+            F.slice(pieces, 2, F.size(pieces)), found, lambda p, m: F.struct(p.alias("piece"), m["old"].alias("old"), m["kind"].alias("kind"))
+        )
+        told = let(matches, lambda ms: F.zip_with(ms, covered(ms), written))
+        first = F.substr(F.get(pieces, F.lit(0)), F.lit(2))
+        return let(told, lambda t: F.struct(
+            F.concat(first, F.array_join(F.transform(t, lambda x: x["text"]), "")).alias("text"),
+            F.aggregate(t, F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("n_values"),
+        ))
 
     untouched = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n_values"))
-    return F.when(text.rlike(NEEDED), let(matches, replaced)).otherwise(untouched)
+    return F.when(text.rlike(NEEDED), let(F.split(searched, f"(?={ANY})", -1), replaced)).otherwise(untouched)
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = TRIAL_KEY) -> DataFrame:

@@ -61,6 +61,38 @@ def test_named_secrets_and_junk_around(spark):
     assert n == 3 and re.fullmatch(r'token = "[0-9a-f]{40}" password=[0-9a-f]{18}, [0-9.]+###', new)
 
 
+def test_values_beside_digits_and_words_are_found(spark):
+    card, iban = "4111 1111 1111 1111", "AT61 1904 3002 3457 3201"
+    texts = {
+        f"{card} 12/27": card, f"{card} 123": card, f"{card} 12": card, f"12 {card}": card, f"1234 {card} end": card, f"+1 {card}": card,
+        f"{iban} EUR 50": iban, f"{iban} 500 EUR": iban, f"AB12 {iban} EUR": iban, "NO93 8601 1117 947 NOK": "NO93 8601 1117 947",
+        "12 078-05-1120 4111 22": "078-05-1120", "+49 30 1234 5678 2024 1999": "+49 30 1234 5678",
+        "jo@x.org--thanks": "jo", "jo@x.org-": "jo", "mail jo@x.org.5": "jo", f"password={'a1B.' * 1500}a": "a1B." * 1500 + "a",
+    }
+    for text, (new, n) in zip(texts, replaced(spark, texts)):
+        value = texts[text]
+        before, after = text.split(value, 1)
+        assert n == 1 and value not in new, text
+        if not text.startswith("+49"):
+            assert new.startswith(before) and new.endswith(after) and len(new) == len(text), (text, new)
+        if value == card:
+            assert luhn(new[len(before) : len(before) + len(card)])
+        if value == iban:
+            made = new[len(before) : len(before) + len(iban)].replace(" ", "")
+            assert int("".join(str(int(c, 36)) for c in made[4:] + made[:4])) % 97 == 1
+
+
+def test_a_phone_number_leaves_the_address_behind_it_whole(spark):
+    new, n = replaced(spark, ["call +1 (826) 555-4081 190.137.223.204 now"])[0]
+    assert n == 2 and "555-4081" not in new and "137.223" not in new
+    assert re.fullmatch(r"call \+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4} [0-9]{1,3}(\.[0-9]{1,3}){3} now", new)
+
+
+def test_secrets_are_replaced_to_their_end(spark):
+    (short, _), (long, _) = replaced(spark, [f"password={'a1B.' * 100}a", f"password={'a1B.' * 1500}{'z' * 50}"])
+    assert len(long) == len("password=") + 6050 and not long.endswith("z" * 20) and short.startswith("password=")
+
+
 def test_clashing_columns_empty_tables_and_no_python(spark):
     docs = spark.createDataFrame([("a@b.org", "old", 1)], "text string, n_values string, pseudonyms_new long")
     got = pseudonyms.pseudonymise(docs)
