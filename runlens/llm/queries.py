@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import extract, langid, neardup, packing, phrase_index, pseudonyms, tokens, topk, toxicity, url_model
+from runlens.llm import (
+    alignment, extract, langid, neardup, packing, phrase_index, pseudonyms, sharding, tokens, topk, toxicity, url_model,
+    whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +85,18 @@ def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.fit(docs.where(~F.col("held_out")).select("doc_id", "text").join(labels, "doc_id"))
     return toxicity.score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op11_shared_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_matrix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
