@@ -1,10 +1,11 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Word weights are log-odds between toxic and clean training rows under a Dirichlet prior; only words that
-stand out clearly weigh, all others pull a running score down a little. A linear scan finds every maximal
-scoring segment of a text. Extreme-value statistics of clean texts tell how high chance alone gets in a
-text of that length; what segments have beyond that is the evidence, which a logistic curve turns into
-a probability.
+Word weights are log-odds between toxic and clean training rows under a Dirichlet prior, shrunken by their own
+uncertainty towards none; a word without weight pulls a running score down a little. A linear scan finds
+every maximal scoring segment of a text. Extreme-value statistics of clean texts tell how high chance alone
+gets in a text of that length; what segments have beyond that is the evidence, which a logistic curve turns
+into a probability. How strongly weights are shrunken is chosen by cross-validation inside the training rows,
+and the extreme-value law and the curve are fitted on rows that did not take part in the weights they get.
 """
 
 from __future__ import annotations
@@ -19,23 +20,33 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.langid import sampled
 from runlens.llm.staging import staged
 
-#: Weights and calibration are fitted on about so many labelled rows, chosen by a hash of their ids; all if fewer.
+#: Weights and calibration are fitted on about so many labelled rows, half of them of either label, chosen by a
+#: hash of their ids; all if fewer.
 SAMPLE_ROWS = 24_000
-#: Weight of the prior as a share of all counted words, and the z-score from which a word weighs.
-PRIOR_SHARE, LEAST_Z = 0.025, 5.0
-#: A longer word that does not weigh itself may weigh by its first letters, which its inflections share.
+#: Parts of the training rows for cross-validation; rows that are near copies lie in one part.
+FOLDS = 5
+#: Choices of (standard errors taken off a log-odds ratio, rows the prior counts for).
+CHOICES = ((1.5, 3.0), (2.0, 1.0), (3.0, 1.0), (4.5, 1.0))
+#: Groups of near copies among toxic rows that a word needs: what one group says cannot be told from chance.
+LEAST_GROUPS = 2
+#: A longer word that weighs less than its first letters, which its inflections share, weighs as they do.
 STEM = 4
-#: What a word without weight takes off the running score.
-DRAIN = 0.05
+#: What a word without weight takes off the running score, at least, and how far a clean text's score falls a
+#: word at least.
+DRAIN, LEAST_FALL = 0.1, 0.05
+#: Weights in clean text are counted in steps of this.
+STEP = 0.02
+#: The extreme-value law is not steeper than this.
+STEEPEST = 16.0
 #: Words of a text that rows are compared by: rows of one smallest run of so many words count once.
 RUN = 3
 #: Width of the evidence bins the curve is fitted on; evidence is cut off at the last.
 BIN, LAST_BIN = 0.5, 200
 
-_WORD = re.compile(r"[^\W\d_]+")
+# Letters and digits, with signs inside that stand for letters.
+_WORD = re.compile(r"[^\W_]+(?:[*@$!'’][^\W_]+)*")
 
 
 def words(text: str | None) -> list[str]:
@@ -47,7 +58,7 @@ def stem(word: str) -> str:
     return f"{word[:STEM]}*" if len(word) > STEM else word
 
 
-def segments(places: list[int], weights: list[float], drain: float = DRAIN) -> list[tuple[int, int, float]]:
+def segments(places: list[int], weights: list[float], drain: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last, score) of a text whose word at each of ``places`` has a
     positive weight and whose other words have -drain. Linear in the number of places.
 
@@ -75,18 +86,23 @@ def segments(places: list[int], weights: list[float], drain: float = DRAIN) -> l
 
 @dataclass
 class Model:
-    """weights by word; lam and k of the extreme-value law; offset and slope of the curve."""
+    """weights by word and by stem, drain; lam and k of the extreme-value law; offset and slope of the curve."""
 
     weights: dict[str, float]
+    drain: float
     lam: float
     k: float
     offset: float
     slope: float
 
-    def passages(self, tokens: list[str]) -> list[tuple[int, int, float]]:
+    def hits(self, tokens: list[str]) -> tuple[list[int], list[float]]:
+        """Places and weights of the words that weigh."""
         get = self.weights.get
-        hits = [(i, w) for i, t in enumerate(tokens) if (w := get(t) or get(stem(t))) is not None]
-        return segments([i for i, _ in hits], [w for _, w in hits]) if hits else []
+        found = [(i, w) for i, t in enumerate(tokens) if (w := get(t) or get(stem(t)))]
+        return [i for i, _ in found], [w for _, w in found]
+
+    def passages(self, tokens: list[str]) -> list[tuple[int, int, float]]:
+        return segments(*self.hits(tokens), self.drain)
 
     def evidence(self, tokens: list[str]) -> float:
         """What the segments have beyond chance, in natural log units."""
@@ -101,36 +117,39 @@ class Model:
         return float(1 / (1 + np.exp(-x)))
 
 
-def word_weights(counts: list[tuple[str, float, float]], toxic: float, clean: float) -> dict[str, tuple[float, float]]:
-    """(weight, rate in clean text) of words that stand out; counts are (word, in toxic, in clean)."""
-    out = {}
-    all_prior = PRIOR_SHARE * (toxic + clean)
-    for word, a, b in counts:
-        prior = PRIOR_SHARE * (a + b)
-        a, b = a + prior, b + prior
-        ratio = np.log(a / (toxic + all_prior - a)) - np.log(b / (clean + all_prior - b))
-        spread = np.sqrt(1 / a + 1 / b)
-        if ratio >= LEAST_Z * spread:
-            out[word] = float(ratio - 2 * spread), b / (clean + all_prior)
-    return out
-
-
-def chance_slope(weights: dict[str, tuple[float, float]]) -> float:
-    """The lam > 0 at which clean text has sum of rate * exp(lam * weight) = 1."""
-    scores = np.array([w for w, _ in weights.values()])
-    rates = np.array([r for _, r in weights.values()])
-    over = lambda lam: (rates * np.exp(lam * scores)).sum() + (1 - rates.sum()) * np.exp(-lam * DRAIN) - 1
-    low, high = 1e-6, 1e-6
-    while over(high) <= 0 and high < 64:
-        high *= 2
+def word_weights(
+    names: list[str], toxic: np.ndarray, clean: np.ndarray, all_toxic: float, all_clean: float, errors: float, prior: float
+) -> dict[str, float]:
+    """Positive weights by word or stem: the log-odds ratio under a prior of ``prior`` rows a word, which are split as
+    all counted words are, less ``errors`` standard errors. A word whose stem weighs more gets its stem's weight."""
+    share = all_toxic / (all_toxic + all_clean)
+    a, b = toxic + prior * share, clean + prior * (1 - share)
+    ratio = np.log(a / all_toxic) - np.log(b / all_clean)
+    weight = ratio - errors * np.sqrt(1 / a + 1 / b)
+    own = {n: float(w) for n, w in zip(names, weight) if w > 0}
+    return {n: max(w, own.get(stem(n), 0.0)) for n, w in own.items()}
+
+
+def chance_law(steps: dict[int, int], words_seen: int) -> tuple[float, float]:
+    """(drain, lam) for clean text in which weight ``STEP * s`` was met ``steps[s]`` times among all its words: the
+    drain lets the running score fall on average, lam > 0 solves E exp(lam * step of the score) = 1."""
+    weights = STEP * np.array(list(steps), float)
+    rates = np.array(list(steps.values()), float) / max(words_seen, 1)
+    plain = max(0.0, 1 - rates.sum())
+    # Weight w adds w, all other words take off the drain: their mean is to be -LEAST_FALL or less.
+    drain = max(DRAIN, (float((rates * weights).sum()) + LEAST_FALL) / max(plain, 1e-9))
+    over = lambda lam: (rates * np.exp(lam * weights)).sum() + plain * np.exp(-lam * drain) - 1
+    low, high = 0.0, 1e-3
+    while over(high) <= 0 and high < STEEPEST:
+        low, high = high, min(2 * high, STEEPEST)
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (middle, high) if over(middle) <= 0 else (low, middle)
-    return high
+    return drain, high
 
 
-def logistic_curve(evidence: np.ndarray, toxic: np.ndarray, rows: np.ndarray) -> tuple[float, float]:
-    """Offset and slope (not negative) by Newton steps with a weak ridge; counts by evidence."""
+def logistic_curve(evidence: np.ndarray, toxic: np.ndarray, rows: np.ndarray) -> tuple[float, float, float]:
+    """Offset and slope (not negative) by Newton steps with a weak ridge, and the loss a row; counts by evidence."""
     beta = np.zeros(2)
     x = np.stack([np.ones_like(evidence), evidence], axis=1)
     for _ in range(50):
@@ -141,68 +160,139 @@ def logistic_curve(evidence: np.ndarray, toxic: np.ndarray, rows: np.ndarray) ->
         beta += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0]), max(float(beta[1]), 0.0)
+    if beta[1] <= 0:
+        share = (toxic.sum() + 1e-3) / (rows.sum() + 2e-3)
+        beta = np.array([np.log(share / (1 - share)), 0.0])
+    z = x @ beta
+    loss = (rows * np.logaddexp(0, z) - toxic * z).sum() / max(rows.sum(), 1e-9)
+    return float(beta[0]), float(beta[1]), float(loss)
+
+
+def sampled_by_label(usable: DataFrame, most: int) -> tuple[DataFrame, dict[int, float]]:
+    """(sample, share of each label's rows that is in it): up to about most / 2 rows of a label, or what the
+    other label leaves."""
+    found = {int(r.toxic): r.n for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    few = min(found.values(), default=0)
+    shares = {label: min(1.0, max(most / 2, most - few) / n) for label, n in found.items()}
+    if len(shares) < 2:
+        return usable, shares
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) / 1_000_003
+    bound = F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0])
+    return usable.where(drawn < bound), shares
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on (doc_id, text, toxic); rows with a null text or label are left out.
 
     Rows that share their smallest hashed run of words are near copies mostly and count once a label, so a large
-    group of copies cannot make its words look toxic. The driver gets the words that stand out, and
-    counts by evidence.
+    group of copies cannot make its words look toxic. The driver gets the words that may weigh, and counts
+    by weight and by evidence. Without rows of both labels, or if nothing that weighs helps to predict rows
+    outside of its own fit, every text gets the share of toxic rows.
     """
     usable = labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", "text", "toxic")
-    sample = staged(sampled(usable, "doc_id", sample_rows), "toxicity-sample")
+    drawn, shares = sampled_by_label(usable, sample_rows)
+    sample = staged(drawn, "toxicity-sample")
+
+    def group_of(found: list[str]) -> int:
+        plain = [w for w in found if w.isalpha()]  # copies often differ in a number
+        runs = (" ".join(plain[i : i + RUN]) for i in range(max(1, len(plain) - RUN + 1)))
+        return min(map(xxhash.xxh3_64_intdigest, runs)) >> 1
 
     def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for text, toxic in zip(frame["text"], frame["toxic"]):
                 found = words(text)
-                runs = (" ".join(found[i : i + RUN]) for i in range(max(1, len(found) - RUN + 1)))
-                group = min(map(xxhash.xxh3_64_intdigest, runs)) >> 1
                 once = sorted({*found, *map(stem, found)})
-                yield pd.DataFrame({"grp": np.full(len(once), group, np.int64), "toxic": int(toxic), "word": once})
+                yield pd.DataFrame({"grp": np.full(len(once), group_of(found), np.int64), "toxic": int(toxic), "word": once})
 
     rows = sample.mapInPandas(told, "grp long, toxic int, word string").distinct()
-    counts = staged(
-        rows.groupBy("word").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b")), "toxicity-words"
-    )
-    total = counts.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
-    share = sample.agg(F.avg("toxic")).first()[0]
-    base = float(np.log((share + 1e-3) / (1 - share + 1e-3))) if share is not None else -5.0
-    if not total.a or not total.b:
-        return Model({}, 1.0, 1.0, base, 0.0)
-    # No word of fewer toxic rows or of a smaller share can stand out that much.
-    often = counts.where((F.col("a") >= LEAST_Z / 2) & (F.col("a") / total.a > F.col("b") / total.b))
-    weights = word_weights([(r.word, r.a, r.b) for r in often.toLocalIterator()], total.a, total.b)
-    if not weights:
-        return Model({}, 1.0, 1.0, base, 0.0)
-    lam = chance_slope(weights)
-    only = {w: x for w, (x, _) in weights.items()}
+    mine = lambda label, fold: F.count_if((F.col("toxic") == label) & (F.col("grp") % FOLDS == fold)).cast("double")
+    in_folds = [mine(label, fold).alias(f"{'ba'[label]}{fold}") for label in (0, 1) for fold in range(FOLDS)]
+    counts = staged(rows.groupBy("word").agg(*in_folds), "toxicity-words")
+    names = [f"{side}{fold}" for side in "ab" for fold in range(FOLDS)]
+    totals = np.array(counts.agg(*[F.coalesce(F.sum(n), F.lit(0.0)) for n in names]).first(), float).reshape(2, FOLDS)
+    weigh = {label: 1 / share for label, share in shares.items()}
+    sizes = {int(r.toxic): r.n * weigh[int(r.toxic)] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = (sizes.get(1, 0) + 1e-3) / (sum(sizes.values()) + 2e-3) if sizes else 0.0
+    base = float(np.log(share / (1 - share))) if sizes else -5.0
+    nothing = Model({}, DRAIN, 1.0, 1.0, base, 0.0)
+    if not totals.sum(axis=1).all():
+        return nothing
+
+    toxic_groups = sum((F.col(f"a{fold}") for fold in range(FOLDS)), F.lit(0.0))
+    clean_groups = sum((F.col(f"b{fold}") for fold in range(FOLDS)), F.lit(0.0))
+    all_toxic, all_clean = totals.sum(axis=1)
+    often = counts.where((toxic_groups >= LEAST_GROUPS) & (toxic_groups / float(all_toxic) > clean_groups / float(all_clean)))
+    found = [tuple(r) for r in often.select("word", *names).toLocalIterator()]
+    vocabulary = [r[0] for r in found]
+    table = np.array([r[1:] for r in found], float).reshape(len(found), 2, FOLDS)
+    # Weights for a row come from all parts but its own; the last are those of all parts.
+    weights: list[list[dict[str, float]]] = []
+    for errors, prior in CHOICES:
+        without = [[k for k in range(FOLDS) if k != fold] for fold in range(FOLDS)] + [list(range(FOLDS))]
+        weights.append([
+            word_weights(vocabulary, table[:, 0, kept].sum(axis=1), table[:, 1, kept].sum(axis=1), *np.maximum(totals[:, kept].sum(axis=1), 1), errors, prior)
+            for kept in without
+        ])
+    models = [[Model(w, DRAIN, 1.0, 1.0, 0.0, 1.0) for w in folds] for folds in weights]
+
+    def in_clean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple[int, int], int] = {}
+        for frame in frames:
+            for text, toxic in zip(frame["text"], frame["toxic"]):
+                if not toxic and (tokens := words(text)):
+                    fold = group_of(tokens) % FOLDS
+                    for c, folds in enumerate(models):
+                        for w in folds[fold].hits(tokens)[1]:
+                            at = (c, int(np.ceil(w / STEP)))
+                            seen[at] = seen.get(at, 0) + 1
+                        seen[c, 0] = seen.get((c, 0), 0) + len(tokens)
+        yield pd.DataFrame([(c, s, n) for (c, s), n in seen.items()], columns=["c", "s", "n"], dtype="int64")
+
+    met: list[dict[int, int]] = [{} for _ in CHOICES]
+    for r in sample.mapInPandas(in_clean, "c long, s long, n long").groupBy("c", "s").agg(F.sum("n").alias("n")).collect():
+        met[r.c][r.s] = r.n
+    for steps, folds in zip(met, models):
+        words_seen = steps.pop(0, 0)
+        drain, lam = chance_law(steps, words_seen)
+        for model in folds:
+            model.drain, model.lam = drain, lam
 
     def extremes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plain = Model(only, lam, 1.0, 0.0, 1.0)
+        n, e = np.zeros(len(CHOICES)), np.zeros(len(CHOICES))
         for frame in frames:
-            n, e = 0, 0.0
             for text, toxic in zip(frame["text"], frame["toxic"]):
-                if not toxic and (found := words(text)):
-                    best = max((s for _, _, s in plain.passages(found)), default=0.0)
-                    n, e = n + 1, e + len(found) * np.exp(-lam * best)
-            yield pd.DataFrame({"n": [n], "e": [e]})
+                if not toxic and (tokens := words(text)):
+                    fold = group_of(tokens) % FOLDS
+                    for c, folds in enumerate(models):
+                        best = max((s for _, _, s in folds[fold].passages(tokens)), default=0.0)
+                        n[c], e[c] = n[c] + 1, e[c] + len(tokens) * np.exp(-folds[fold].lam * best)
+        yield pd.DataFrame({"c": np.arange(len(CHOICES)), "n": n, "e": e})
 
-    seen = sample.mapInPandas(extremes, "n long, e double").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).first()
-    model = Model(only, lam, seen.n / seen.e if seen.e else 1.0, 0.0, 1.0)
+    for r in sample.mapInPandas(extremes, "c long, n double, e double").groupBy("c").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).collect():
+        for model in models[r.c]:
+            model.k = r.n / r.e if r.e else 1.0
 
     def binned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [min(int(model.evidence(words(t)) / BIN), LAST_BIN) for t in frame["text"]]
-            yield pd.DataFrame({"bin": found, "toxic": frame["toxic"].astype(int)})
-
-    bins = sample.mapInPandas(binned, "bin long, toxic int").groupBy("bin").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect()
-    model.offset, model.slope = logistic_curve(
-        np.array([r.bin * BIN for r in bins]), np.array([r.t for r in bins], float), np.array([r.n for r in bins], float)
-    )
-    return model
+            seen = []
+            for text, toxic in zip(frame["text"], frame["toxic"]):
+                tokens = words(text)
+                fold = group_of(tokens) % FOLDS
+                for c, folds in enumerate(models):
+                    seen.append((c, min(int(folds[fold].evidence(tokens) / BIN), LAST_BIN), int(toxic)))
+            yield pd.DataFrame(seen, columns=["c", "bin", "toxic"])
+
+    bins = sample.mapInPandas(binned, "c long, bin long, toxic long").groupBy("c", "bin", "toxic").agg(F.count("*").alias("n")).collect()
+    best, least = nothing, np.inf
+    for c, folds in enumerate(models):
+        mine_bins = [r for r in bins if r.c == c]
+        rows_of = np.array([r.n * weigh[r.toxic] for r in mine_bins], float)
+        curve = logistic_curve(np.array([r.bin * BIN for r in mine_bins], float), rows_of * [r.toxic for r in mine_bins], rows_of)
+        if curve[1] and curve[2] < least:
+            least, best = curve[2], folds[-1]
+            best.offset, best.slope = curve[:2]
+    return best
 
 
 def score(text: Column, model: Model) -> Column:

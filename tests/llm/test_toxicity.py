@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 from hypothesis import given, settings
@@ -66,3 +67,61 @@ def test_nothing_to_learn(spark):
         model = toxicity.fit(rows)
         assert [r.predicted for r in toxicity.score_toxicity(docs, model).collect()] == [0, 0, 0]
     assert toxicity.score_toxicity(docs.where("false"), model).count() == 0
+
+
+def test_few_rows_that_hold_a_signal(spark):
+    rows = [r for r in corpus(400) if r[0] < 400]
+    model = toxicity.fit(spark.createDataFrame(rows[:300], "doc_id long, text string, toxic int"))
+    assert model.slope > 0
+    got = toxicity.score_toxicity(spark.createDataFrame(rows[300:], "doc_id long, text string, toxic int"), model).collect()
+    hit = sum(r.predicted for r in got if r.toxic)
+    assert hit >= 0.8 * sum(r.toxic for r in got) and sum(r.predicted for r in got if not r.toxic) <= 2
+
+
+def test_many_common_words_that_stand_out_weakly(spark):
+    """Common words a little more frequent in toxic rows, which are longer too: the score of clean text still falls."""
+    rng = random.Random(9)
+    plain = [f"p{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
+    rows = []
+    for i in range(1200):
+        toxic = int(rng.random() < 0.3)
+        pool = plain[:50] * (3 if toxic else 2) + plain[50:] * 2
+        rows.append((i, " ".join(rng.choice(pool) for _ in range(120 if toxic else 40)) + " idiot" * toxic, toxic))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(frame.where("doc_id < 900"))
+    assert model.lam > 0.01 and model.slope > 0
+    got = toxicity.score_toxicity(frame.where("doc_id >= 900"), model).collect()
+    assert sum(r.predicted == r.toxic for r in got) >= 0.95 * len(got)
+
+
+def test_a_law_exists_even_where_every_word_weighs():
+    drain, lam = toxicity.chance_law({10: 900, 200: 50}, 1000)
+    assert 0 < lam <= toxicity.STEEPEST
+    mean = (10 * 900 + 200 * 50) * toxicity.STEP / 1000
+    assert mean - 0.05 * drain <= -toxicity.LEAST_FALL + 1e-9
+    assert toxicity.chance_law({}, 0)[1] == toxicity.STEEPEST
+
+
+def test_label_shares_of_the_sample(spark):
+    frame = spark.range(4000).selectExpr("id AS doc_id", "'a' AS text", "int(id % 100 = 0) AS toxic")
+    sample, shares = toxicity.sampled_by_label(frame, 400)
+    assert shares[1] == 1.0 and abs(shares[0] * 3960 - 360) < 1
+    assert sample.where("toxic = 1").count() == 40 and abs(sample.count() - 400) < 80
+
+
+def score_by_definition(model, text):
+    """Segments by their definition over the weights of all words, then law and curve."""
+    tokens = toxicity.words(text)
+    scores = [model.weights.get(t) or model.weights.get(toxicity.stem(t)) or -model.drain for t in tokens]
+    found = maximal_segments(scores)
+    evidence = sum(max(0.0, model.lam * s - math.log(model.k * len(tokens))) for _, _, s in found)
+    return 1 / (1 + math.exp(-model.offset - model.slope * min(evidence, toxicity.BIN * toxicity.LAST_BIN)))
+
+
+def test_scores_equal_the_definition(spark):
+    rows = corpus(600)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(frame)
+    short = [r for r in rows if len(r[1].split()) <= 40][:60]
+    got = toxicity.score_toxicity(spark.createDataFrame(short, frame.schema), model).collect()
+    assert all(abs(r.score - score_by_definition(model, r.text)) < 1e-9 for r in got)
