@@ -8,8 +8,8 @@ a shared cut is a leaf group. The texts of a batch are divided together, all ope
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,42 +19,16 @@ from pyspark.sql import functions as F
 from runlens.llm.neardup import BROADCAST_ROWS
 from runlens.llm.staging import broadcast_if_small, staged
 from runlens.llm.tokens import tokenizer_path
+from runlens.llm.words import REMEMBERED, Bytewise, WordIds, grouped, words_of
 
 #: Texts of about so many characters are aligned at once.
-GROUP_CHARS = 1 << 20
-#: Pieces between spaces whose tokens a worker remembers; only speed and memory depend on it.
-REMEMBERED = 250_000
-REMEMBERED_CHARS = 40
+GROUP_CHARS = 1 << 19
 #: A link is the id of A times this plus the id of B.
 PAIR = 1 << 32
 
-_SAFE_CUT = re.compile(r"(?<=\S)(?= )")
-_SPACE_AFTER_SPACE = re.compile(r"\s ")
-
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, groups string, links array<long>"
 
 
-class Bytewise:
-    """A byte-level tokenizer (.json): ids of pieces that start with a space, and the bytes of each id."""
-
-    def __init__(self, path: str) -> None:
-        import tokenizers
-
-        model = tokenizers.Tokenizer.from_file(path)
-        model.no_truncation()
-        model.no_padding()
-        model.encode_special_tokens = True
-        self.encode = lambda pieces: [e.ids for e in model.encode_batch_fast(pieces, add_special_tokens=False)]
-        # The letters that byte-level vocabularies write bytes with: printable ones stand for themselves.
-        printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-        others = [b for b in range(256) if b not in printable]
-        byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
-        self.bytes = [b""] * model.get_vocab_size()
-        for token, i in model.get_vocab().items():
-            # An added token outside the byte alphabet cannot come from plain text.
-            self.bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else b""
-
-
 class Pieces:
     """A sentence piece model (.model) that puts a space before a text."""
 
@@ -81,59 +55,38 @@ class Aligner:
     """Tokens, shared cuts and groups of texts under tokenizers a and b."""
 
     def __init__(self, a: str, b: str, remembered: int = REMEMBERED) -> None:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.sides = [Bytewise(tokenizer_path(a)), Pieces(tokenizer_path(b))]
         self.lengths = [np.array([len(x) for x in side.bytes], np.int64) for side in self.sides]
         # Each id as text, followed by the mark for a next token or for a group's end.
         self.inner = [np.array([f"{i}," for i in range(len(n))], object) for n in self.lengths]
         self.last = [np.array([f"{i}{mark}" for i in range(len(n))], object) for n, mark in zip(self.lengths, "|;")]
-        self.remembered = remembered
-        self.known: list[dict[str, bytes]] = [{}, {}]
+        self.words = WordIds(self.sides, remembered)
 
-    def encoded(self, texts: list[str]) -> list[list[bytes]]:
-        """For each side, the ids of a space and each text, little-endian 32-bit; ids of pieces whose tokens do
-        not spell them are left out, so their texts come out too short."""
-        words = []
+    def encoded(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each side, the ids of a space and each text, one after another, and how many a text has. Ids of
+        words whose tokens do not spell them are left out, so their texts come out too short."""
+        words: list[str] = []
+        sizes = []
         for text in texts:
-            spaced = " " + text
-            if not text:
-                words.append([])
-            elif _SPACE_AFTER_SPACE.search(spaced):
-                words.append([piece[1:] for piece in _SAFE_CUT.split(spaced)])
-            else:
-                words.append(text.split(" "))
-        new = list({w for found in words for w in found if w not in self.known[0]})
-        out = []
-        for side, known in zip(self.sides, self.known):
-            table, told = side.bytes, {}
-            for word, ids in zip(new, side.encode([" " + w for w in new]) if new else []):
-                spelt = b"".join([table[i] for i in ids]) == (" " + word).encode()
-                told[word] = np.array(ids if spelt else [], "<u4").tobytes()
-            known.update(told)
-            out.append([b"".join([known[w] for w in found]) for found in words])
-        if len(self.known[0]) > self.remembered:
-            self.known = [{}, {}]
-        else:
-            for word in new:
-                if len(word) > REMEMBERED_CHARS:
-                    del self.known[0][word], self.known[1][word]
-        return out
+            before = len(words)
+            if text:
+                words += words_of(" " + text)
+            sizes.append(len(words) - before)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        found = self.words.look_up(words)
+        return [ids.astype(np.int64) for ids, _ in found], [np.bincount(owner, n, len(texts)).astype(np.int64) for _, n in found]
 
     def align(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
         """(tokens of a, tokens of b, groups, groups as text, links) of each text; nothing where tokens do not
         spell a space and the text."""
-        encoded = self.encoded(texts)
-        ids, counts, ends = [], [], []
+        ids, counts = self.encoded(texts)
         sizes = np.array([len(t.encode()) + 1 if t else 0 for t in texts], np.int64)
         spelt = np.ones(len(texts), bool)
-        for raw, lengths in zip(encoded, self.lengths):
-            n = np.array([len(x) // 4 for x in raw], np.int64)
-            flat = np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
+        for flat, n, lengths in zip(ids, counts, self.lengths):
             owner = np.repeat(np.arange(len(texts)), n)
             spelt &= np.bincount(owner, lengths[flat], len(texts)).astype(np.int64) == sizes
-            ids.append(flat), counts.append(n)
+        ends = []
         for k in range(2):
             ids[k] = ids[k][np.repeat(spelt, counts[k])]
             counts[k] = np.where(spelt, counts[k], 0)
@@ -207,19 +160,6 @@ def aligner(a: str, b: str) -> Aligner:
     return _aligners[a, b]
 
 
-def grouped(texts: list[str]) -> Iterator[list[str]]:
-    """Consecutive texts of about GROUP_CHARS characters."""
-    group, size = [], 0
-    for text in texts:
-        group.append(text)
-        size += len(text)
-        if size >= GROUP_CHARS:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 def align_documents(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model") -> DataFrame:
     """(row, doc_id, n_a, n_b, n_groups, groups, links) of each row of ``docs`` (doc_id, text).
 
@@ -234,7 +174,7 @@ def align_documents(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "pie
         for batch in batches:
             rows, ids = batch.column("row"), batch.column("doc_id")
             at = 0
-            for group in grouped([t or "" for t in batch.column("text").to_pylist()]):
+            for group in grouped([t or "" for t in batch.column("text").to_pylist()], GROUP_CHARS):
                 found = list(use.align(group))
                 n_a, n_b, n_groups, texts, links = zip(*found)
                 offsets = pa.array(np.cumsum([0, *n_groups]), pa.int32())
