@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from runlens.operators.slicing import (
     ROWS_PER_SLICE,
     first_rows,
-    has_large_group,
-    large_groups,
     null_safe_join,
     sized,
+    sliced,
+    with_keys,
     with_position,
-    with_slice,
 )
-from runlens.sources.shared import checkpointed
+from runlens.sources.shared import written
 
 
 def priority_batches(
@@ -38,24 +37,16 @@ def chunk_with_padding(
     size: int,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Fixed chunks per submission; the last one is filled up with the first item."""
-    if has_large_group(df, keys, rows_per_slice):
-        first = first_rows(df, keys, order).select(*keys, F.col(item).alias("_first"))
-        numbered = null_safe_join(
-            with_position(df, keys, [order], "_pos", rows_per_slice), first, keys, "left"
-        )
-    else:
-        run = Window.partitionBy(*keys).orderBy(order)
-        numbered = df.select(
-            "*", F.row_number().over(run).alias("_pos"), F.first_value(item).over(run).alias("_first")
-        )
-    entry = F.struct("_pos", F.col(item).alias("v"), "_first")
-    chunks = numbered.groupBy(*keys, F.floor((F.col("_pos") - 1) / size).alias("chunk_no")).agg(
-        F.array_sort(F.collect_list(entry)).alias("_items")
+    """Fixed chunks per submission (all rows without keys); the last one is filled up with the first item."""
+    keyed, group = with_keys(df, keys)
+    first = first_rows(keyed, group, order).select(*group, F.col(item).alias("_first"))
+    numbered = with_position(keyed, group, [order], "_pos", rows_per_slice)
+    chunks = numbered.groupBy(*group, F.floor((F.col("_pos") - 1) / size).alias("chunk_no")).agg(
+        F.array_sort(F.collect_list(F.struct("_pos", F.col(item).alias("v")))).alias("_items")
     )
     filled = F.size("_items")
-    padding = F.array_repeat(F.col("_items")[0]["_first"], F.greatest(F.lit(0), size - filled))
-    return chunks.select(
+    padding = F.array_repeat("_first", F.greatest(F.lit(0), size - filled))
+    return null_safe_join(chunks, first, group, "left").select(
         *keys,
         "chunk_no",
         filled.alias("filled"),
@@ -77,33 +68,23 @@ def gap_batches(
     Adds ``session_no`` (1-based, runs of arrivals without a gap) and ``batch_no`` (0-based
     inside the session).
     """
-    tie = tie or []
     gap = int(round(gap_seconds * 1_000_000))
-    timed = df.withColumn("_us", F.unix_micros(F.col(order).cast("timestamp")))
+    keyed, keys = with_keys(df, keys)
+    timed = keyed.withColumn("_us", F.unix_micros(F.col(order).cast("timestamp")))
     opens = F.coalesce(F.col("_us") - F.col("_prev") >= gap, F.lit(True)).cast("bigint")
 
-    large = large_groups(timed, keys, rows_per_slice, order)
-    if large is None:
-        run = Window.partitionBy(*keys).orderBy(order, *tie)
-        session = Window.partitionBy(*keys, "session_no").orderBy(order, *tie)
-        return (
-            timed.withColumn("_prev", F.lag("_us").over(run))
-            .withColumn("session_no", F.sum(opens).over(run))
-            .withColumn("batch_no", F.floor((F.row_number().over(session) - 1) / size))
-            .drop("_us", "_prev")
-        )
-
     # Inside a slice: does a row open a session, how many did so far, where did the last open.
+    order_by = [order, *(tie or [])]
+    cut, slices = sliced(timed, keys, order_by, rows_per_slice)
     local = keys + ["_slice"]
-    few = large.slices(rows_per_slice)
-    sliced = with_slice(timed, keys, order, large, rows_per_slice)
-    ends = sliced.filter("_large").groupBy(*local).agg(F.max("_us").alias("_end"))
+    ends = cut.groupBy(*local).agg(F.max("_us").alias("_end"))
     across = Window.partitionBy(*keys).orderBy("_slice")
-    before = ends.select(*local, F.lag("_end").over(across).alias("_before_end"))
-    inside = Window.partitionBy(*local).orderBy(order, *tie)
+    # A group that goes on from an earlier slice is the first of its slice: at most one for each slice.
+    before = ends.select(*local, F.lag("_end").over(across).alias("_before_end")).filter("_before_end IS NOT NULL")
+    inside = Window.partitionBy(*local).orderBy(*order_by)
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     marked = (
-        null_safe_join(sliced, sized(before, few), local, "left")
+        null_safe_join(cut, sized(before, slices), local, "left")
         .withColumn("_prev", F.coalesce(F.lag("_us").over(inside), F.col("_before_end")))
         .withColumns({"_opens": opens, "_row": F.row_number().over(inside).cast("bigint")})
         .withColumns(
@@ -114,7 +95,7 @@ def gap_batches(
         )
     )
     # Across slices: rows and sessions of earlier slices, and the row where the open session began.
-    totals = marked.filter("_large").groupBy(*local).agg(
+    totals = marked.groupBy(*local).agg(
         F.count(F.lit(1)).alias("_n"), F.sum("_opens").alias("_o"), F.max("_start").alias("_s")
     )
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
@@ -126,11 +107,12 @@ def gap_batches(
                 "_began": F.max(F.col("_rows") + F.col("_s")).over(earlier),
             }
         )
+        .filter("_sessions IS NOT NULL")
         .select(*local, "_rows", "_sessions", "_began")
     )
     rows_before = F.coalesce("_rows", F.lit(0))
     start = F.coalesce(rows_before + F.col("_start"), F.col("_began"))
-    return null_safe_join(marked, sized(carried, few), local, "left").select(
+    return null_safe_join(marked, sized(carried, slices), local, "left").select(
         *df.columns,
         (F.col("_opened") + F.coalesce("_sessions", F.lit(0))).alias("session_no"),
         F.floor((rows_before + F.col("_row") - start) / size).alias("batch_no"),
@@ -159,7 +141,10 @@ def reassemble_batches(
 # One adjustment maps a size x to min(max(x + add, floor), top). Such maps compose into maps
 # of the same form, so a long run of adjustments is folded block by block in parallel.
 _FREE = 1 << 40
-_STEPS_PER_BLOCK = 1000
+_STEPS_PER_BLOCK = 200
+
+#: Mean latencies in seconds below which a batch grows and above which it shrinks.
+GROW_BELOW_S, SHRINK_ABOVE_S = 0.01, 0.05
 
 
 def _apply(x: Column, f: Column) -> Column:
@@ -214,26 +199,29 @@ def _walk(start: Column) -> Column:
 def _trace(maps: DataFrame, keys: list[str], starts: DataFrame | None, default: int) -> DataFrame:
     """(keys, idx, before, after) for maps numbered 0, 1, 2 ... per key.
 
-    ``starts`` holds ``start`` for keys that do not begin with ``default``.
+    ``starts`` holds ``start`` for keys that do not begin with ``default``. Blocks of maps fold to one map each,
+    which are folded in blocks again until a key has one block; then sizes are walked through from the top down.
     """
-    if not has_large_group(maps, keys, _STEPS_PER_BLOCK):
-        blocks = _blocks(maps, keys)
-        start = F.lit(default)
-        if starts is not None:
-            blocks = null_safe_join(blocks, starts, keys, "left")
-            start = F.coalesce("start", start)
-        return blocks.select(*keys, F.explode(_walk(start)).alias("_s")).select(*keys, "_s.*")
-    numbered = maps.withColumn("_block", F.floor(F.col("idx") / _STEPS_PER_BLOCK))
-    blocks = checkpointed(_blocks(numbered, keys + ["_block"]))
+
+    def in_blocks(found: DataFrame) -> DataFrame:
+        numbered = found.withColumn("_block", F.floor(F.col("idx") / _STEPS_PER_BLOCK))
+        return written(_blocks(numbered, keys + ["_block"]), "blocks")
+
     folded = F.aggregate("fs", _step_map(0, -_FREE, _FREE), lambda acc, e: _compose(acc, e["f"]))
-    upper = blocks.select(*keys, F.col("_block").alias("idx"), folded.alias("f"))
-    entries = _trace(upper, keys, starts, default).select(
-        *keys, F.col("idx").alias("_block"), F.col("before").alias("_entry")
-    )
-    walked = null_safe_join(blocks, entries, keys + ["_block"], "inner").select(
-        *keys, F.explode(_walk(F.col("_entry"))).alias("_s")
-    )
-    return walked.select(*keys, "_s.*")
+    levels = [in_blocks(maps)]
+    last = levels[0].agg(F.max("_block")).first()[0]
+    while last:
+        levels.append(in_blocks(levels[-1].select(*keys, F.col("_block").alias("idx"), folded.alias("f"))))
+        last //= _STEPS_PER_BLOCK
+    top = levels.pop().withColumn("_entry", F.lit(default))
+    if starts is not None:
+        top = null_safe_join(top, starts, keys, "left").withColumn("_entry", F.coalesce("start", "_entry"))
+    sizes = top.select(*keys, F.explode(_walk(F.col("_entry"))).alias("_s")).select(*keys, "_s.*")
+    for blocks in reversed(levels):
+        entries = sizes.select(*keys, F.col("idx").alias("_block"), F.col("before").alias("_entry"))
+        entered = null_safe_join(blocks, entries, keys + ["_block"], "inner")
+        sizes = entered.select(*keys, F.explode(_walk(F.col("_entry"))).alias("_s")).select(*keys, "_s.*")
+    return sizes
 
 
 def latency_steps(
@@ -244,8 +232,8 @@ def latency_steps(
     return (
         numbered.groupBy(*keys, F.floor((F.col("_pos") - 1) / every).alias("idx"))
         .agg(
-            F.when(mean < 0.01, _step_map(1, -_FREE, high))
-            .when(mean > 0.05, _step_map(-1, low, _FREE))
+            F.when(mean < GROW_BELOW_S, _step_map(1, -_FREE, high))
+            .when(mean > SHRINK_ABOVE_S, _step_map(-1, low, _FREE))
             .otherwise(_step_map(0, -_FREE, _FREE))
             .alias("f"),
             F.count(F.lit(1)).alias("_n"),

@@ -1,17 +1,13 @@
 """Ordered work on groups of any size.
 
-A window over a key puts all rows of that key into one task. The helpers here
-cut a large group into consecutive slices of its order column, run the window
-inside each slice, and carry what crosses a slice border in a summary with one
-row per slice.
-
-Whether that is needed is decided by a check of the group sizes (one scan of the
-key columns): without a large group a plain window is the better plan. The check
-also tells how many large groups and slices there are, so their tables are
-broadcast only while they are known to be small.
-
-Slices come from stored counts and bounds of each group, so a task that is run
-again after a lost executor puts every row into the same slice.
+A window over a key puts all rows of that key into one task. The helpers here sort all rows into ranges of
+keys and order columns, so that a large group is cut into consecutive slices, run the window inside each
+slice, and carry what crosses a slice border in a summary with one row per slice.
+
+There is one plan for every size: a small group lies in one slice. The ranges come from Spark's range
+partitioning, which takes any type that has an order and cuts by row counts, not by values, so neither outliers nor
+clusters fill a slice. The ranged rows are written once, so a task that is run again after a lost executor
+finds every row in the same slice.
 """
 
 from __future__ import annotations
@@ -19,14 +15,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from runlens.sources.shared import checkpointed
+from runlens.sources.shared import checkpointed, written
 
 ROWS_PER_SLICE = 1_000_000
-#: Slices and cells divide what lies between these quantiles; the first and the last also take what lies
+#: Cells of values divide what lies between these quantiles; the first and the last also take what lies
 #: beyond, so a few outliers cannot squeeze all other rows into one.
 CENTRE = [0.001, 0.999]
 BROADCAST_ROWS = 100_000
@@ -40,19 +35,13 @@ class LargeGroups:
     groups: int
     rows: int
 
-    def slices(self, rows_per_slice: int) -> int:
-        """No more slices than this come from the large groups."""
-        return self.rows // rows_per_slice + 2 * self.groups
-
 
 def sized(frame: DataFrame, rows: int) -> DataFrame:
     """Broadcast a side of known size; a larger one is left to a shuffled join."""
     return F.broadcast(frame) if rows <= BROADCAST_ROWS else frame
 
 
-def large_groups(
-    df: DataFrame, keys: list[str], limit: int, order: str | None = None
-) -> LargeGroups | None:
+def large_groups(df: DataFrame, keys: list[str], limit: int) -> LargeGroups | None:
     """The groups with more than ``limit`` rows, or None; at most (all rows / limit) of them."""
     found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).persist()
     try:
@@ -62,22 +51,9 @@ def large_groups(
     finally:
         found.unpersist()
     groups, rows = kept.agg(F.count(F.lit(1)), F.sum("_n")).first()
-    if order is not None:
-        at = ordinal(df, order)
-        theirs = null_safe_join(df, sized(kept, groups), keys, "inner")
-        centre = theirs.groupBy(*keys, "_n").agg(F.percentile_approx(at, CENTRE, F.lit(10_000)).alias("_c"))
-        kept = checkpointed(
-            centre.select(*keys, "_n", F.col("_c")[0].alias("_lo"), F.col("_c")[1].alias("_hi"))
-        )
     return LargeGroups(kept, groups, rows)
 
 
-def has_large_group(df: DataFrame, keys: list[str], limit: int) -> bool:
-    """Whether any group of ``keys`` has more than ``limit`` rows."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return not sizes.filter(F.col("_n") > limit).isEmpty()
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Equi-join that also matches null keys and keeps the left key columns."""
     renamed = right.select(
@@ -101,43 +77,16 @@ def first_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return found.select(*df.columns)
 
 
-def ordinal(df: DataFrame, column: str) -> Column:
-    """The order column as a double that never decreases where the column grows."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(column).cast("double")
-    if isinstance(kind, T.NumericType):
-        return F.col(column).cast("double")
-    raise TypeError(f"order column {column} must be a number, date or timestamp, not {kind}")
-
+def sliced(
+    df: DataFrame, keys: list[str], order: list[str], rows_per_slice: int = ROWS_PER_SLICE
+) -> tuple[DataFrame, int]:
+    """``df``, written once, with ``_slice``, which grows with keys and order; and the number of slices.
 
-def with_slice(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    large: LargeGroups | None,
-    rows_per_slice: int = ROWS_PER_SLICE,
-) -> DataFrame:
-    """Add ``_slice``, which grows with ``order`` inside each large group, and ``_large``."""
-    if large is None:
-        return df.withColumns({"_slice": F.lit(0).cast("bigint"), "_large": F.lit(False)})
-    centred = F.least(F.greatest(ordinal(df, order), F.col("_lo")), F.col("_hi"))
-    share = (centred - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    cut = F.when(
-        F.col("_hi") > F.col("_lo"), F.floor(share * F.ceil(F.col("_n") / rows_per_slice))
-    )
-    return (
-        null_safe_join(df, sized(large.frame, large.groups), keys, "left")
-        .withColumns(
-            {
-                "_slice": F.coalesce(cut, F.lit(0).cast("bigint")),
-                "_large": F.col("_n").isNotNull(),
-            }
-        )
-        .drop("_n", "_lo", "_hi")
-    )
+    A slice holds about two thirds of ``rows_per_slice`` rows or fewer; rows that are equal in keys and order stay together.
+    """
+    slices = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-3 * df.count() // (2 * rows_per_slice)))
+    ranged = df.repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id().cast("bigint"))
+    return written(ranged, "slices"), slices
 
 
 def with_position(
@@ -148,35 +97,20 @@ def with_position(
     rows_per_slice: int = ROWS_PER_SLICE,
     tie: list[str] | None = None,
 ) -> DataFrame:
-    """1-based row number per key.
-
-    Large groups are cut along the last column of ``order``, which is numeric or temporal;
-    the columns before it may repeat freely. ``order`` with ``tie`` is unique per key.
-    """
-    tie = tie or []
+    """1-based row number per key. ``order`` with ``tie`` is unique per key and of any types that have an order."""
+    order = order + (tie or [])
     keyed, keys = with_keys(df, keys)
-    *prefix, last = order
-    large = large_groups(keyed, keys, rows_per_slice, None if prefix else last)
-    if large is None:
-        whole = Window.partitionBy(*keys).orderBy(*order, *tie)
-        return keyed.withColumn(name, F.row_number().over(whole).cast("bigint")).drop("_all")
-    if prefix:
-        large = large_groups(keyed, keys + prefix, rows_per_slice, last)
-    sliced = with_slice(keyed, keys + prefix, last, large, rows_per_slice)
-    local = keys + prefix + ["_slice"]
-    counted = sliced if prefix else sliced.filter("_large")
-    counts = counted.groupBy(*local).agg(F.count(F.lit(1)).alias("_c"))
-    across = Window.partitionBy(*keys).orderBy(*prefix, "_slice")
-    offsets = counts.select(
-        *local, (F.sum("_c").over(across) - F.col("_c")).alias("_before")
-    ).filter(F.col("_before") != 0)
-    if not prefix:
-        offsets = sized(offsets, large.slices(rows_per_slice))
-    within = Window.partitionBy(*local).orderBy(last, *tie)
+    cut, slices = sliced(keyed, keys, order, rows_per_slice)
+    local = keys + ["_slice"]
+    counts = cut.groupBy(*local).agg(F.count(F.lit(1)).alias("_c"))
+    across = Window.partitionBy(*keys).orderBy("_slice")
+    # A group that began in an earlier slice goes on in this one: at most one for each slice.
+    offsets = counts.select(*local, (F.sum("_c").over(across) - F.col("_c")).alias("_before")).filter(F.col("_before") != 0)
+    within = Window.partitionBy(*local).orderBy(*order)
     return (
-        null_safe_join(sliced, offsets, local, "left")
+        null_safe_join(cut, sized(offsets, slices), local, "left")
         .withColumn(name, F.row_number().over(within) + F.coalesce("_before", F.lit(0)))
-        .drop("_before", "_slice", "_large", "_all")
+        .select(*df.columns, name)
     )
 
 

@@ -18,7 +18,6 @@ from runlens.operators.quantiles import (
 )
 from runlens.operators.slicing import (
     ROWS_PER_SLICE,
-    has_large_group,
     large_groups,
     null_safe_join,
     sized,
@@ -364,12 +363,11 @@ def rolling_avg(
             F.avg(column).over(window.rowsBetween(1 - n, 0)).alias(f"avg_last_{n}") for n in sizes
         ]
 
-    if not has_large_group(df, keys, rows_per_slice):
-        return df.select("*", *averages(Window.partitionBy(*keys).orderBy(order)))
-    numbered = with_position(df, keys, [order], "_pos", rows_per_slice)
+    keyed, keys = with_keys(df, keys)
+    numbered = with_position(keyed, keys, [order], "_pos", rows_per_slice)
     haloed = with_halo(numbered, "_pos", max(sizes) - 1, rows_per_slice)
     averaged = haloed.select("*", *averages(Window.partitionBy(*keys, "_slice").orderBy("_pos")))
-    return averaged.filter(~F.col("_halo")).drop("_slice", "_halo", "_pos")
+    return averaged.filter(~F.col("_halo")).select(*df.columns, *[f"avg_last_{n}" for n in sizes])
 
 
 def throughput_series(

@@ -31,11 +31,6 @@ def skewed(spark):
     return df.withColumn("ts", F.timestamp_millis("ms")).cache()
 
 
-def test_group_size_check(skewed):
-    assert slicing.has_large_group(skewed, ["run_id"], 899)
-    assert not slicing.has_large_group(skewed, ["run_id"], 900)
-
-
 @pytest.mark.parametrize("size", [7, 64, 500])
 def test_position(skewed, size):
     found = slicing.with_position(skewed, ["run_id"], ["seq"], "p", size)
@@ -61,9 +56,43 @@ def test_position_over_everything(skewed):
     assert "_all" not in numbered.columns
 
 
-def test_order_column_must_have_an_order(skewed):
-    with pytest.raises(TypeError):
-        slicing.ordinal(skewed, "run_id")
+LIMITS = (10, 1_000_000)
+
+
+@pytest.mark.parametrize("keys", [["run_id"], []])
+def test_any_order_and_no_keys_give_the_same_at_every_limit(skewed, keys):
+    """String order, with and without keys, by a limit far below and far above the number of rows."""
+    named = skewed.withColumn("name", F.format_string("%s-%05d", F.coalesce("run_id", F.lit("z")), "seq"))
+    results = []
+    for limit in LIMITS:
+        rolled = timing.rolling_avg(named, keys, "name", "lat", (3,), limit)
+        chunks = batching.chunk_with_padding(named, keys, "name", "seq", 7, limit)
+        gaps = batching.gap_batches(named, keys, "ts", 4, 5.0, limit, tie=["name"])
+        places = slicing.with_position(named, keys, ["name"], "p", limit)
+        assert rolled.columns == [*named.columns, "avg_last_3"] and "_all" not in gaps.columns
+        results.append((
+            rows(rolled.select("name", F.round("avg_last_3", 12)), "name"), rows(chunks, *keys, "chunk_no"),
+            rows(gaps.select("name", "session_no", "batch_no"), "name"), rows(places.select("name", "p"), "name"),
+        ))
+    assert results[0] == results[1]
+
+
+@pytest.mark.parametrize("kind", ["cluster", "outlier", "strings", "ties"])
+def test_slices_stay_within_twice_the_limit(spark, kind):
+    """Slices divide rows, not values."""
+    at = {
+        "cluster": F.when(F.col("id") % 100 < 97, F.col("id") / 1e6).otherwise(F.col("id") * 60.0),
+        "outlier": F.when(F.col("id") == 0, -1e9).otherwise(F.col("id").cast("double")),
+        "strings": F.format_string("%06d", "id"),
+        "ties": F.lit(1),
+    }[kind]
+    df = spark.range(10_000).select(F.lit("a").alias("run"), "id", at.alias("at"))
+    cut, slices = slicing.sliced(df, ["run"], ["at", "id"], 100)
+    sizes = [r["count"] for r in cut.groupBy("_slice").count().collect()]
+    assert sum(sizes) == 10_000 and max(sizes) <= 200 and slices == 150
+    wanted = df.withColumn("p", F.row_number().over(Window.partitionBy("run").orderBy("at", "id")))
+    found = slicing.with_position(df, ["run"], ["at"], "p", 100, tie=["id"])
+    assert rows(found.select("id", "p"), "id") == rows(wanted.select("id", "p"), "id")
 
 
 @pytest.mark.parametrize("size", [5, 33])
@@ -209,16 +238,6 @@ def test_reassembly_keeps_the_later_delivery(spark):
     assert batching.reassemble_batches(df, order=["at"]).collect()[0].results == {0: "new", 1: "x"}
 
 
-def test_one_early_row_does_not_fill_a_slice(spark):
-    """10,000 rows, one of them with a clock reset far back."""
-    df = spark.range(10_000).select(F.lit("a").alias("run"), F.when(F.col("id") == 0, -(10**9)).otherwise(F.col("id")).alias("at"))
-    large = slicing.large_groups(df, ["run"], 100, "at")
-    sizes = [r["count"] for r in slicing.with_slice(df, ["run"], "at", large, 100).groupBy("_slice").count().collect()]
-    assert len(sizes) > 90 and max(sizes) <= 200
-    placed = slicing.with_position(df, ["run"], ["at"], "pos", 100)
-    assert placed.filter(F.col("pos") != F.when(F.col("at") < 0, 1).otherwise(F.col("at") + 1)).count() == 0
-
-
 def test_one_huge_value_does_not_fill_a_cell(spark):
     values = [(i % 5003) / 5003 for i in range(20_000)] + [1e9]
     df = spark.createDataFrame([("a", v) for v in values], "k string, v double")
