@@ -8,7 +8,7 @@ each range is cut into full sequences as it streams by. Documents are encoded af
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.tokens import REMEMBERED, encoder, tokenizer_path
+from runlens.llm.tokens import encoder, splits_at_spaces, tokenizer_path
+from runlens.llm.words import Bytewise, WordIds, grouped, start_and_rest, words_of
 
 BUCKETS = 256
 DIMENSIONS = 4
@@ -28,6 +29,15 @@ STRETCH = 3.0
 #: Sequence ids count up from the partition's number times this.
 SEQUENCES_PER_PARTITION = 1 << 40
 
+#: Ranges are bounded by keys of about so many rows, chosen by a hash; only the balance of tasks depends on it.
+SAMPLE_ROWS = 20_000
+#: Bytes of text a range holds at most on average, and below which more ranges would not help.
+RANGE_BYTES, LEAST_RANGE_BYTES = 64 << 20, 1 << 20
+#: Words a worker remembers; only speed and memory depend on it.
+REMEMBERED = 1_000_000
+#: Characters of text whose ids are gathered at once.
+GROUP_CHARS = 1 << 20
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -135,6 +145,42 @@ class Packer:
         self.close([1 << b for b in range(self.filled.bit_length() - 1, -1, -1) if self.filled >> b & 1])
 
 
+class TextIds:
+    """Ids of whole texts, as little-endian unsigned 32-bit bytes: a text's start by itself, the rest as spaces and
+    words."""
+
+    def __init__(self, path: str, remembered: int) -> None:
+        self.whole = Bytewise(path, special=True)
+        self.words = WordIds([self.whole], remembered, spelt=False, letters=True)
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        for group in grouped(texts, GROUP_CHARS):
+            starts, words, sizes = [], [], []
+            for text in group:
+                start, rest = start_and_rest(text)
+                starts.append(start)
+                found = words_of(rest) if rest else []
+                words += found
+                sizes.append(len(found))
+            ((ids, n),) = self.words.look_up(words)
+            ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *sizes])].tolist()
+            raw = ids.astype("<u4").tobytes()
+            for start, told, i, j in zip(starts, self.whole.encode(starts), ends, ends[1:]):
+                yield (np.array(told, "<u4").tobytes() if start else b"") + raw[4 * i : 4 * j]
+
+
+_text_ids: dict[tuple[str, int], Callable[[list[str]], Iterator[bytes]]] = {}
+
+
+def text_ids(tokenizer: str, remembered: int) -> Callable[[list[str]], Iterator[bytes]]:
+    """What encodes texts in this worker process: by words where the tokenizer allows for it; made once."""
+    if (tokenizer, remembered) not in _text_ids:
+        path = tokenizer_path(tokenizer)
+        by_words = path.endswith(".json") and splits_at_spaces(path)
+        _text_ids[tokenizer, remembered] = TextIds(path, remembered) if by_words else encoder(path, remembered).ids
+    return _text_ids[tokenizer, remembered]
+
+
 def pack_documents(
     docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", size: int = 1024, end_id: int = 0, remembered: int = REMEMBERED
 ) -> DataFrame:
@@ -149,7 +195,7 @@ def pack_documents(
     schema = pa.schema([(name.split()[0], pa.int64()) for name in PIECES.split(", ")])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = encoder(tokenizer_path(tokenizer), remembered)
+        use = text_ids(tokenizer, remembered)
         packer = Packer(size, TaskContext.get().partitionId() * SEQUENCES_PER_PARTITION)
         last = int(end_id).to_bytes(4, "little")
 
@@ -160,7 +206,7 @@ def pack_documents(
 
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), use.ids(texts)):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), use(texts)):
                 packer.add(doc, ids + last)
                 if len(packer.done) >= 10_000:
                     yield rows()
@@ -169,6 +215,30 @@ def pack_documents(
 
     keyed = docs.select("doc_id", "text", curve_key(F.col("text")).alias("curve"))
     order = ["curve", "doc_id", F.xxhash64("text")]
-    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(
-        packed, PIECES
-    )
+    return in_ranges(docs, keyed).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(packed, PIECES)
+
+
+def range_place(curve: Column) -> Column:
+    """The leading bits of a key, then 16 hashed bits of id and text, so that equal keys can be cut too."""
+    return F.shiftleft(F.shiftright(curve, BITS * DIMENSIONS - 47), 16) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 16))
+
+
+def in_ranges(docs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``keyed`` shuffled into consecutive ranges of the curve with about equal numbers of rows.
+
+    Their bounds are quantiles of a bounded sample, for which keys are computed before the shuffle; every other key is
+    computed once. The number of ranges follows from the bytes of all texts.
+    """
+    told = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    size = told.bytes or 0
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, -(-size // RANGE_BYTES), min(tasks, size // LEAST_RANGE_BYTES))
+    share = min(1.0, SAMPLE_ROWS / max(told.n, 1))
+    drawn = F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(1_000_003)) < int(share * 1_000_003)
+    sample = docs.where(drawn).select("doc_id", "text", curve_key(F.col("text")).alias("curve"))
+    at = [(k + 1) / ranges for k in range(ranges - 1)]
+    bounds = sample.agg(F.percentile_approx(range_place(F.col("curve")), at, 10_000)).first()[0] if at else []
+    if not bounds:
+        return keyed.repartition(1) if ranges == 1 else keyed.repartition(ranges)
+    passed = F.aggregate(F.lit(bounds), F.lit(0), lambda k, b: k + (b < F.col("place")).cast("int"))
+    return keyed.withColumn("place", range_place(F.col("curve"))).repartitionById(ranges, passed)

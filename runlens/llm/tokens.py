@@ -42,6 +42,20 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def splits_at_spaces(path: str) -> bool:
+    """Whether this .json tokenizer is byte-level and may be given a text cut before spaces."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    before = told.get("pre_tokenizer") or {}
+    return (
+        told.get("normalizer") is None
+        and before.get("type") == "ByteLevel"
+        and not before.get("add_prefix_space")
+        and before.get("use_regex", True)
+        and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in told["added_tokens"])
+    )
+
+
 class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes."""
 
@@ -68,16 +82,7 @@ class Encoder:
                 e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)
             ]
             self.spaced = np.zeros(0, bool)
-            with open(path, encoding="utf-8") as file:
-                told = json.load(file)
-            before = told.get("pre_tokenizer") or {}
-            self.cuts = (
-                told.get("normalizer") is None
-                and before.get("type") == "ByteLevel"
-                and not before.get("add_prefix_space")
-                and before.get("use_regex", True)
-                and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in told["added_tokens"])
-            )
+            self.cuts = splits_at_spaces(path)
             if self.cuts:  # in a byte-level vocabulary this letter stands for a space
                 self.spaced = np.zeros(model.get_vocab_size(), bool)
                 self.spaced[[i for t, i in model.get_vocab().items() if t[0] == "\u0120"]] = True
