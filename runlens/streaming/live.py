@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions.measures import to_ms
+from runlens.operators.quantiles import PROBS
 from runlens.operators.resources import resource_aggregates
+from runlens.operators.slicing import null_safe_join
 from runlens.operators.timing import STAGES, counted_stats
 from runlens.sources.shared import scratch_path
 
@@ -28,40 +30,70 @@ def _bounds() -> list:
     return [F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end")]
 
 
-def live_stage_counts(
-    stream: DataFrame, keys: list[str], window: str, delay: str, ts: str = "ts"
-) -> DataFrame:
-    """How often every latency occurred per tumbling window, run and stage.
-
-    Equal values combine before the shuffle and the groups are spread by value, so a busy run is
-    not one group.
-    """
+def _stage_counts(stream: DataFrame, keys: list[str], window: str, delay: str, ts: str) -> DataFrame:
     rows = F.explode(
         F.array(
             *[F.struct(F.lit(s).alias("stage"), to_ms(F.col(f"{s}_s")).alias("ms")) for s in STAGES]
         )
     )
-    counted = (
+    return (
         timed(stream, ts, delay)
         .select(*keys, ts, rows.alias("_r"))
         .groupBy(F.window(ts, window), *keys, F.col("_r.stage").alias("stage"), F.col("_r.ms").alias("ms"))
         .agg(F.count(F.lit(1)).alias("occurrences"))
     )
+
+
+def live_stage_counts(
+    stream: DataFrame, keys: list[str], window: str, delay: str, ts: str = "ts"
+) -> DataFrame:
+    """How often every latency occurred per tumbling window, run and stage.
+
+    Equal values combine before the shuffle and the groups are spread by value, so a busy run is
+    not one group.
+    """
+    counted = _stage_counts(stream, keys, window, delay, ts)
     return counted.select(*_bounds(), *keys, "stage", "ms", "occurrences")
 
 
 def live_stage_stats(
     stream: DataFrame, keys: list[str], window: str, delay: str, ts: str = "ts"
 ) -> DataFrame:
-    """Statistics of all five stages per closed window and run, as rows.
+    """Statistics of all five stages per closed window and run: a stream in, a stream out.
 
-    The stream counts values; the counts of a window are released together when it closes, and
-    each trigger turns them into exact statistics with the batch operator.
+    The first aggregation counts values, spread by value; the second takes the counts of a closed window, which is
+    what its state holds: one entry for each distinct latency. Where a window has too many of them for one
+    task, use ``released_stage_stats``.
     """
+    counted = _stage_counts(stream, keys, window, delay, ts).filter(F.col("ms").isNotNull())
+    n, value = F.col("count"), F.col("ms") * F.col("occurrences")
+    gathered = counted.groupBy(F.window(F.window_time("window"), window), *keys, "stage").agg(
+        F.sum(value).alias("sum"),
+        F.min("ms").alias("min"),
+        F.max("ms").alias("max"),
+        F.sum("occurrences").alias("count"),
+        F.percentile("ms", list(PROBS), F.col("occurrences")).alias("_p"),
+        F.collect_list(F.struct("ms", "occurrences")).alias("_values"),
+    )
+    mean = F.col("sum") / n
+    squares = F.aggregate(
+        "_values", F.lit(0.0), lambda a, v: a + v["occurrences"] * (v["ms"] - F.col("avg")) * (v["ms"] - F.col("avg"))
+    )
+    return gathered.withColumn("avg", mean).select(
+        *_bounds(), *keys, "stage", "avg", "min", "max", F.sqrt(squares / n).alias("std"),
+        *[F.col("_p")[i].alias(name) for i, name in enumerate(("p50", "p95", "p99"))], "sum", "count",
+    )
+
+
+def released_stage_stats(
+    stream: DataFrame, keys: list[str], window: str, delay: str, ts: str = "ts", base: str | None = None
+) -> DataFrame:
+    """``live_stage_stats`` for windows of any number of distinct latencies: each trigger turns the counts it
+    releases into statistics with the batch operator. Runs the stream to the end of what is there."""
     group = ["window_start", "window_end", *keys, "stage"]
     counts = live_stage_counts(stream, keys, window, delay, ts)
     return run_released(
-        counts, "live_stage_stats", lambda rows: counted_stats(rows, group, "ms", "occurrences")
+        counts, "live_stage_stats", lambda rows: counted_stats(rows, group, "ms", "occurrences"), base
     )
 
 
@@ -117,6 +149,30 @@ def live_gap_sessions(
     )
 
 
+def with_open_windows(
+    operator: Callable[[DataFrame], DataFrame], released: DataFrame, rows: DataFrame, ts: str = "ts"
+) -> DataFrame:
+    """What a windowed stream released and, by the same operator in batch, the windows that were still open.
+
+    All keys share the watermark, so the open windows are those that start after the newest released one. Only
+    ``rows`` (the stream's input as a table) after that start are read again.
+    """
+    newest = released.agg(F.max("window_start")).first()[0]
+    if newest is None:
+        return released.unionByName(operator(rows))
+    later = operator(rows.filter(F.col(ts) > F.lit(newest))).filter(F.col("window_start") > F.lit(newest))
+    return released.unionByName(later)
+
+
+def with_open_sessions(
+    operator: Callable[[DataFrame], DataFrame], released: DataFrame, rows: DataFrame, keys: list[str], ts: str = "ts"
+) -> DataFrame:
+    """Released sessions and those still open: of each key, the rows after its last released arrival."""
+    last = released.groupBy(*keys).agg(F.max("last_arrival").alias("_last"))
+    later = null_safe_join(rows, last, keys, "left").filter(F.col("_last").isNull() | (F.col(ts) > F.col("_last")))
+    return released.unionByName(operator(later.drop("_last")))
+
+
 def on_result_stream(stream: DataFrame, callback: Callable, checkpoint: str, output_mode: str = "append"):
     """Start a stream that calls ``callback(row, batch_id)`` for every row, on the executors.
 

@@ -149,3 +149,119 @@ def test_empty_stream(spark, tmp_path):
     empty = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "none"))
     assert carried.live_warmup_drop(empty, ["run_id"], "seq", 5).columns == ["run_id", "seq", "lat"]
     assert live.run_available(empty, "empty").count() == 0
+
+
+TIMES = "run_id string, seq long, at double, preprocess_s double, execute_s double, postprocess_s double, queue_wait_s double, total_s double"
+
+
+@pytest.fixture(scope="module")
+def timed_folder(spark, tmp_path_factory):
+    """Four files of rows in order of time; run 'a' holds most of them."""
+    rng = random.Random(11)
+    path = tmp_path_factory.mktemp("timed")
+    at, seq = 1_700_000_000.0, 0
+    for part in range(4):
+        rows_in = []
+        for _ in range(120):
+            at += rng.choice([0.5, 7.0, 60.0])
+            parts = [rng.choice([0.001, 0.02, rng.random()]) for _ in range(4)]
+            rows_in.append((rng.choice("aaaab"), seq, at, *parts, sum(parts)))
+            seq += 1
+        spark.createDataFrame(rows_in, TIMES).coalesce(1).write.parquet(str(path / f"{part}"))
+        for file in (path / f"{part}").glob("*.parquet"):
+            file.rename(path / f"{part}.parquet")
+    return path
+
+
+def timed_rows(reader):
+    return reader.withColumn("ts", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")))
+
+
+def timed_stream(spark, folder, files):
+    reader = spark.readStream.schema(TIMES).option("maxFilesPerTrigger", files)
+    return timed_rows(reader.option("pathGlobFilter", "*.parquet").parquet(str(folder)))
+
+
+def timed_batch(spark, folder):
+    return timed_rows(spark.read.schema(TIMES).parquet(*[str(folder / f"{i}.parquet") for i in range(4)]))
+
+
+def close(got, want):
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[:3] == b[:3] and a[-1] == b[-1]
+        assert all(abs(x - y) <= 1e-9 * max(1, abs(y)) for x, y in zip(a[3:-1], b[3:-1]))
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_stage_statistics_equal_batch_over_the_whole_table(spark, timed_folder, files):
+    def stats(frame):
+        return live.live_stage_stats(frame, ["run_id"], "10 minutes", "1 minute")
+
+    streamed = stats(timed_stream(spark, timed_folder, files))
+    assert streamed.isStreaming
+    released = live.run_available(streamed, "stats")
+    table = timed_batch(spark, timed_folder)
+    got = live.with_open_windows(stats, released, table)
+    columns = ("window_start", "run_id", "stage", "avg", "min", "max", "std", "p50", "p95", "p99", "sum", "count")
+    long = table.withColumn("window_start", F.window("ts", "10 minutes")["start"])
+    want = timing.stage_stats_long(long, ["window_start", "run_id"]).select(*columns)
+    close(rows(got, *columns), rows(want, *columns))
+    assert 0 < released.count() < want.count()
+    slow = live.released_stage_stats(timed_stream(spark, timed_folder, files), ["run_id"], "10 minutes", "1 minute")
+    close(rows(slow, *columns), rows(released, *columns))
+
+
+def test_stage_statistics_go_on_after_a_restart(spark, timed_folder, tmp_path):
+    """The second start sees two more files and keeps the state of the first."""
+    source, base = tmp_path / "in", str(tmp_path / "base")
+    source.mkdir()
+
+    def stats(frame):
+        return live.live_stage_stats(frame, ["run_id"], "10 minutes", "1 minute")
+
+    for part in ((0, 1), (2, 3)):
+        for i in part:
+            (source / f"{i}.parquet").write_bytes((timed_folder / f"{i}.parquet").read_bytes())
+        released = live.run_available(stats(timed_stream(spark, source, 1)), "restarted", base)
+    got = live.with_open_windows(stats, released, timed_batch(spark, timed_folder))
+    whole = stats(timed_batch(spark, timed_folder))
+    columns = ("window_start", "run_id", "stage", "sum", "count")
+    assert [r[:3] + r[4:] for r in rows(got, *columns)] == [r[:3] + r[4:] for r in rows(whole, *columns)]
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_gap_batches_number_every_arrival(spark, timed_folder, files):
+    stream_in = timed_stream(spark, timed_folder, files)
+    got = live.run_available(stateful.live_gap_batches(stream_in, ["run_id"], "seq", 50.0, 4), "gaps")
+    want = batching.gap_batches(timed_batch(spark, timed_folder), ["run_id"], "ts", 4, 50.0, tie=["seq"])
+    assert {r.status for r in got.select("status").distinct().collect()} == {"numbered"}
+    found = rows(got, "run_id", "item", "session_no", "batch_no")
+    assert found == rows(want.withColumnRenamed("seq", "item"), "run_id", "item", "session_no", "batch_no")
+
+
+def test_late_arrivals_get_no_numbers(spark, tmp_path):
+    for i, sent in enumerate([[("a", 1, 100), ("a", 2, 103)], [("a", 3, 50), ("a", 4, 103), ("a", 5, 300)]]):
+        spark.createDataFrame(sent, "run_id string, seq long, at long").coalesce(1).write.parquet(f"{tmp_path}/w{i}")
+        for file in (tmp_path / f"w{i}").glob("*.parquet"):
+            file.rename(tmp_path / f"{i}.parquet")
+    reader = spark.readStream.schema("run_id string, seq long, at long").option("maxFilesPerTrigger", 1)
+    arrivals = reader.option("pathGlobFilter", "*.parquet").parquet(str(tmp_path)).withColumn("ts", F.timestamp_seconds("at"))
+    got = live.run_available(stateful.live_gap_batches(arrivals, ["run_id"], "seq", 10.0, 2), "late")
+    assert rows(got.fillna(-1), "item", "session_no", "batch_no", "status") == [
+        (1, 1, 0, "numbered"), (2, 1, 0, "numbered"), (3, -1, -1, "late"), (4, 1, 1, "numbered"), (5, 2, 0, "numbered"),
+    ]
+
+
+def test_open_sessions_and_batches_are_finished(spark, timed_folder):
+    def sessions(frame):
+        return live.live_gap_sessions(frame.select("run_id", "ts"), ["run_id"], "50 seconds", "1 minute", 4)
+
+    released = live.run_available(sessions(timed_stream(spark, timed_folder, 1)), "sessions")
+    table = timed_batch(spark, timed_folder)
+    got = live.with_open_sessions(sessions, released, table, ["run_id"])
+    assert rows(got, *got.columns) == rows(sessions(table), *got.columns) and released.count() < got.count()
+    parts = spark.createDataFrame([(1, 0, "a", 5), (1, 0, "b", 6), (2, 0, "c", 5)], "batch_id long, sub_batch_id long, result string, ts int")
+    done = spark.createDataFrame([(2, 0, "c", "complete")], "batch_id long, sub_batch_id long, result string, status string")
+    finished = stateful.with_open_batches(done, parts)
+    assert rows(finished, *finished.columns) == [(1, 0, "b", "timeout"), (2, 0, "c", "complete")]
