@@ -6,6 +6,7 @@ All checks are row-local expressions, so a check of any number of rules is one n
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -181,112 +182,110 @@ class ConfigRule:
     violated: callable
 
 
-def _c(name: str) -> Column:
-    return F.col(name)
+def _rule(severity: str, message: str, columns: tuple[str, ...], test: callable, switch: str | None = None) -> ConfigRule:
+    """A rule over columns; with ``switch`` it only holds where that flag is on."""
 
+    def violated() -> Column:
+        broken = test(*map(F.col, columns))
+        return broken if switch is None else F.coalesce(F.col(switch), F.lit(False)) & broken
 
-def _known_tier() -> Column:
-    return F.coalesce(_c("input_tier").isin(*TIERS), F.lit(False))
+    return ConfigRule(severity, message, (switch, *columns) if switch else columns, violated)
 
 
-def _known_route() -> Column:
-    return F.coalesce(_c("route_type").isin(*ROUTES), F.lit(False))
+def below(column: str, least: float, switch: str | None = None) -> ConfigRule:
+    return _rule(ERROR, f"{column} below {least}", (column,), lambda c: c < least, switch)
 
 
-def _evaluable() -> Column:
-    return _known_tier() & _known_route()
+def above(column: str, most: float, severity: str = WARNING, switch: str | None = None) -> ConfigRule:
+    return _rule(severity, f"{column} above {most}", (column,), lambda c: c > most, switch)
 
 
-def _tier_size_differs() -> Column:
-    wanted = tier_resolution(_c("input_tier"))
-    return (resolution_width(wanted) != resolution_width(_c("resolution"))) | (
-        resolution_height(wanted) != resolution_height(_c("resolution"))
-    )
+def empty(column: str) -> ConfigRule:
+    return _rule(ERROR, f"{column} is empty", (column,), lambda c: F.coalesce(c, F.lit("")) == "")
 
 
-def _on(flag: str, condition) -> callable:
-    return lambda: F.coalesce(_c(flag), F.lit(False)) & condition()
+def outside(column: str, allowed: tuple, severity: str = ERROR) -> ConfigRule:
+    """A value that is given and none of ``allowed``."""
+    said = f"{column} not in {', '.join(allowed)}"
+    return _rule(severity, said, (column,), lambda c: (c != "") & ~c.isin(*allowed))
 
 
-RUNTIME_RULES = (
-    ConfigRule(ERROR, "model_path cannot be empty", ("model_path",),
-               lambda: F.coalesce(_c("model_path"), F.lit("")) == ""),
-    ConfigRule(WARNING, "model file should usually end with .om", ("model_path",),
-               lambda: (_c("model_path") != "") & ~F.endswith(_c("model_path"), F.lit(".om"))),
-    ConfigRule(ERROR, "device_id must be >= 0", ("device_id",), lambda: _c("device_id") < 0),
-    ConfigRule(WARNING, "device_id may exceed the available cores", ("device_id",),
-               lambda: _c("device_id") >= MAX_CORES),
-    ConfigRule(ERROR, "resolution cannot be empty", ("resolution",),
-               lambda: F.coalesce(_c("resolution"), F.lit("")) == ""),
-    ConfigRule(WARNING, "resolution is not in the recommended list", ("resolution",),
-               lambda: (_c("resolution") != "") & ~_c("resolution").isin(*RECOMMENDED_RESOLUTIONS)),
-    ConfigRule(ERROR, "num_threads must be >= 1", ("num_threads",), lambda: _c("num_threads") < 1),
-    ConfigRule(WARNING, "num_threads is greater than the available cores", ("num_threads",),
-               lambda: _c("num_threads") > MAX_CORES),
-    ConfigRule(ERROR, "unsupported backend", ("backend",),
-               lambda: ~F.coalesce(_c("backend").isin("opencv", "pil", "cv2"), F.lit(False))),
-    ConfigRule(WARNING, "multithread and pipeline may compete for resources",
-               ("multithread_on", "pipeline_on"),
-               _on("multithread_on", lambda: F.coalesce(_c("pipeline_on"), F.lit(False)))),
-    ConfigRule(ERROR, "multithread.num_threads must be >= 1",
-               ("multithread_on", "multithread_threads"),
-               _on("multithread_on", lambda: _c("multithread_threads") < 1)),
-    ConfigRule(WARNING, "multithread.num_threads exceeds the available cores",
-               ("multithread_on", "multithread_threads"),
-               _on("multithread_on", lambda: _c("multithread_threads") > MAX_CORES)),
-    ConfigRule(ERROR, "batch_size must be >= 1", ("batch_on", "batch_size"),
-               _on("batch_on", lambda: _c("batch_size") < 1)),
-    ConfigRule(ERROR, "batch timeout cannot be negative", ("batch_on", "timeout_ms"),
-               _on("batch_on", lambda: _c("timeout_ms") < 0)),
-    ConfigRule(WARNING, "batch_size may be too large", ("batch_on", "batch_size"),
-               _on("batch_on", lambda: _c("batch_size") > 32)),
-    ConfigRule(ERROR, "pipeline.queue_size must be >= 1", ("pipeline_on", "queue_size"),
-               _on("pipeline_on", lambda: _c("queue_size") < 1)),
-    ConfigRule(WARNING, "pipeline queue may be too large", ("pipeline_on", "queue_size"),
-               _on("pipeline_on", lambda: _c("queue_size") > 100)),
-    ConfigRule(ERROR, "memory_pool.pool_size must be >= 1", ("memory_pool_on", "pool_size"),
-               _on("memory_pool_on", lambda: _c("pool_size") < 1)),
-    ConfigRule(ERROR, "memory_pool.max_buffers must be >= 1", ("memory_pool_on", "max_buffers"),
-               _on("memory_pool_on", lambda: _c("max_buffers") < 1)),
-    ConfigRule(ERROR, "high_res.tile_size must be >= 64", ("high_res_on", "high_res_tile_size"),
-               _on("high_res_on", lambda: _c("high_res_tile_size") < 64)),
-    ConfigRule(ERROR, "high_res.overlap cannot be negative", ("high_res_on", "high_res_overlap"),
-               _on("high_res_on", lambda: _c("high_res_overlap") < 0)),
-    ConfigRule(ERROR, "high_res.overlap must be smaller than tile_size",
-               ("high_res_on", "high_res_overlap", "high_res_tile_size"),
-               _on("high_res_on", lambda: _c("high_res_overlap") >= _c("high_res_tile_size"))),
-    ConfigRule(ERROR, "tile_size must be >= 64", ("tile_size",), lambda: _c("tile_size") < 64),
-    ConfigRule(WARNING, "tile_size may cause memory pressure", ("tile_size",),
-               lambda: _c("tile_size") > 2048),
-    ConfigRule(ERROR, "overlap cannot be negative", ("overlap",), lambda: _c("overlap") < 0),
-    ConfigRule(ERROR, "overlap must be smaller than tile_size", ("overlap", "tile_size"),
-               lambda: _c("overlap") >= _c("tile_size")),
-    ConfigRule(ERROR, "unsupported input tier", ("input_tier",), lambda: ~_known_tier()),
-    ConfigRule(ERROR, "unsupported route type", ("input_tier", "route_type"),
-               lambda: _known_tier() & ~_known_route()),
-    ConfigRule(ERROR, "report_format cannot be empty",
-               ("input_tier", "route_type", "report_format"),
-               lambda: _evaluable() & (F.coalesce(_c("report_format"), F.lit("")) == "")),
-    ConfigRule(ERROR, "unsupported report_format", ("input_tier", "route_type", "report_format"),
-               lambda: _evaluable() & (_c("report_format") != "")
-               & ~_c("report_format").isin("text", "json", "markdown")),
-    ConfigRule(ERROR, "resolution must match input tier", ("input_tier", "route_type", "resolution"),
-               lambda: _evaluable() & _tier_size_differs()),
+def missing_or_outside(column: str, allowed: tuple) -> ConfigRule:
+    said = f"{column} not in {', '.join(allowed)}"
+    return _rule(ERROR, said, (column,), lambda c: ~F.coalesce(c.isin(*allowed), F.lit(False)))
+
+
+def reaches(column: str, other: str, switch: str | None = None) -> ConfigRule:
+    return _rule(ERROR, f"{column} not below {other}", (column, other), lambda c, o: c >= o, switch)
+
+
+def given(rule: ConfigRule, *conditions: ConfigRule) -> ConfigRule:
+    """``rule`` where none of ``conditions`` is violated."""
+    needs = tuple(dict.fromkeys(c for r in (*conditions, rule) for c in r.needs))
+
+    def violated() -> Column:
+        holds = reduce(lambda x, y: x & y, [~F.coalesce(r.violated(), F.lit(False)) for r in conditions])
+        return holds & rule.violated()
+
+    return ConfigRule(rule.severity, rule.message, needs, violated)
+
+
+def _size_differs(tier: Column, resolution: Column) -> Column:
+    wanted = tier_resolution(tier)
+    return (resolution_width(wanted) != resolution_width(resolution)) | (
+        resolution_height(wanted) != resolution_height(resolution)
+    )
+
+
+#: Settings with their least value, the greatest that is not suspicious, and the flag that makes
+#: them count.
+NUMBERS = (
+    ("device_id", 0, MAX_CORES - 1, None),
+    ("num_threads", 1, MAX_CORES, None),
+    ("tile_size", 64, 2048, None),
+    ("overlap", 0, None, None),
+    ("multithread_threads", 1, MAX_CORES, "multithread_on"),
+    ("batch_size", 1, 32, "batch_on"),
+    ("timeout_ms", 0, None, "batch_on"),
+    ("queue_size", 1, 100, "pipeline_on"),
+    ("pool_size", 1, None, "memory_pool_on"),
+    ("max_buffers", 1, None, "memory_pool_on"),
+    ("high_res_tile_size", 64, None, "high_res_on"),
+    ("high_res_overlap", 0, None, "high_res_on"),
 )
+#: Names a setting may have.
+BACKENDS, REPORT_FORMATS, MODEL_SUFFIX = ("opencv", "pil", "cv2"), ("text", "json", "markdown"), ".om"
+
+_TIER, _ROUTE = missing_or_outside("input_tier", tuple(TIERS)), missing_or_outside("route_type", tuple(ROUTES))
+_EVALUATED = (
+    empty("report_format"),
+    outside("report_format", REPORT_FORMATS),
+    _rule(ERROR, "resolution is not that of input_tier", ("input_tier", "resolution"), _size_differs),
+)
+
+RUNTIME_RULES = (
+    *(below(column, least, switch) for column, least, _, switch in NUMBERS),
+    *(above(column, most, switch=switch) for column, _, most, switch in NUMBERS if most is not None),
+    empty("model_path"),
+    empty("resolution"),
+    missing_or_outside("backend", BACKENDS),
+    reaches("overlap", "tile_size"),
+    reaches("high_res_overlap", "high_res_tile_size", "high_res_on"),
+    _TIER,
+    given(_ROUTE, _TIER),
+    *(given(rule, _TIER, _ROUTE) for rule in _EVALUATED),
+    _rule(WARNING, f"model_path without {MODEL_SUFFIX}", ("model_path",), lambda c: (c != "") & ~F.endswith(c, F.lit(MODEL_SUFFIX))),
+    outside("resolution", tuple(RECOMMENDED_RESOLUTIONS), WARNING),
+    _rule(WARNING, "multithread and pipeline are both on", ("pipeline_on",), lambda c: F.coalesce(c, F.lit(False)), "multithread_on"),
+)
 
 COMMAND_RULES = (
-    ConfigRule(ERROR, "unsupported resolution", ("resolution",),
-               lambda: ~F.coalesce(_c("resolution").isin(*RESOLUTIONS), F.lit(False))),
-    ConfigRule(ERROR, "device_id must be >= 0", ("device_id",), lambda: _c("device_id") < 0),
-    ConfigRule(ERROR, f"num_threads must be in [1, {MAX_CORES}]", ("num_threads",),
-               lambda: (_c("num_threads") < 1) | (_c("num_threads") > MAX_CORES)),
-    ConfigRule(ERROR, "unsupported backend", ("backend",),
-               lambda: ~F.coalesce(_c("backend").isin("pil", "opencv"), F.lit(False))),
-    ConfigRule(ERROR, "conf_threshold must be in [0, 1]", ("conf_threshold",),
-               lambda: (_c("conf_threshold") < 0) | (_c("conf_threshold") > 1)),
-    ConfigRule(ERROR, "iou_threshold must be in [0, 1]", ("iou_threshold",),
-               lambda: (_c("iou_threshold") < 0) | (_c("iou_threshold") > 1)),
-)
+    below("device_id", 0),
+    *(rule for column, least, most in (("num_threads", 1, MAX_CORES), ("conf_threshold", 0, 1), ("iou_threshold", 0, 1))
+      for rule in (below(column, least), above(column, most, ERROR))),
+    missing_or_outside("resolution", tuple(RESOLUTIONS)),
+    missing_or_outside("backend", ("pil", "opencv")),
+)
 
 
 def validate_configs(df: DataFrame, rules=RUNTIME_RULES) -> DataFrame:

@@ -144,8 +144,8 @@ def test_default_config_is_valid(spark, tmp_path):
     assert got["empty.json"].is_valid and got["broken.json"].is_valid
     assert got["empty.json"].num_threads == 4 and got["broken.json"].resolution == "640x640"
     assert not got["some.json"].is_valid
-    assert got["some.json"].errors == ["unsupported route type"]
-    assert "device_id may exceed the available cores" in got["some.json"].warnings
+    assert got["some.json"].errors == ["route_type not in tiled_route, large_input_route"]
+    assert "device_id above 3" in got["some.json"].warnings
     assert got["some.json"].multithread_on
 
 
@@ -184,5 +184,5 @@ def test_device_capability(spark):
 def test_rules_without_their_columns_are_named(spark):
     df = spark.createDataFrame([(-1,)], "device_id int")
     row = quality.validate_configs(df, quality.COMMAND_RULES).first()
-    assert row.errors == ["device_id must be >= 0"] and "unsupported backend" in row.unchecked
-    assert "device_id must be >= 0" not in row.unchecked
+    assert row.errors == ["device_id below 0"] and "backend not in pil, opencv" in row.unchecked
+    assert "device_id below 0" not in row.unchecked

@@ -382,6 +382,45 @@ def configs(spark, sf_dir):
     )
 
 
+VIEWS["full_configs_v"] = """
+SELECT *, CASE config_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'm.onnx' WHEN 2 THEN NULL ELSE 'm.om' END AS model_path,
+  CAST(config_id % 8 - 1 AS INT) AS multithread_threads, CAST(config_id % 130 AS INT) AS queue_size,
+  config_id % 4 = 1 AS memory_pool_on, CAST(config_id % 3 AS INT) AS pool_size,
+  CAST(config_id % 7 - 2 AS INT) AS max_buffers, CAST(config_id % 200 AS INT) AS high_res_tile_size,
+  CAST(config_id % 150 - 9 AS INT) AS high_res_overlap,
+  CASE config_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'xml' WHEN 2 THEN 'json' ELSE 'text' END AS report_format,
+  CAST(config_id % 13 AS DOUBLE) / 8 - 0.25 AS iou_threshold,
+  CASE config_id % 9 WHEN 0 THEN 'base' WHEN 1 THEN 'high_res' WHEN 2 THEN NULL ELSE 'turbo' END AS mode,
+  CAST(config_id % 10 - 3 AS INT) AS iterations, CASE WHEN config_id % 17 = 0 THEN NULL
+    ELSE CAST(config_id % 6 - 2 AS INT) END AS warmup
+FROM configs_v"""
+
+
+def full_configs(spark, sf_dir):
+    """Configurations with every column a rule reads."""
+    key = F.col("config_id")
+
+    def whole(column):
+        return column.cast("int")
+
+    return configs(spark, sf_dir).select(
+        "*",
+        F.when(key % 6 == 0, "").when(key % 6 == 1, "m.onnx").when(key % 6 != 2, "m.om").alias("model_path"),
+        whole(key % 8 - 1).alias("multithread_threads"),
+        whole(key % 130).alias("queue_size"),
+        (key % 4 == 1).alias("memory_pool_on"),
+        whole(key % 3).alias("pool_size"),
+        whole(key % 7 - 2).alias("max_buffers"),
+        whole(key % 200).alias("high_res_tile_size"),
+        whole(key % 150 - 9).alias("high_res_overlap"),
+        _pick(key % 5, ["", "xml", "json", "text", "text"]).alias("report_format"),
+        ((key % 13).cast("double") / 8 - 0.25).alias("iou_threshold"),
+        F.when(key % 9 == 0, "base").when(key % 9 == 1, "high_res").when(key % 9 != 2, "turbo").alias("mode"),
+        whole(key % 10 - 3).alias("iterations"),
+        F.when(key % 17 != 0, whole(key % 6 - 2)).alias("warmup"),
+    )
+
+
 @query(
     """SELECT config_id, concat_ws(',', CASE WHEN multithread_on THEN 'multithread' END,
       CASE WHEN batch_on THEN 'batch' END, CASE WHEN pipeline_on THEN 'pipeline' END,
@@ -417,7 +456,13 @@ _KNOWN = ", ".join(f"'{r}'" for r in dims.RESOLUTIONS)
       UNION ALL SELECT config_id, 'resolution', 3030, resolution FROM configs_v
         WHERE resolution NOT IN ({_KNOWN})
       UNION ALL SELECT config_id, 'batch_size', 3022, batch_size::VARCHAR FROM configs_v
-        WHERE batch_size < 1)"""
+        WHERE batch_size < 1
+      UNION ALL SELECT config_id, 'mode', 3030, mode FROM full_configs_v
+        WHERE mode IS NULL OR mode NOT IN ('base', 'multithread', 'high_res')
+      UNION ALL SELECT config_id, 'iterations', 3022, iterations::VARCHAR FROM full_configs_v WHERE iterations < 1
+      UNION ALL SELECT config_id, 'queue_size', 3022, queue_size::VARCHAR FROM full_configs_v WHERE queue_size < 1
+      UNION ALL SELECT config_id, 'warmup', 3021, warmup::VARCHAR FROM full_configs_v
+        WHERE warmup IS NULL OR warmup < 0)"""
 )
 def check_values(spark, sf_dir):
     rules = [
@@ -426,8 +471,12 @@ def check_values(spark, sf_dir):
         quality.image_backend(),
         quality.supported_resolution(),
         quality.batch_size(),
+        quality.inference_mode(),
+        quality.iterations(),
+        quality.positive_integer("queue_size"),
+        quality.warmup(),
     ]
-    found = quality.check_values(configs(spark, sf_dir), ["config_id"], rules)
+    found = quality.check_values(full_configs(spark, sf_dir), ["config_id"], rules)
     return found.select("config_id", "column_name", "error_code", "value")
 
 
@@ -440,47 +489,65 @@ _WANTED = "CASE input_tier WHEN '720p' THEN '640x640' WHEN '1080p' THEN '1k2k' E
 _USED = "CASE WHEN resolution = 'bad' THEN '640x640' ELSE resolution END"
 
 
+_RECOMMENDED = ", ".join(dims.RECOMMENDED_RESOLUTIONS)
+_TIERS, _ROUTES = ", ".join(dims.TIERS), ", ".join(dims.ROUTES)
+
+
 @query(
     f"""SELECT config_id, {_listed([
-        ("device_id < 0", "device_id must be >= 0"),
-        ("num_threads < 1", "num_threads must be >= 1"),
-        ("backend = 'other'", "unsupported backend"),
-        ("batch_on AND batch_size < 1", "batch_size must be >= 1"),
-        ("batch_on AND timeout_ms < 0", "batch timeout cannot be negative"),
-        ("tile_size < 64", "tile_size must be >= 64"),
-        ("overlap < 0", "overlap cannot be negative"),
-        ("overlap >= tile_size", "overlap must be smaller than tile_size"),
-        ("input_tier = '8K'", "unsupported input tier"),
-        ("input_tier <> '8K' AND route_type = 'other'", "unsupported route type"),
-        (f"{_EVALUABLE} AND {_WANTED} <> {_USED}", "resolution must match input tier"),
+        ("device_id < 0", "device_id below 0"),
+        ("num_threads < 1", "num_threads below 1"),
+        ("tile_size < 64", "tile_size below 64"),
+        ("overlap < 0", "overlap below 0"),
+        ("multithread_on AND multithread_threads < 1", "multithread_threads below 1"),
+        ("batch_on AND batch_size < 1", "batch_size below 1"),
+        ("batch_on AND timeout_ms < 0", "timeout_ms below 0"),
+        ("pipeline_on AND queue_size < 1", "queue_size below 1"),
+        ("memory_pool_on AND pool_size < 1", "pool_size below 1"),
+        ("memory_pool_on AND max_buffers < 1", "max_buffers below 1"),
+        ("high_res_on AND high_res_tile_size < 64", "high_res_tile_size below 64"),
+        ("high_res_on AND high_res_overlap < 0", "high_res_overlap below 0"),
+        ("coalesce(model_path, '') = ''", "model_path is empty"),
+        ("backend = 'other'", "backend not in opencv, pil, cv2"),
+        ("overlap >= tile_size", "overlap not below tile_size"),
+        ("high_res_on AND high_res_overlap >= high_res_tile_size", "high_res_overlap not below high_res_tile_size"),
+        ("input_tier = '8K'", f"input_tier not in {_TIERS}"),
+        ("input_tier <> '8K' AND route_type = 'other'", f"route_type not in {_ROUTES}"),
+        (f"{_EVALUABLE} AND report_format = ''", "report_format is empty"),
+        (f"{_EVALUABLE} AND report_format = 'xml'", "report_format not in text, json, markdown"),
+        (f"{_EVALUABLE} AND {_WANTED} <> {_USED}", "resolution is not that of input_tier"),
     ])} AS errors, {_listed([
-        ("device_id >= 4", "device_id may exceed the available cores"),
-        ("resolution <> '640x640'", "resolution is not in the recommended list"),
-        ("num_threads > 4", "num_threads is greater than the available cores"),
-        ("multithread_on AND pipeline_on", "multithread and pipeline may compete for resources"),
-        ("batch_on AND batch_size > 32", "batch_size may be too large"),
-        ("tile_size > 2048", "tile_size may cause memory pressure"),
-    ])} AS warnings FROM configs_v"""
+        ("device_id > 3", "device_id above 3"),
+        ("num_threads > 4", "num_threads above 4"),
+        ("tile_size > 2048", "tile_size above 2048"),
+        ("multithread_on AND multithread_threads > 4", "multithread_threads above 4"),
+        ("batch_on AND batch_size > 32", "batch_size above 32"),
+        ("pipeline_on AND queue_size > 100", "queue_size above 100"),
+        ("model_path = 'm.onnx'", "model_path without .om"),
+        ("resolution <> '640x640'", f"resolution not in {_RECOMMENDED}"),
+        ("multithread_on AND pipeline_on", "multithread and pipeline are both on"),
+    ])} AS warnings, '' AS unchecked FROM full_configs_v"""
 )
 def validate_configs(spark, sf_dir):
-    return quality.validate_configs(configs(spark, sf_dir)).select(
-        "config_id",
-        F.array_join("errors", "; ").alias("errors"),
-        F.array_join("warnings", "; ").alias("warnings"),
+    return quality.validate_configs(full_configs(spark, sf_dir)).select(
+        "config_id", *[F.array_join(c, "; ").alias(c) for c in ("errors", "warnings", "unchecked")]
     )
 
 
 @query(
     f"""SELECT config_id, errors, errors = '' AS is_valid FROM (SELECT config_id, {_listed([
-        ("resolution = 'bad'", "unsupported resolution"),
-        ("device_id < 0", "device_id must be >= 0"),
-        ("num_threads NOT BETWEEN 1 AND 4", "num_threads must be in [1, 4]"),
-        ("backend NOT IN ('pil', 'opencv')", "unsupported backend"),
-        ("conf_threshold > 1", "conf_threshold must be in [0, 1]"),
-    ])} AS errors FROM configs_v)"""
+        ("device_id < 0", "device_id below 0"),
+        ("num_threads < 1", "num_threads below 1"),
+        ("num_threads > 4", "num_threads above 4"),
+        ("conf_threshold > 1", "conf_threshold above 1"),
+        ("iou_threshold < 0", "iou_threshold below 0"),
+        ("iou_threshold > 1", "iou_threshold above 1"),
+        ("resolution = 'bad'", f"resolution not in {', '.join(dims.RESOLUTIONS)}"),
+        ("backend NOT IN ('pil', 'opencv')", "backend not in pil, opencv"),
+    ])} AS errors FROM full_configs_v)"""
 )
 def validate_configs_command(spark, sf_dir):
-    checked = quality.validate_configs(configs(spark, sf_dir), quality.COMMAND_RULES)
+    checked = quality.validate_configs(full_configs(spark, sf_dir), quality.COMMAND_RULES)
     return checked.select("config_id", F.array_join("errors", "; ").alias("errors"), "is_valid")
 
 
