@@ -372,15 +372,61 @@ def split_metric_sides(spark, sf_dir):
     )
 
 
+def _two(value):
+    """SQL of a number with two digits, halves rounded away from zero."""
+    return f"round(({value})::DECIMAL(24, 12), 2)::DECIMAL(24, 2)::VARCHAR"
+
+
 @query(
-    """SELECT row_number() OVER (ORDER BY result_idx) AS result_no, unnest([1, 2, 3]) AS line_no,
-      unnest([repeat('-', 60), 'model: ' || model_name, 'strategies: ' || strategy]) AS line
-    FROM results_v"""
+    f"""SELECT result_no, unnest(range(len(lines)))::INT AS line_no, unnest(lines) AS line FROM (
+      SELECT result_no, list_concat(['[' || result_no || '] scenario-' || scenario_no, repeat('-', 60),
+        'model: ' || model_name, 'strategies: ' || strategy, '', 'performance:',
+        '  pure FPS: ' || {_two("coalesce(pure_fps, 0)")}, '  end-to-end FPS: ' || {_two("execute_avg / 4")},
+        '  execute: avg=' || {_two("execute_avg")} || 'ms, p50=' || {_two("execute_avg / 2")} || 'ms, p95=0.00ms'],
+        CASE WHEN scenario_no > 10 THEN ['  speedup: 2.00x', '  efficiency: 0.0%'] ELSE [] END,
+        ['resources:', '  cpu: avg=' || scenario_no || '.0%, max=50.0%', '']) AS lines
+      FROM (SELECT *, row_number() OVER (ORDER BY result_idx) AS result_no FROM results_v))"""
 )
 def report_lines_text(spark, sf_dir):
+    """Every line of every result."""
     rows = reports.to_report_row(with_metrics(results(spark, sf_dir)))
     lines = reports.report_lines(rows, "result_idx", "text")
-    return lines.filter("line_no BETWEEN 1 AND 3").withColumn("line_no", F.col("line_no").cast("int"))
+    return lines.withColumn("line_no", F.col("line_no").cast("int"))
+
+
+def with_stages(df):
+    """Metrics of three stages, one of them only for some results."""
+    stage = {m: F.col("execute_avg") / 2**k for k, m in enumerate(("avg", "min", "max", "p50", "p95", "p99"))}
+    group = F.create_map(*[x for k, v in stage.items() for x in (F.lit(k), v)])
+    fps = F.create_map(F.lit("pure"), F.coalesce("pure_fps", F.lit(0.0)))
+    metrics = F.create_map(F.lit("preprocess"), group, F.lit("execute"), group, F.lit("fps"), fps)
+    return df.withColumn("metrics", F.map_filter(metrics, lambda k, _: (k != "preprocess") | (F.col("scenario_no") > 10)))
+
+
+_CELLS = "".join(f"'<td>' || {_two(f'execute_avg / {2**k}')} || '</td>' || " for k in range(6))
+
+
+@query(
+    f"""SELECT result_no, unnest(range(len(lines)))::INT AS line_no, unnest(lines) AS line FROM (
+      SELECT result_idx AS result_no, list_concat(
+        CASE WHEN scenario_no > 10 THEN ['<tr><td>preprocess</td>' || {_CELLS} '</tr>'] ELSE [] END,
+        ['<tr><td>execute</td>' || {_CELLS} '</tr>']) AS lines FROM results_v)"""
+)
+def report_lines_html(spark, sf_dir):
+    rows = with_stages(results(spark, sf_dir)).select("result_idx", "metrics")
+    lines = reports.report_lines(rows, "result_idx", "html")
+    return lines.withColumn("line_no", F.col("line_no").cast("int"))
+
+
+@query(
+    f"""SELECT result_idx AS result_no, 0 AS line_no, rpad(model_name, 30, ' ') || ' '
+      || rpad({_two("execute_avg")}, 15, ' ') || ' ' || rpad({_two("coalesce(pure_fps, 0)")}, 15, ' ') || ' '
+      || rpad('0.00', 15, ' ') AS line FROM results_v"""
+)
+def report_lines_table(spark, sf_dir):
+    rows = with_stages(results(spark, sf_dir)).select("result_idx", "model_name", "metrics")
+    lines = reports.report_lines(rows, "result_idx", "table")
+    return lines.withColumn("line_no", F.col("line_no").cast("int"))
 
 
 @query(
