@@ -7,14 +7,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runlens.operators.images import cut_tiles
 from runlens.operators.tiles import merge_tile_results, tile_grid
-from runlens.sources.shared import spread
+from runlens.sources.shared import spread, written
 
 
 def score(
@@ -102,17 +104,32 @@ def map_stages(df: DataFrame, column: str, stages: list[Callable], return_type:
     return df.withColumn(column, run(F.col(column)))
 
 
-def on_result(df: DataFrame, callback: Callable) -> None:
-    """Call user code for every result row, on the executors.
+def on_result(df: DataFrame, callback: Callable) -> DataFrame:
+    """Call user code for every result row, on the executors, and tell what became of it.
 
-    A retried task calls again for its rows, so the callback should be idempotent.
+    One row a task: ``partition``, rows ``delivered``, rows ``failed`` (the callback raised), the ``total`` of
+    the numbers it returned, and the first ``error``. The outcome is written once, so reading it calls nothing
+    again, and of a retried task only the attempt that succeeded counts. That task has called for its rows
+    before, so the callback should be idempotent.
     """
 
-    def each(rows):
-        for row in rows:
-            callback(row)
-
-    df.foreachPartition(each)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, failed, total, error = 0, 0, 0.0, None
+        for batch in batches:
+            for values in batch.to_pylist():
+                try:
+                    told = callback(Row(**values))
+                except Exception as raised:  # user code may raise anything; the other rows are still delivered
+                    failed, error = failed + 1, error or f"{type(raised).__name__}: {raised}"
+                else:
+                    done, total = done + 1, total + (told or 0)
+        yield pa.RecordBatch.from_pydict({
+            "partition": [TaskContext.get().partitionId()], "delivered": [done], "failed": [failed],
+            "total": [float(total)], "error": pa.array([error], pa.string()),
+        })
+
+    outcome = df.mapInArrow(each, "partition long, delivered long, failed long, total double, error string")
+    return written(outcome, "outcome")
 
 
 def tiled_inference(

@@ -209,9 +209,22 @@ def test_stages_and_callbacks(spark):
         df, [lambda d: scoring.map_stages(d, "v", [lambda v: v + 1, lambda v: v * 10], "int")]
     )
     assert [r.v for r in staged.orderBy("id").collect()] == [10, 20, 30, 40, 50]
-    total = spark.sparkContext.accumulator(0)
-    scoring.on_result(staged, lambda row: total.add(row.v))
-    assert total.value == 150
+
+
+def test_outcomes_of_callbacks_are_rows(spark, tmp_path):
+    """A callback that fails costs its own row only; reading the outcome twice calls nothing again."""
+
+    def callback(row):
+        with open(tmp_path / f"{row.id}", "a") as file:
+            file.write("x")
+        return 1 // (row.id % 5) + row.id
+
+    outcome = scoring.on_result(spark.range(20).repartition(3), callback)
+    for _ in range(2):
+        got = outcome.agg(F.sum("delivered"), F.sum("failed"), F.sum("total"), F.count("*"), F.min("error")).first()
+        assert tuple(got)[:4] == (16, 4, sum(i + (i % 5 == 1) for i in range(20) if i % 5), 3)
+        assert got[4].startswith("ZeroDivisionError")
+    assert all((tmp_path / f"{i}").read_text() == "x" for i in range(20))
 
 
 def test_suffixes_are_plain_text(spark):

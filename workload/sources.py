@@ -124,6 +124,11 @@ def write_report_json(spark, sf_dir):
     return read.withColumns({"result_count": F.lit(meta.result_count), "version": F.lit(meta.version)})
 
 
+def groups(rows):
+    """So many documents that each holds some 250 rows."""
+    return max(1, -(-rows.count() // 250))
+
+
 @query(
     """SELECT config_id, device_id, num_threads, CASE WHEN backend = 'other' THEN 'pil' ELSE backend END
         AS backend,
@@ -147,7 +152,7 @@ def read_run_configs(spark, sf_dir):
         ).alias("strategies"),
     )
     path = scratch_path(spark, "configs")
-    part = F.pmod(F.xxhash64("model_path"), F.lit(64)).alias("part")
+    part = F.pmod(F.xxhash64("model_path"), F.lit(groups(documents))).alias("part")
     whole = documents.groupBy(part).agg(F.to_json(F.collect_list(F.struct(*documents.columns))).alias("value"))
     broken = spark.range(1).select(F.lit(-1).cast("bigint").alias("part"), F.lit('{"model_path": ').alias("value"))
     whole.unionByName(broken).write.partitionBy("part").text(path)
@@ -181,7 +186,7 @@ def read_registry(spark, sf_dir):
         ("scenarios", scenarios(spark, sf_dir).drop("scenario_id")),
     ]
     for name, rows in parts:
-        document = F.pmod(F.xxhash64("name"), F.lit(16)).alias("document")
+        document = F.pmod(F.xxhash64("name"), F.lit(groups(rows))).alias("document")
         many = rows.groupBy(document).agg(F.collect_list(F.struct(*rows.columns)).alias(name))
         many.write.mode("append").partitionBy("document").json(path)
     found_models, found_devices, found_scenarios = config_source.read_registry(spark, path)
@@ -527,18 +532,14 @@ def scan_images(spark, sf_dir):
     return found.filter("length > 0").select(_image_id("path"))
 
 
-@query("SELECT count(*) AS results, sum(result)::BIGINT AS total FROM preproc_v WHERE success")
+@query("SELECT count(*) AS results, sum(result)::BIGINT AS total, 0 AS failed FROM preproc_v WHERE success")
 def on_result(spark, sf_dir):
-    context = spark.sparkContext
-    results, total = context.accumulator(0), context.accumulator(0)
-
-    def callback(row):
-        results.add(1)
-        total.add(row["result"])
-
+    """The outcome rows of all tasks, summed by Spark."""
     good, _ = image_ops.split_failed(preprocessed(spark, sf_dir))
-    scoring.on_result(good, callback)
-    return spark.createDataFrame([(results.value, total.value)], "results bigint, total bigint")
+    outcome = scoring.on_result(good, lambda row: row.result)
+    return outcome.agg(
+        F.sum("delivered").alias("results"), F.sum("total").cast("bigint").alias("total"), F.sum("failed").cast("int").alias("failed")
+    )
 
 
 @query(
