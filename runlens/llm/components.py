@@ -1,4 +1,4 @@
-"""Connected components of a link table."""
+"""Connected components of a link table by alternating stars."""
 
 from __future__ import annotations
 
@@ -8,31 +8,45 @@ from pyspark.sql import functions as F
 from runlens.llm.staging import staged
 
 
+def least_below(edges: DataFrame) -> DataFrame:
+    """(w, m): the smallest of the smaller neighbours of each upper end."""
+    return edges.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+
+
+def large_star(edges: DataFrame) -> DataFrame:
+    """Every upper end moves from its lower end to the smallest neighbour of that one."""
+    moved = edges.join(least_below(edges), F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v"))
+    return moved.distinct()
+
+
+def small_star(edges: DataFrame) -> DataFrame:
+    """Every id and its smaller neighbours hang on the smallest of them."""
+    hung = edges.join(least_below(edges), F.col("u") == F.col("w"))
+    ends = hung.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+    return ends.where("u != v").distinct()
+
+
+def all_stars(edges: DataFrame) -> bool:
+    """Whether every id is either a centre or hangs on one centre."""
+    roles = F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")),
+                    F.struct(F.col("v").alias("id"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    ids = edges.select(F.inline(roles)).groupBy("id").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return ids.where("hangs > 1 OR (hangs = 1 AND holds = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, label) of every end of a link (u, v); label is the smallest id that can be reached.
 
-    Each round takes the smallest label among the neighbours and then the label of that label. Star-like groups
-    take a few rounds; where small ids lie far apart on a path, the rounds grow with the distance between
-    them. Every round is a written table. Links from an id to itself and repeated links change nothing; without
-    links there are no rows.
+    Links first become a star around the smallest of each id's smaller neighbours, so a group of n ids that share
+    leads has few more than n links from then on. Large and small stars then alternate until only stars are left; rounds
+    grow with the logarithm of a path's length. Every round is a written table. Links from an id to itself and
+    repeated links change nothing; without links there are no rows.
     """
-    both = staged(
-        links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links"
-    )
-    labels = staged(
-        both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("label")),
-        "labels",
+    ends = staged(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "links")
+    edges = staged(small_star(ends.where("u != v").distinct()), "edges")
+    while not all_stars(edges):
+        edges = staged(small_star(large_star(edges)), "edges")
+    ids = ends.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    return staged(
+        ids.join(edges, F.col("id") == F.col("u"), "left").select("id", F.coalesce("v", "id").alias("label")), "labels"
     )
-    while True:
-        near = both.join(labels, F.col("v") == F.col("id")).groupBy(F.col("u").alias("id")).agg(F.min("label").alias("m"))
-        lower = staged(
-            labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "m").alias("label")), "labels"
-        )
-        of_label = lower.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        jumped = staged(
-            lower.join(of_label, "label").select("id", F.col("next").alias("label"), (F.col("next") < F.col("old")).alias("fell")),
-            "labels",
-        )
-        labels = jumped.select("id", "label")
-        if not jumped.where("fell").take(1):
-            return labels

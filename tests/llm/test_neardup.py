@@ -97,6 +97,49 @@ def test_long_chain_of_links(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 70: 70, 71: 70}
 
 
+def test_rounds_are_logarithmic(spark, monkeypatch):
+    from runlens.llm import components as module
+
+    rounds = []
+    star = module.large_star
+    monkeypatch.setattr(module, "large_star", lambda edges: rounds.append(1) or star(edges))
+    order = list(range(10_000))
+    random.Random(4).shuffle(order)
+    links = spark.createDataFrame(list(zip(order, order[1:])), "u long, v long")
+    assert {r.label for r in components(links).collect()} == {0}
+    chain = spark.range(10_000).selectExpr("id AS u", "id + 1 AS v")
+    assert {r.label for r in components(chain).collect()} == {0}
+    assert len(rounds) <= 40
+
+
+def test_a_group_keeps_few_links(spark):
+    """n classes that share bands with several leads hang on stars of n - 1 links."""
+    from runlens.llm.components import small_star
+
+    leads = [(u, v) for u in range(40, 400) for v in range(u % 7, 40, 7)]
+    edges = spark.createDataFrame(leads, "u long, v long")
+    once = small_star(edges)
+    assert once.count() == 360 + 33 and small_star(once).count() <= 393
+
+
+def test_text_travels_between_blocks_only_where_needed(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 10)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(4000)}" for _ in range(120)]
+    rows = [(i, varied(rng, base, 0.003)) for i in range(60)]
+    sent = []
+    list_for = neardup.shortlisted
+
+    def told(paired, best):
+        found = list_for(paired, best)
+        sent.append((paired.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(neardup, "shortlisted", told)
+    assert found(spark, rows)[0] == brute(rows)
+    assert len(sent) == 2 and 0 < sent[0][1] < sent[0][0] / 2 and sent[1][1] == 0
+
+
 def test_pruning_keeps_what_is_similar_enough():
     least = neardup.least_matches()
     rng = np.random.default_rng(1)
