@@ -23,18 +23,21 @@ SCALE = 1024
 BLOCK, QUERIES = 4096, 512
 #: Shares of the rotated dimensions that the partial sums take in, one after another.
 HEADS = (0.25, 0.5, 0.75, 1.0)
+#: The sum of outer products is collected: 134 MB at this many dimensions.
+MOST_DIMENSIONS = 4096
 #: Doubles add whole numbers exactly below this.
 EXACT = 2.0**53
+#: Columns of a scored pair.
+PAIR = ("query_row", "query_id", "vec_id", "vec_row", "score")
 #: Rounding of the rotated bounds, relative to the product of lengths.
 SLACK = 1e-9
 
 
 def whole_vectors(table: DataFrame, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, v): floor(SCALE * x) of each component; rows with a null or non-finite component or a null id go,
-    and so does an empty vector."""
+    """(id, v): floor(SCALE * x) of each component; rows with a null or non-finite component, vector or id go."""
     x = F.col(vector).cast("array<double>")
     finite = F.forall(x, lambda c: F.coalesce(c.between(-1.7976931348623157e308, 1.7976931348623157e308) & ~F.isnan(c), F.lit(False)))
-    rows = table.where(F.col(row_id).isNotNull() & F.col(vector).isNotNull() & finite & (F.size(vector) > 0))
+    rows = table.where(F.col(row_id).isNotNull() & F.col(vector).isNotNull() & finite)
     return rows.select(F.col(row_id).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * SCALE)).alias("v"))
 
 
@@ -50,6 +53,10 @@ def rotation(vectors: DataFrame, dimensions: int) -> np.ndarray:
         at = np.arange(dimensions * dimensions)
         yield pd.DataFrame({"at": at, "x": total.ravel()})
 
+    if dimensions > MOST_DIMENSIONS:
+        raise ValueError(f"{dimensions} dimensions; at most {MOST_DIMENSIONS} fit a driver")
+    if not dimensions:
+        return np.eye(0)
     gram = np.zeros(dimensions * dimensions)
     for r in vectors.mapInPandas(summed, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
         gram[r["at"]] = r["x"]
@@ -76,25 +83,25 @@ def exact_products(queries: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def best_of_block(queries: pd.DataFrame, others: pd.DataFrame, turn: np.ndarray, k: int) -> pd.DataFrame:
-    """The pairs of a block that may be among the k best of their query: (query_id, vec_id, score).
+    """The pairs of a block that may be among the k best of their query: (query_row, query_id, vec_id, vec_row, score).
 
-    ``queries`` has id, v and least, a score that k others reach (null if there is none yet).
+    ``queries`` has row, id, v and least, a score that k others reach (null if there is none yet).
     """
     if queries.empty or others.empty:
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        return pd.DataFrame({name: [] for name in PAIR})
     dimensions = len(turn)
-    others = others.sort_values("id", kind="stable")
-    ids, whole = others["id"].to_numpy(), matrix(others["v"], dimensions)
+    others = others.sort_values(["id", "row"], kind="stable")
+    ids, rows, whole = others["id"].to_numpy(), others["row"].to_numpy(), matrix(others["v"], dimensions)
     turned = whole.astype(float) @ turn
     length = np.linalg.norm(turned, axis=1)
     found = []
     for at in range(0, len(queries), QUERIES):
         part = queries.iloc[at : at + QUERIES]
-        q_ids, q_whole = part["id"].to_numpy(), matrix(part["v"], dimensions)
+        q_ids, q_rows, q_whole = part["id"].to_numpy(), part["row"].to_numpy(), matrix(part["v"], dimensions)
         q = q_whole.astype(float) @ turn
         slack = np.outer(np.linalg.norm(q, axis=1), length) * SLACK
         least = part["least"].astype(float).fillna(-np.inf).to_numpy()
-        alive, columns = q_ids[:, None] != ids[None, :], np.arange(len(ids))
+        alive, columns = q_rows[:, None] != rows[None, :], np.arange(len(ids))
         partial, done = np.zeros(alive.shape), 0
         for share in HEADS:
             head = max(1, round(dimensions * share))
@@ -110,63 +117,80 @@ def best_of_block(queries: pd.DataFrame, others: pd.DataFrame, turn: np.ndarray,
         row, column = np.nonzero(alive)
         column = columns[column]
         score = exact_products(q_whole[row], whole[column])
-        order = np.lexsort((ids[column], -score, row)) if score.dtype != object else np.array(
-            sorted(range(len(row)), key=lambda i: (row[i], -score[i], ids[column[i]])), int
+        order = np.lexsort((rows[column], ids[column], -score, row)) if score.dtype != object else np.array(
+            sorted(range(len(row)), key=lambda i: (row[i], -score[i], ids[column[i]], rows[column[i]])), int
         )
         row, column, score = row[order], column[order], score[order]
         first = np.searchsorted(row, row, side="left")
         top = np.arange(len(row)) - first < k
-        found.append(pd.DataFrame({"query_id": q_ids[row[top]], "vec_id": ids[column[top]], "score": score[top]}))
-    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        row, column = row[top], column[top]
+        kept = (q_rows[row], q_ids[row], ids[column], rows[column], score[top])
+        found.append(pd.DataFrame(dict(zip(PAIR, kept))))
+    return pd.concat(found)
 
 
-def compared(queries: DataFrame, others: DataFrame, blocks: range, parts: int, turn: np.ndarray, k: int) -> DataFrame:
-    """These blocks of ``others`` (block, id, v) with all ``queries`` (part, id, v, least), a part at a time."""
-    if not blocks:
-        return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
-    every_block = F.explode(F.sequence(F.lit(blocks[0]), F.lit(blocks[-1]))).alias("block")
+def compared(queries: DataFrame, others: DataFrame, parts: int, turn: np.ndarray, k: int) -> DataFrame:
+    """Blocks of ``others`` (block, row, id, v) with the queries (part, row, id, v, least, first, last) that name
+    them, a part of the queries at a time."""
+    blocks = F.when(F.col("first") <= F.col("last"), F.sequence("first", F.greatest("first", "last")))
+    left = queries.select(F.explode(blocks).alias("block"), "part", "row", "id", "v", "least")
     every_part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
-    left = queries.select(every_block, "part", "id", "v", "least").groupBy("block", "part")
-    right = others.where(F.col("block").between(blocks[0], blocks[-1])).select("block", every_part, "id", "v").groupBy("block", "part")
+    wanted = left.select("block", "part").distinct()
+    right = others.select("block", every_part, "row", "id", "v").join(wanted, ["block", "part"], "left_semi")
 
     def best(q: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
         return best_of_block(q, o, turn, k)
 
-    return left.cogroup(right).applyInPandas(best, "query_id long, vec_id long, score long")
+    pairs = ", ".join(f"{name} long" for name in PAIR)
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(best, pairs)
 
 
 def ranked(pairs: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def reached(length: Column, least: Column, longest: list[float]) -> Column:
+    """The last block whose longest vector can bring a query of this length to its least score; blocks fall in
+    length, so earlier ones can too."""
+    enough = lambda most: length * most * (1 + SLACK) >= least  # noqa: E731  Cauchy-Schwarz
+    passed = F.size(F.filter(F.lit(longest), enough)) - 1
+    return F.when(least.isNull(), len(longest) - 1).otherwise(passed)
+
+
 def top_products(table: DataFrame, is_query: Column, k: int = 10, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``is_query`` (of ``id``) holds, the k other rows of
     the highest whole-number inner product, ties to the smaller id; all, if there are fewer.
 
-    Rows with a null id or vector, a null or non-finite component or no component take no part. Vectors of
-    different length are filled with zeros. Ids should be unique: a row never meets a row of its own id, and
-    of repeated ids one row is used. Components and products must fit 64 bits.
+    Rows with a null id or vector or a null or non-finite component take no part. Vectors of different length, empty
+    ones too, are filled with zeros. Rows of one id are rows of their own: each is a query and a candidate, also
+    for the others of its id. Components and products must fit 64 bits. Only blocks whose longest vector can reach a
+    query's least score are sent to it.
     """
-    distinct = whole_vectors(table, row_id, vector).dropDuplicates(["id"])
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    vectors = staged(distinct.withColumn("length", length), "vectors")
+    found = whole_vectors(table, row_id, vector).withColumns({"length": length, "row": F.monotonically_increasing_id()})
+    vectors = staged(found, "vectors")
     seen = vectors.agg(F.max(F.size("v")).alias("dimensions"), F.count("*").alias("n")).first()
     if not seen.n:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     turn = rotation(vectors, seen.dimensions)
     blocks = -(-seen.n // BLOCK)
-    by_length = vectors.repartitionByRange(blocks, F.desc("length"), "id").withColumn("block", F.spark_partition_id())
-    others = staged(by_length.select("block", "id", "v"), "by-length")
-    asked = vectors.where(is_query).withColumn("least", F.lit(None).cast("long"))
-    last = others.agg(F.max("block")).first()[0]
+    by_length = vectors.repartitionByRange(blocks, F.desc("length"), "row").withColumn("block", F.spark_partition_id())
+    others = staged(by_length.select("block", "row", "id", "v", "length"), "by-length")
+    # One number a block of thousands of vectors; a block that got no rows has length 0.
+    tops = {r.block: r.most for r in others.groupBy("block").agg(F.max("length").alias("most")).collect()}
+    start = min(tops)
+    longest = [tops.get(b, 0.0) for b in range(max(tops) + 1)]
+    longest = [max(longest[b:]) for b in range(len(longest))]
     parts = -(-seen.n // (BLOCK * 16))
-    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part")
-    queries = staged(asked.select(part, "id", "v", "least"), "queries")
-    first = staged(compared(queries, others, range(1), parts, turn, k), "longest")
-    least = ranked(first, k).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)
-    informed = queries.drop("least").join(least.select(F.col("query_id").alias("id"), "least"), "id", "left")
-    more = compared(informed, others, range(1, last + 1), parts, turn, k)
+    part = F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part")
+    queries = staged(vectors.where(is_query).select(part, "row", "id", "v", "length"), "queries")
+    asked = queries.withColumns({"least": F.lit(None).cast("long"), "first": F.lit(start), "last": F.lit(start)})
+    first = staged(compared(asked, others, parts, turn, k), "longest")
+    least = ranked(first, k).groupBy("query_row").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)
+    informed = queries.join(least.select(F.col("query_row").alias("row"), "least"), "row", "left")
+    informed = informed.withColumns({"first": F.lit(start + 1), "last": reached(F.col("length"), F.col("least"), longest)})
+    more = compared(informed, others, parts, turn, k)
     return ranked(first.unionByName(more), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -12,13 +12,14 @@ SCHEMA = "vec_id long, embedding array<float>, score string"
 
 
 def brute(rows, k, every):
-    whole = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v, _ in rows
-             if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    """All pairs of different rows, rows of one id included."""
+    whole = [(n, i, [math.floor(1024 * float(np.float32(x))) for x in v]) for n, (i, v, _) in enumerate(rows)
+             if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in whole:
+    for n, q, a in whole:
         if q % every == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if i != q)[:k]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, i, b in whole if m != n)[:k]
+            out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scores)]
     return sorted(out)
 
 
@@ -33,6 +34,7 @@ def test_equals_all_products(spark, monkeypatch, block):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=8) * rng.choice([0.01, 1, 30])], "clash") for i in range(150)]
     rows += [(200 + i, rows[3][1], "copy") for i in range(30)]  # ties
+    rows += [(140, rows[7][1], "repeated"), (140, rows[0][1], "repeated"), (3, rows[3][1], "repeated"), (330, [], "empty")]
     rows += [(300, None, ""), (301, [], ""), (302, [1.0, None], ""), (303, [float("nan")] * 8, ""), (304, [float("inf")] * 8, ""),
              (None, [1.0] * 8, ""), (310, [0.0] * 8, ""), (320, [2.0, 3.0], "short")]
     assert found(spark, rows, 10, 10) == brute(rows, 10, 10)
@@ -49,3 +51,26 @@ def test_large_components_stay_exact():
     rng = np.random.default_rng(1)
     a, b = rng.integers(-(2**30), 2**30, (5, 16)), rng.integers(-(2**30), 2**30, (5, 16))
     assert topk.exact_products(a, b).tolist() == [sum(x * y for x, y in zip(p, q)) for p, q in zip(a.tolist(), b.tolist())]
+
+
+def test_blocks_out_of_reach_are_not_sent(spark, monkeypatch):
+    """A few long vectors settle the queries; the many short ones never meet them."""
+    monkeypatch.setattr(topk, "BLOCK", 20)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=6) * (100 if i < 60 else 0.01)], "") for i in range(400)]
+    rows = [(i, [abs(x) for x in v], s) for i, v, s in rows]
+    sent = []
+    compare = topk.compared
+
+    def told(queries, *rest):
+        sent.append(queries.selectExpr("sum(greatest(last - first + 1, 0)) AS n").first().n)
+        return compare(queries, *rest)
+
+    monkeypatch.setattr(topk, "compared", told)
+    assert found(spark, rows, 5, 40) == brute(rows, 5, 40)
+    assert sent[0] == 10 and sent[1] <= 10 * 6
+
+
+def test_only_empty_vectors(spark):
+    rows = [(0, [], ""), (1, [], ""), (2, None, "")]
+    assert found(spark, rows, 3, 1) == brute(rows, 3, 1)
