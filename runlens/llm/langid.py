@@ -28,8 +28,9 @@ BITS_PER_DOUBLING = 12
 CHUNK = 1 << 15
 #: Texts whose two best languages are closer than this (difference of scores) are ambiguous.
 CLOSE = 0.1
-#: A corpus rejects texts that score less.
-LEAST_SCORE = 0.3
+#: A corpus rejects texts less likely than this: so far from what unrelated trigrams get, towards the likelihood a
+#: trigram that all but a few texts of the language reach.
+UNLIKE, FEW = 0.5, 0.002
 
 _LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -66,12 +67,31 @@ def codewords(languages: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """languages: names in order; code: +1/-1; weights: bucket x bit; trust: language x bit, rows sum to 1."""
+    """languages: names in order; code: +1/-1; weights: bucket x bit; trust: language x bit, rows sum to 1.
+
+    With a calibrated bound also likely: bucket x language, log-likelihood of a trigram; least: the mean of it
+    that a text of the language has at least.
+    """
 
     languages: list[str]
     code: np.ndarray
     weights: np.ndarray
     trust: np.ndarray
+    likely: np.ndarray | None = None
+    least: np.ndarray | None = None
+
+    def likelihood(self, text: str) -> np.ndarray:
+        """Mean log-likelihood of the text's trigrams in each language."""
+        total, count = np.zeros(len(self.languages)), 0
+        for buckets in trigram_buckets(text):
+            total += self.likely[buckets].sum(axis=0, dtype=np.float64)
+            count += len(buckets)
+        return total / max(count, 1)
+
+    def belongs(self, text: str) -> bool:
+        """Whether the text is likely enough in the language it is decoded to."""
+        language = self.languages.index(self.decode(self.margins(text))[0])
+        return bool(self.likelihood(text)[language] >= self.least[language])
 
     def margins(self, text: str) -> np.ndarray:
         total, count = np.zeros(self.code.shape[1]), 0
@@ -104,9 +124,10 @@ def sampled(rows: DataFrame, row_id: str, most: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.col(row_id).cast("string")), F.lit(1_000_003)) < int(share * 1_000_003))
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, bounded: bool = False) -> Model:
     """Fit on (doc_id, text, lang); rows with a null text or language are left out. What comes to the
-    driver is one count per language and bucket, and one mean per language and bit."""
+    driver is one count per language and bucket, and one mean per language and bit; with ``bounded`` also one
+    quantile per language, from which the least likelihood follows."""
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sample = staged(sampled(usable, "doc_id", sample_rows), "langid-sample")
 
@@ -127,13 +148,15 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     )
     languages = sorted({r.lang for r in rows})
     code = codewords(len(languages))
-    if not code.shape[1]:
-        return Model(languages, code, np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros((len(languages), 0)))
     place = {name: k for k, name in enumerate(languages)}
     counts = np.zeros((len(languages), 1 << BUCKET_BITS))
     for r in rows:
         counts[place[r.lang], r.bucket] += r.n
     share = (counts + 0.05) / (counts + 0.05).sum(axis=1, keepdims=True)
+    likely = np.log(share).T.astype(np.float32) if bounded else None
+    if not code.shape[1]:
+        model = Model(languages, code, np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros((len(languages), 0)), likely)
+        return with_least(model, sample) if bounded else model
     ones = (code > 0).astype(float)
     log = lambda on: np.log((on / on.sum(axis=0)).T @ share).T  # noqa: E731  a language counts once, however many rows it has
     model = Model(languages, code, (log(ones) - log(1 - ones)).astype(np.float32), np.zeros(0))
@@ -158,6 +181,28 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
         size[bit] = max(float(np.mean(found)), 1e-9)
     model.weights = (model.weights / size).astype(np.float32)
     model.trust = trust / trust.sum(axis=1, keepdims=True)
+    model.likely = likely
+    return with_least(model, sample) if bounded else model
+
+
+def with_least(model: Model, sample: DataFrame) -> Model:
+    """The model with the least mean log-likelihood of each language, calibrated on the training rows."""
+    if not model.languages:
+        return model
+    place = {name: k for k, name in enumerate(model.languages)}
+
+    def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            own = [model.likelihood(t)[place[x]] for t, x in zip(frame["text"], frame["lang"])]
+            yield pd.DataFrame({"lang": frame["lang"], "own": np.array(own, float)})
+
+    lettered = sample.where(F.col("text").rlike(r"\p{L}"))
+    rows = lettered.mapInPandas(told, "lang string, own double").groupBy("lang").agg(F.percentile_approx("own", FEW, 10_000).alias("q"))
+    unrelated = model.likely.mean(axis=0, dtype=np.float64)
+    model.least = unrelated.copy()
+    for r in rows.collect():
+        k = place[r.lang]
+        model.least[k] += UNLIKE * max(0.0, r.q - unrelated[k])
     return model
 
 
@@ -173,10 +218,16 @@ def predicted(text: Column, model: Model) -> Column:
     return decoded(text)
 
 
-def accepted(text: Column, model: Model, least: float = LEAST_SCORE) -> Column:
-    """Whether a text has a language: some letter, and a score that is better than a guess."""
+def accepted(text: Column, model: Model) -> Column:
+    """Whether a text belongs to a language: some letter, and trigrams as likely as the model's bound asks for."""
     lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    return F.when(lettered, predicted(F.when(lettered, text), model)["score"] >= least).otherwise(False)
+
+    @F.pandas_udf("boolean")
+    def belongs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([bool(t) and model.belongs(t) for t in batch], dtype=bool)
+
+    return F.when(lettered, belongs(F.when(lettered, text))).otherwise(False)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

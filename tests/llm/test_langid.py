@@ -19,7 +19,7 @@ def test_folds_follow_crc32(spark):
 
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(DOCUMENTS).withColumn("held", langid.in_fold("doc_id", 3, 1))
-    model = langid.fit(docs.where(~F.col("held")))
+    model = langid.fit(docs.where(~F.col("held")), bounded=True)
     got = langid.identify(docs.where("held"), model)
     assert got.columns == [*docs.columns, "lang_pred", "score", "ambiguous"]
     rows = got.collect()
@@ -60,3 +60,27 @@ def test_margins_do_not_depend_on_chunks(spark, monkeypatch):
     whole = np.concatenate(list(langid.trigram_buckets(text)))
     monkeypatch.setattr(langid, "CHUNK", 7)
     assert (np.concatenate(list(langid.trigram_buckets(text))) == whole).all()
+
+
+def test_foreign_texts_and_noise_are_rejected(spark):
+    docs = spark.read.parquet(DOCUMENTS)
+    foreign = [
+        "Это совершенно другой язык, которого нет в корпусе", "これは日本語の文章です。漢字とかな", "zxqj kkvw qqqq xzzk vvwq jjqx kkzx",
+        "Ελληνικά γράμματα σε ένα κείμενο", "x" * 500,
+    ]
+    texts = spark.createDataFrame([(t,) for t in foreign], "text string")
+    for languages in (["en", "de"], ["en"], ["en", "de", "fr", "es"]):
+        model = langid.fit(docs.where(F.col("lang").isin(languages)), bounded=True)
+        assert texts.where(langid.accepted(F.col("text"), model)).count() == 0
+        own = docs.where(F.col("lang").isin(languages))
+        assert own.where(langid.accepted(F.col("text"), model)).count() >= 0.995 * own.count()
+    odd = spark.createDataFrame([(None,), ("",), ("12 !",)], "text string")
+    assert odd.where(langid.accepted(F.col("text"), model)).count() == 0
+    assert odd.where("false").where(langid.accepted(F.col("text"), model)).count() == 0
+
+
+def test_repeated_rows_are_judged_alike(spark):
+    docs = spark.read.parquet(DOCUMENTS).limit(50)
+    model = langid.fit(spark.read.parquet(DOCUMENTS))
+    twice = langid.identify(docs.unionByName(docs), model).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("score").alias("k"))
+    assert all(r.n == 2 and r.k == 1 for r in twice.collect())
