@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Texts are handed to the tokenizer in groups of about so many characters.
-GROUP_CHARS = 1 << 20
+#: Texts are handed to the tokenizer in groups of about so many bytes.
+GROUP_BYTES = 1 << 20
 #: Encoded pieces a worker remembers (twice so many at most), and the longest piece worth remembering.
 #: Only speed depends on them.
 REMEMBERED = 700_000
@@ -174,13 +174,13 @@ class Encoder:
 
 
 def _groups(texts: list[str]) -> Iterator[list[str]]:
-    """Consecutive texts, about GROUP_CHARS characters at a time."""
+    """Consecutive texts, about GROUP_BYTES of UTF-8 at a time."""
     group: list[str] = []
     size = 0
     for text in texts:
         group.append(text)
-        size += len(text)
-        if size >= GROUP_CHARS:
+        size += len(text) if text.isascii() else len(text.encode())
+        if size >= GROUP_BYTES:
             yield group
             group, size = [], 0
     if group:

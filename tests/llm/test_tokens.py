@@ -31,6 +31,16 @@ def test_pieces_encode_to_the_same_ids(text):
     assert got == library().encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab' .\n\t 　\x85\x1c​é²39!,<|endoftext|>s"), max_size=40), max_size=4))
+def test_words_gather_to_the_same_ids(texts):
+    """Also right after words were forgotten."""
+    use = packing.text_ids("byte_bpe_50k.json", 20)
+    got = [np.frombuffer(x, "<u4").tolist() for x in use(texts)]
+    model = library()
+    assert got == [model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_counts_equal_the_library(spark, name):
     docs = spark.createDataFrame([(i, t, "old", "s") for i, t in ODD], SCHEMA)
