@@ -78,17 +78,19 @@ def merge_tile_results(tiles: DataFrame, results: DataFrame, keep: int = 10) ->
     """One row per tile that has a result: position and the first ``keep`` values.
 
     The merged result stays a table keyed by (image_id, tile_id) instead of one nested row per
-    image, so a huge image is spread over tasks; ``num_tiles`` is the size of its grid.
+    image, so a huge image is spread over tasks; ``num_tiles`` is the size of its grid. Both sides are
+    shuffled: Spark takes a grid for as small as its images and would gather it on the driver to broadcast it.
     """
-    found = results.filter(F.col("result").isNotNull()).select("image_id", "tile_id", "result")
-    return tiles.join(found, ["image_id", "tile_id"], "inner").select(
+    kept = truncate_vector(F.col("result"), keep).alias("result")
+    found = results.filter(F.col("result").isNotNull()).select("image_id", "tile_id", kept)
+    return tiles.hint("merge").join(found, ["image_id", "tile_id"], "inner").select(
         "image_id",
         "tile_id",
         "x",
         "y",
         "w",
         "h",
-        truncate_vector(F.col("result"), keep).alias("result"),
+        "result",
         "num_tiles",
     )
 

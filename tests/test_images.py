@@ -81,6 +81,14 @@ def test_merge_drops_missing_results(spark):
     assert len(got) == 1 and got[0].result == [float(i) for i in range(10)] and got[0].num_tiles == 2
 
 
+def test_merge_gathers_no_grid_on_the_driver(spark):
+    grid = tiles.tile_grid(sizes(spark, (400, 400)), 4, 0.0)
+    results = spark.range(10_000).selectExpr("0 AS image_id", "int(id) AS tile_id", "array(float(id)) AS result")
+    merged = tiles.merge_tile_results(grid, results)
+    assert merged.count() == 10_000 and merged.filter("result[0] != tile_id OR num_tiles != 10000").isEmpty()
+    assert "Broadcast" not in merged._jdf.queryExecution().executedPlan().toString()
+
+
 def picture(rng, h, w, c=3):
     return rng.integers(0, 256, (h, w, c), dtype=np.uint8)
 
