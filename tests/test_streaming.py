@@ -265,3 +265,19 @@ def test_open_sessions_and_batches_are_finished(spark, timed_folder):
     done = spark.createDataFrame([(2, 0, "c", "complete")], "batch_id long, sub_batch_id long, result string, status string")
     finished = stateful.with_open_batches(done, parts)
     assert rows(finished, *finished.columns) == [(1, 0, "b", "timeout"), (2, 0, "c", "complete")]
+
+
+def test_a_table_may_be_a_file_or_a_folder(spark, tmp_path):
+    import duckdb
+
+    from tests.oracle import difference
+    from workload import ORACLES, QUERIES
+
+    given = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    given.repartition(3).write.parquet(str(tmp_path / "folder" / "conversations.parquet"))
+    (tmp_path / "file").mkdir()
+    given.toPandas().to_parquet(tmp_path / "file" / "conversations.parquet")
+    for kind, files in (("folder", "/*.parquet"), ("file", "")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/{kind}/conversations.parquet{files}'")
+        assert difference(QUERIES["live_reassemble"](spark, str(tmp_path / kind)), con, ORACLES["live_reassemble"]) is None
