@@ -62,7 +62,9 @@ def mark_auto_warmup(df: DataFrame, keys: list[str], order: str, n: int) -> Data
     return null_safe_join(df, last, keys, "left").withColumn("phase", phase).drop("_last")
 
 
-def _moments(name: str, weight: str | None = None) -> list[Column]:
+def _moments(name: str, weight: str | None = None, exact: bool = False) -> list[Column]:
+    """With ``exact`` sum and mean are those of the milliseconds taken to nine decimals, added without rounding, so
+    they do not depend on the order of rows; a group with a value that is no such number is added as doubles."""
     value = f"_ms_{name}"
     found = {
         "avg": f"avg({value})",
@@ -72,6 +74,10 @@ def _moments(name: str, weight: str | None = None) -> list[Column]:
         "sum": f"sum({value})",
         "count": f"count({value})",
     }
+    if exact:
+        decimal = f"try_cast({value} AS DECIMAL(28, 9))"
+        total = f"if(count({decimal}) = count({value}), CAST(sum({decimal}) AS DOUBLE), sum({value}))"
+        found.update(avg=f"try_divide({total}, CAST(count({value}) AS DOUBLE))", sum=total)
     if weight:
         total, count = f"sum({value} * {weight})", f"sum(if({value} IS NULL, 0, {weight}))"
         # Deviations from the group's mean: a difference of large squares would cancel.
@@ -100,6 +106,7 @@ def _distributions(
     large_group: int = LARGE_GROUP,
     weight: str | None = None,
     sizes: DataFrame | None = None,
+    exact: bool = False,
 ) -> DataFrame:
     """One struct of statistics per named value and group; one pass when no group is large.
 
@@ -115,7 +122,7 @@ def _distributions(
         prepared = null_safe_join(prepared, prepared.groupBy(*keys).agg(*means), keys, "left")
     aggs = list(extra or [])
     for name in values:
-        aggs += _moments(name, weight)
+        aggs += _moments(name, weight, exact)
     large = large_groups(df if sizes is None else sizes, keys, large_group)
     if large is not None:
         known = sized(large.frame, large.groups)
@@ -143,9 +150,13 @@ def _distributions(
 def stage_stats(
     df: DataFrame, keys: list[str], seconds: str, large_group: int = LARGE_GROUP
 ) -> DataFrame:
-    """avg, min, max, population std, p50/p95/p99, sum (milliseconds) and count per group."""
+    """avg, min, max, population std, p50/p95/p99, sum (milliseconds) and count per group.
+
+    Sum and mean are exact for milliseconds of up to nine decimals, in any order of the rows.
+    """
     df, group = with_keys(df, keys)
-    stats = _distributions(df, group, {"stats": to_ms(F.col(seconds))}, large_group=large_group)
+    values = {"stats": to_ms(F.col(seconds))}
+    stats = _distributions(df, group, values, large_group=large_group, exact=True)
     return stats.select(*keys, "stats.*")
 
 

@@ -32,6 +32,16 @@ def test_single_latency_and_no_latency(spark):
     assert (empty.avg, empty.sum, empty["count"]) == (0, 0, 0)
 
 
+def test_sums_do_not_depend_on_the_order_of_rows(spark):
+    values = [1e12, -1e12] + [0.0003] * 1000
+    for ordered in (values, values[::-1], values[1:] + values[:1]):
+        got = timing.stage_stats(latencies(spark, ordered).coalesce(1), ["run_id"], "s").first()
+        assert (got["sum"], got["avg"], got["count"]) == (300.0, 300.0 / 1002, 1002)
+    odd = timing.stage_stats(latencies(spark, [0.01, float("inf")]), ["run_id"], "s").first()
+    assert odd["sum"] == odd["avg"] == float("inf")
+    assert timing.stage_stats(latencies(spark, [1e30, 1e30]), ["run_id"], "s").first()["sum"] == pytest.approx(2e33)
+
+
 def test_global_statistics(spark):
     got = timing.stage_stats(latencies(spark, [0.01, 0.03]), [], "s").collect()
     assert len(got) == 1 and got[0].avg == pytest.approx(20)

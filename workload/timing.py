@@ -42,11 +42,14 @@ def attempts(spark, sf_dir):
     )
 
 
-def _stats_sql(ms: str) -> str:
-    return f"""round(avg({ms}), 6) AS avg, round(min({ms}), 6) AS min, round(max({ms}), 6) AS max,
+def _stats_sql(ms: str, exact: bool = False) -> str:
+    """With ``exact`` values are added as decimals: a sum of doubles leaves its last digits to the order of rows."""
+    total = f"sum(({ms})::DECIMAL(28, 9))::DOUBLE" if exact else f"sum({ms})"
+    mean = f"{total} / count(*)" if exact else f"avg({ms})"
+    return f"""round({mean}, 6) AS avg, round(min({ms}), 6) AS min, round(max({ms}), 6) AS max,
       round(stddev_pop({ms}), 6) AS std, round(quantile_cont({ms}, 0.5), 6) AS p50,
       round(quantile_cont({ms}, 0.95), 6) AS p95, round(quantile_cont({ms}, 0.99), 6) AS p99,
-      round(sum({ms}), 6) AS sum, count(*) AS count"""
+      round({total}, 6) AS sum, count(*) AS count"""
 
 
 def _wide_sql(stage: str) -> str:
@@ -95,7 +98,7 @@ def run_statistics(spark, sf_dir):
 
 
 @query(
-    f"SELECT run_id, device_id, {_stats_sql('execute_s * 1000')} "
+    f"SELECT run_id, device_id, {_stats_sql('execute_s * 1000', exact=True)} "
     "FROM timing_v GROUP BY run_id, device_id"
 )
 def stage_stats(spark, sf_dir):
