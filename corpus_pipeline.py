@@ -17,7 +17,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep texts that belong to a language the documents are in. The model learns from the documents with a given
+    """Keep texts that belong to a language the documents are in. The model learns from all documents with a given
     language; without any, every text with a letter stays. Null texts and texts without a letter go, repeated
     rows are judged alike, no rows give no rows."""
     model = langid.fit(docs, bounded=True)

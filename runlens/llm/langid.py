@@ -17,10 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.staging import staged
+from runlens.operators.quantiles import selected_percentiles
 
 BUCKET_BITS = 15
-#: The classifiers are fitted on about so many labelled rows, chosen by a hash of their ids; all if fewer.
-SAMPLE_ROWS = 12_000
 #: Up to so many languages get every possible bit; more get random bits, this many per doubling.
 EXHAUSTIVE_LANGUAGES = 5
 BITS_PER_DOUBLING = 12
@@ -45,6 +44,16 @@ def trigram_buckets(text: str) -> Iterator[np.ndarray]:
         yield (code * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)
 
 
+def means(text: str, *tables: np.ndarray) -> list[np.ndarray]:
+    """Mean over the text's trigrams of their rows in each table."""
+    totals, count = [np.zeros(table.shape[1]) for table in tables], 0
+    for buckets in trigram_buckets(text):
+        for total, table in zip(totals, tables):
+            total += table[buckets].sum(axis=0, dtype=np.float64)
+        count += len(buckets)
+    return [total / max(count, 1) for total in totals]
+
+
 def codewords(languages: int) -> np.ndarray:
     """One row of +1/-1 per language: all splits in two for a few languages, else the random
     columns (of a fixed seed) whose closest two rows differ most."""
@@ -80,25 +89,14 @@ class Model:
     likely: np.ndarray | None = None
     least: np.ndarray | None = None
 
-    def likelihood(self, text: str) -> np.ndarray:
-        """Mean log-likelihood of the text's trigrams in each language."""
-        total, count = np.zeros(len(self.languages)), 0
-        for buckets in trigram_buckets(text):
-            total += self.likely[buckets].sum(axis=0, dtype=np.float64)
-            count += len(buckets)
-        return total / max(count, 1)
+    def margins(self, text: str) -> np.ndarray:
+        return means(text, self.weights)[0]
 
     def belongs(self, text: str) -> bool:
         """Whether the text is likely enough in the language it is decoded to."""
-        language = self.languages.index(self.decode(self.margins(text))[0])
-        return bool(self.likelihood(text)[language] >= self.least[language])
-
-    def margins(self, text: str) -> np.ndarray:
-        total, count = np.zeros(self.code.shape[1]), 0
-        for buckets in trigram_buckets(text):
-            total += self.weights[buckets].sum(axis=0, dtype=np.float64)
-            count += len(buckets)
-        return total / max(count, 1)
+        margins, likelihood = means(text, self.weights, self.likely)
+        language = self.languages.index(self.decode(margins)[0])
+        return bool(likelihood[language] >= self.least[language])
 
     def decode(self, margins: np.ndarray) -> tuple[str, float, bool]:
         """Language, score, ambiguous; the first name wins a tie."""
@@ -116,20 +114,11 @@ def in_fold(row_id: str, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(F.col(row_id).cast("string"), F.lit(""))) % folds == fold
 
 
-def sampled(rows: DataFrame, row_id: str, most: int) -> DataFrame:
-    """All rows, or about ``most`` of them, chosen by a hash of the id."""
-    share = most / max(rows.count(), 1)
-    if share >= 1:
-        return rows
-    return rows.where(F.pmod(F.xxhash64(F.col(row_id).cast("string")), F.lit(1_000_003)) < int(share * 1_000_003))
-
-
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, bounded: bool = False) -> Model:
-    """Fit on (doc_id, text, lang); rows with a null text or language are left out. What comes to the
-    driver is one count per language and bucket, and one mean per language and bit; with ``bounded`` also one
-    quantile per language, from which the least likelihood follows."""
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sample = staged(sampled(usable, "doc_id", sample_rows), "langid-sample")
+def fit(labelled: DataFrame, bounded: bool = False) -> Model:
+    """Fit on every row of (text, lang); rows with a null text or language are left out. The rows are read twice,
+    counted and then tried. What comes to the driver is one count per language and bucket, and one mean per
+    language and bit; with ``bounded`` also one quantile per language, from which the least likelihood follows."""
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -143,67 +132,74 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, bounded: bool = Fal
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at]})
 
     rows = (
-        sample.mapInPandas(counted, "lang string, bucket long, n double")
+        usable.mapInPandas(counted, "lang string, bucket long, n double")
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     )
     languages = sorted({r.lang for r in rows})
     code = codewords(len(languages))
+    bits = code.shape[1]
     place = {name: k for k, name in enumerate(languages)}
     counts = np.zeros((len(languages), 1 << BUCKET_BITS))
     for r in rows:
         counts[place[r.lang], r.bucket] += r.n
     share = (counts + 0.05) / (counts + 0.05).sum(axis=1, keepdims=True)
-    likely = np.log(share).T.astype(np.float32) if bounded else None
-    if not code.shape[1]:
-        model = Model(languages, code, np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros((len(languages), 0)), likely)
-        return with_least(model, sample) if bounded else model
-    ones = (code > 0).astype(float)
-    log = lambda on: np.log((on / on.sum(axis=0)).T @ share).T  # noqa: E731  a language counts once, however many rows it has
-    model = Model(languages, code, (log(ones) - log(1 - ones)).astype(np.float32), np.zeros(0))
-
-    def margins(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    weights = np.zeros((1 << BUCKET_BITS, bits), np.float32)
+    if bits:
+        ones = (code > 0).astype(float)
+        log = lambda on: np.log((on / on.sum(axis=0)).T @ share).T  # noqa: E731  a language counts once, however many rows it has
+        weights = (log(ones) - log(1 - ones)).astype(np.float32)
+    model = Model(languages, code, weights, np.zeros(code.shape), np.log(share).T.astype(np.float32) if bounded else None)
+    if not languages or not (bits or bounded):
+        return model
+    tables = [model.weights, model.likely] if bounded else [model.weights]
+
+    def tried(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Of a batch one row per language and bit, and of each text with a letter its likelihood in its language.
         for frame in frames:
-            found = np.array([model.margins(t) for t in frame["text"]])
-            right = found * code[[place[x] for x in frame["lang"]]]
-            yield pd.DataFrame({
-                "lang": np.repeat(frame["lang"].to_numpy(), code.shape[1]),
-                "bit": np.tile(np.arange(code.shape[1]), len(frame)), "right": right.ravel(),
-            })
-
-    trust, size = np.full(code.shape, 0.5), np.ones(code.shape[1])
-    tried = sample.where(F.length("text") > 0).mapInPandas(margins, "lang string, bit long, right double")
-    told = tried.groupBy("lang", "bit").agg(F.avg((F.col("right") > 0).cast("double")).alias("hit"), F.avg(F.abs("right")).alias("size"))
+            found = [means(t, *tables) for t in frame["text"]]
+            lang = frame["lang"].map(place).to_numpy(np.int64)
+            right = np.array([f[0] for f in found]).reshape(len(frame), bits) * code[lang]
+            for k in np.unique(lang):
+                mine = right[lang == k]
+                yield pd.DataFrame({
+                    "lang": languages[k], "bit": np.arange(bits), "hits": (mine > 0).sum(axis=0).astype(float),
+                    "size": np.abs(mine).sum(axis=0), "n": len(mine), "own": None,
+                })
+            if bounded:
+                own = np.array([f[1][k] for f, k in zip(found, lang)], float)
+                lettered = frame["lettered"].to_numpy(bool)
+                yield pd.DataFrame({
+                    "lang": frame["lang"][lettered], "bit": None, "hits": None, "size": None, "n": None, "own": own[lettered],
+                })
+
+    texts = usable.where(F.length("text") > 0).withColumn("lettered", F.col("text").rlike(r"\p{L}"))
+    told = staged(texts.mapInPandas(tried, "lang string, bit long, hits double, size double, n long, own double"), "langid-tried")
+    if bounded:
+        model.least = least_likelihood(model, told.where(F.col("own").isNotNull()).select("lang", "own"))
+    if not bits:
+        return model
+    trust, size = np.full(code.shape, 0.5), np.ones(bits)
+    sums = told.where(F.col("bit").isNotNull()).groupBy("lang", "bit").agg(*(F.sum(c).alias(c) for c in ("hits", "size", "n")))
     sizes: dict[int, list[float]] = {}
-    for r in told.collect():
-        trust[place[r.lang], r.bit] = max(r.hit, 0.01)
-        sizes.setdefault(r.bit, []).append(r.size)
+    for r in sums.collect():
+        trust[place[r.lang], r.bit] = max(r.hits / r.n, 0.01)
+        sizes.setdefault(r.bit, []).append(r["size"] / r.n)
     for bit, found in sizes.items():
         size[bit] = max(float(np.mean(found)), 1e-9)
     model.weights = (model.weights / size).astype(np.float32)
     model.trust = trust / trust.sum(axis=1, keepdims=True)
-    model.likely = likely
-    return with_least(model, sample) if bounded else model
-
-
-def with_least(model: Model, sample: DataFrame) -> Model:
-    """The model with the least mean log-likelihood of each language, calibrated on the training rows."""
-    if not model.languages:
-        return model
-    place = {name: k for k, name in enumerate(model.languages)}
+    return model
 
-    def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            own = [model.likelihood(t)[place[x]] for t, x in zip(frame["text"], frame["lang"])]
-            yield pd.DataFrame({"lang": frame["lang"], "own": np.array(own, float)})
 
-    lettered = sample.where(F.col("text").rlike(r"\p{L}"))
-    rows = lettered.mapInPandas(told, "lang string, own double").groupBy("lang").agg(F.percentile_approx("own", FEW, 10_000).alias("q"))
+def least_likelihood(model: Model, own: DataFrame) -> np.ndarray:
+    """The least mean log-likelihood of each language, from (lang, own) of all training rows: what all but a few of
+    them reach is an exact quantile, by rank."""
     unrelated = model.likely.mean(axis=0, dtype=np.float64)
-    model.least = unrelated.copy()
-    for r in rows.collect():
-        k = place[r.lang]
-        model.least[k] += UNLIKE * max(0.0, r.q - unrelated[k])
-    return model
+    least = unrelated.copy()
+    for r in selected_percentiles(own, ["lang"], ["own"], (FEW,), groups=len(model.languages)).collect():
+        k = model.languages.index(r.lang)
+        least[k] += UNLIKE * max(0.0, r["_q_own"][0] - unrelated[k])
+    return least
 
 
 def predicted(text: Column, model: Model) -> Column:

@@ -84,3 +84,23 @@ def test_repeated_rows_are_judged_alike(spark):
     model = langid.fit(spark.read.parquet(DOCUMENTS))
     twice = langid.identify(docs.unionByName(docs), model).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("score").alias("k"))
     assert all(r.n == 2 and r.k == 1 for r in twice.collect())
+
+
+def test_every_row_is_learned_from(spark):
+    """Counts, weights and the bound follow from all rows: fitted in numpy and on many more rows than one batch."""
+    texts = {"en": "the house of words and winds ", "de": "das haus der worte und winde "}
+    rows = [(i, texts[lang] * 2 if i % 5000 else "odd " + "xq" * (i // 5000 + 1), lang) for i in range(1, 20_001) for lang in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(docs, bounded=True)
+    assert model.languages == ["de", "en"]
+    counts = np.zeros((2, 1 << langid.BUCKET_BITS))
+    known = {t: np.bincount(np.concatenate(list(langid.trigram_buckets(t))), minlength=1 << langid.BUCKET_BITS) for t in {r[1] for r in rows}}
+    for _, text, lang in rows:
+        counts[model.languages.index(lang)] += known[text]
+    share = (counts + 0.05) / (counts + 0.05).sum(axis=1, keepdims=True)
+    assert np.allclose(model.likely, np.log(share).T, atol=1e-5)
+    for k, lang in enumerate(model.languages):
+        likely = {t: langid.means(t, model.likely)[0][k] for t in known}
+        reached = np.quantile([likely[t] for _, t, x in rows if x == lang], langid.FEW)
+        unrelated = model.likely.mean(axis=0, dtype=np.float64)[k]
+        assert model.least[k] == pytest.approx(unrelated + langid.UNLIKE * max(0.0, reached - unrelated), abs=1e-6)
