@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from tests.oracle import TESTDATA, connect, difference
@@ -51,3 +52,16 @@ def test_hash_aggregation_for_latest_sample(spark):
 def test_only_read_columns_reach_the_scan(spark):
     plan = QUERIES["stage_stats_many_runs"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "l_shipdate" not in plan and "l_quantity" in plan
+
+
+def test_every_document_is_one_file_in_one_folder(spark, tmp_path):
+    from workload import sources
+
+    rows = spark.range(2_000).selectExpr("string(id) AS name", "id % 7 AS n")
+    documents = sources.by_document(rows, "name").agg(F.to_json(F.collect_list("name")).alias("value"))
+    sources.file_each(documents.select("value")).text(str(tmp_path / "documents"))
+    read = spark.read.text(str(tmp_path / "documents"), wholetext=True)
+    assert read.inputFiles() and not [p for p in (tmp_path / "documents").iterdir() if p.is_dir()]
+    found = read.select(F.input_file_name().alias("file"), F.from_json("value", "array<string>").alias("names")).collect()
+    assert len({r.file for r in found}) == len(found) == documents.count() <= 8
+    assert sorted(n for r in found for n in r.names) == sorted(str(i) for i in range(2_000))

@@ -129,6 +129,18 @@ def groups(rows):
     return max(1, -(-rows.count() // 250))
 
 
+def by_document(rows, key):
+    """Rows grouped by their document, documents dealt over all tasks of a shuffle: each becomes a file, which costs
+    the same however short it is, so a number of tasks that follows from bytes would be too small."""
+    document = F.pmod(F.xxhash64(key), F.lit(groups(rows)))
+    return spread(rows.withColumn("document", document), "document").groupBy("document")
+
+
+def file_each(documents):
+    """A writer that puts every row into a file of its own; all files lie in one folder, which is listed at once."""
+    return documents.write.mode("append").option("maxRecordsPerFile", 1)
+
+
 @query(
     """SELECT config_id, device_id, num_threads, CASE WHEN backend = 'other' THEN 'pil' ELSE backend END
         AS backend,
@@ -152,10 +164,9 @@ def read_run_configs(spark, sf_dir):
         ).alias("strategies"),
     )
     path = scratch_path(spark, "configs")
-    part = F.pmod(F.xxhash64("model_path"), F.lit(groups(documents))).alias("part")
-    whole = documents.groupBy(part).agg(F.to_json(F.collect_list(F.struct(*documents.columns))).alias("value"))
-    broken = spark.range(1).select(F.lit(-1).cast("bigint").alias("part"), F.lit('{"model_path": ').alias("value"))
-    whole.unionByName(broken).write.partitionBy("part").text(path)
+    whole = by_document(documents, "model_path").agg(F.to_json(F.collect_list(F.struct(*documents.columns))).alias("value"))
+    broken = spark.range(1).select(F.lit('{"model_path": ').alias("value"))
+    file_each(whole.select("value").unionByName(broken)).text(path)
     flat = config_source.flat_configs(config_source.read_run_configs(spark, path))
     return flat.select(
         F.col("model_path").try_cast("bigint").alias("config_id"),
@@ -186,9 +197,8 @@ def read_registry(spark, sf_dir):
         ("scenarios", scenarios(spark, sf_dir).drop("scenario_id")),
     ]
     for name, rows in parts:
-        document = F.pmod(F.xxhash64("name"), F.lit(groups(rows))).alias("document")
-        many = rows.groupBy(document).agg(F.collect_list(F.struct(*rows.columns)).alias(name))
-        many.write.mode("append").partitionBy("document").json(path)
+        many = by_document(rows, "name").agg(F.collect_list(F.struct(*rows.columns)).alias(name))
+        file_each(many.select(name)).json(path)
     found_models, found_devices, found_scenarios = config_source.read_registry(spark, path)
     return (
         found_models.select(F.lit("model").alias("kind"), "name", F.size("input_specs").alias("items"))
