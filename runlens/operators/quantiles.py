@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.operators.slicing import BROADCAST_ROWS, CENTRE, null_safe_join, sized
+from runlens.sources.shared import written
 
 PROBS = (0.5, 0.95, 0.99)
 LARGE_GROUP = 100_000
@@ -52,12 +53,15 @@ def selected_percentiles(
         *keys, times, F.expr(f"stack({len(columns)}, {pairs}) AS (_name, _v)")
     ).filter(F.col("_v").isNotNull())
     group = keys + ["_name"]
+    # Approximate bounds depend on the order in which partial results arrive, so they are written: counts of cells and
+    # rows of wanted cells must come from the same cells.
     bounds = (
         long.groupBy(*group)
         .agg(F.sum("_w").alias("_n"), F.percentile_approx("_v", CENTRE, F.lit(10_000)).alias("_c"))
         .select(*group, "_n", F.col("_c")[0].alias("_lo"), F.col("_c")[1].alias("_hi"))
         .withColumn("_cells", F.ceil(F.col("_n") * 10 / limit))
     )
+    bounds = written(bounds, "percentile-bounds")
     # Latencies crowd near their minimum and have a long tail, so the cells are
     # logarithmic. log1p never decreases, hence cells keep the order of values.
     reach = 1e6

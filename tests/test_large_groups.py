@@ -243,3 +243,14 @@ def test_one_huge_value_does_not_fill_a_cell(spark):
     df = spark.createDataFrame([("a", v) for v in values], "k string, v double")
     got = quantiles.selected_percentiles(df, ["k"], ["v"], limit=100).first()._q_v
     assert [round(x, 9) for x in got] == [round(float(x), 9) for x in np.percentile(values, [50, 95, 99])]
+
+
+def test_percentiles_hold_when_approximate_bounds_vary(spark, monkeypatch):
+    """Every evaluation of the bounds finds others, as on a cluster where partial results arrive in any order."""
+    moved = F.udf(lambda: random.SystemRandom().uniform(0, 200), "double").asNondeterministic()
+    monkeypatch.setattr(F, "percentile_approx", lambda column, *_: F.array(F.min(column) + moved(), F.max(column) - moved()))
+    values = [float(i % 3001) for i in range(12_000)]
+    df = spark.createDataFrame([("a", v) for v in values], "k string, v double")
+    want = pytest.approx(np.percentile(values, [50, 95, 99]))
+    for _ in range(3):
+        assert quantiles.selected_percentiles(df, ["k"], ["v"], limit=100).first()._q_v == want
