@@ -3,8 +3,8 @@
 Vectors become whole numbers and are rotated by the right singular vectors of all vectors, which gathers
 most of a product in the first dimensions. Candidates are cut into blocks by descending length. The block of the
 longest vectors gives each query a first threshold; every other block bounds its products by the partial
-sum over the first dimensions plus the product of the residual lengths, and only what may reach the
-threshold is multiplied in whole numbers.
+sum over the first dimensions plus the product of the residual lengths, and only vectors that may reach the
+threshold of some query are multiplied in whole numbers.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ SCALE = 1024
 BLOCK, QUERIES = 4096, 512
 #: Shares of the rotated dimensions that the partial sums take in, one after another.
 HEADS = (0.25, 0.5, 0.75, 1.0)
+#: Queries whose bounds are taken together.
+ASKED_AT_ONCE = 16
 #: The sum of outer products is collected: 134 MB at this many dimensions.
 MOST_DIMENSIONS = 4096
 #: Doubles add whole numbers exactly below this.
@@ -82,6 +84,26 @@ def exact_products(queries: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.array([sum(a * b for a, b in zip(q, o)) for q, o in zip(queries.tolist(), others.tolist())], object)
 
 
+def wanted(queries: np.ndarray, others: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The places of the others (rotated) that some query may bring to its least score: over growing heads, the partial
+    sum and the product of the lengths of the rest bound a product. One query is enough to keep another vector, so
+    the queries are asked a few at a time, and only about vectors that none has asked for yet."""
+    places = np.arange(len(others))
+    dimensions = others.shape[1]
+    for share in HEADS[:-1]:
+        head = max(1, round(dimensions * share))
+        rest_q, rest_o = np.linalg.norm(queries[:, head:], axis=1), np.linalg.norm(others[places, head:], axis=1)
+        asked = np.zeros(len(places), bool)
+        for at in range(0, len(queries), ASKED_AT_ONCE):
+            open_, few = np.flatnonzero(~asked), slice(at, at + ASKED_AT_ONCE)
+            if not len(open_):
+                break
+            most = queries[few, :head] @ others[places[open_], :head].T + np.outer(rest_q[few], rest_o[open_])
+            asked[open_] = (most >= least[few, None]).any(axis=0)
+        places = places[asked]
+    return places
+
+
 def best_of_block(queries: pd.DataFrame, others: pd.DataFrame, turn: np.ndarray, k: int) -> pd.DataFrame:
     """The pairs of a block that may be among the k best of their query: (query_row, query_id, vec_id, vec_row, score).
 
@@ -92,31 +114,25 @@ def best_of_block(queries: pd.DataFrame, others: pd.DataFrame, turn: np.ndarray,
     dimensions = len(turn)
     others = others.sort_values(["id", "row"], kind="stable")
     ids, rows, whole = others["id"].to_numpy(), others["row"].to_numpy(), matrix(others["v"], dimensions)
-    turned = whole.astype(float) @ turn
-    length = np.linalg.norm(turned, axis=1)
+    floats = whole.astype(float)
+    turned, longest = floats @ turn, np.linalg.norm(floats, axis=1).max()
     found = []
     for at in range(0, len(queries), QUERIES):
         part = queries.iloc[at : at + QUERIES]
         q_ids, q_rows, q_whole = part["id"].to_numpy(), part["row"].to_numpy(), matrix(part["v"], dimensions)
-        q = q_whole.astype(float) @ turn
-        slack = np.outer(np.linalg.norm(q, axis=1), length) * SLACK
-        least = part["least"].astype(float).fillna(-np.inf).to_numpy()
-        alive, columns = q_rows[:, None] != rows[None, :], np.arange(len(ids))
-        partial, done = np.zeros(alive.shape), 0
-        for share in HEADS:
-            head = max(1, round(dimensions * share))
-            partial += q[:, done:head] @ turned[columns, done:head].T
-            done = head
-            spread = slack + np.outer(np.linalg.norm(q[:, head:], axis=1), np.linalg.norm(turned[columns, head:], axis=1))
-            lower = np.where(alive, partial - spread, -np.inf)
-            if lower.shape[1] >= k:
-                least = np.maximum(least, np.partition(lower, -k, axis=1)[:, -k])
-            alive &= partial + spread >= least[:, None]
-            some = alive.any(axis=0)
-            alive, partial, slack, columns = alive[:, some], partial[:, some], slack[:, some], columns[some]
-        row, column = np.nonzero(alive)
-        column = columns[column]
-        score = exact_products(q_whole[row], whole[column])
+        q_floats = q_whole.astype(float)
+        most = np.linalg.norm(q_floats, axis=1) * longest
+        least = part["least"].astype(float).fillna(-np.inf).to_numpy() - most * SLACK
+        columns = wanted(q_floats @ turn, turned, least)
+        # Products of whole numbers: exact, whatever the order of addition, while lengths keep them below EXACT.
+        product = q_floats @ floats[columns].T
+        own = pd.Index(rows[columns]).get_indexer(q_rows)
+        product[own >= 0, own[own >= 0]] = -np.inf
+        if len(columns) >= k and np.isinf(least).any():
+            least = np.maximum(least, np.partition(product, -k, axis=1)[:, -k] - most * SLACK)
+        row, column = np.nonzero((product >= least[:, None]) & (product > -np.inf))
+        score, column = product[row, column], columns[column]
+        score = score.astype(np.int64) if most.max() < EXACT else exact_products(q_whole[row], whole[column])
         order = np.lexsort((rows[column], ids[column], -score, row)) if score.dtype != object else np.array(
             sorted(range(len(row)), key=lambda i: (row[i], -score[i], ids[column[i]], rows[column[i]])), int
         )
@@ -182,9 +198,10 @@ def top_products(table: DataFrame, is_query: Column, k: int = 10, row_id: str =
     start = min(tops)
     longest = [tops.get(b, 0.0) for b in range(max(tops) + 1)]
     longest = [max(longest[b:]) for b in range(len(longest))]
-    parts = -(-seen.n // (BLOCK * 16))
-    part = F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part")
-    queries = staged(vectors.where(is_query).select(part, "row", "id", "v", "length"), "queries")
+    queries = staged(vectors.where(is_query).select("row", "id", "v", "length"), "queries")
+    # Every part of the queries costs a copy of the other vectors.
+    parts = max(1, -(-queries.count() // (BLOCK * 16)))
+    queries = queries.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
     asked = queries.withColumns({"least": F.lit(None).cast("long"), "first": F.lit(start), "last": F.lit(start)})
     first = staged(compared(asked, others, parts, turn, k), "longest")
     least = ranked(first, k).groupBy("query_row").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)

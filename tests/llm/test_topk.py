@@ -74,3 +74,39 @@ def test_blocks_out_of_reach_are_not_sent(spark, monkeypatch):
 def test_only_empty_vectors(spark):
     rows = [(0, [], ""), (1, [], ""), (2, None, "")]
     assert found(spark, rows, 3, 1) == brute(rows, 3, 1)
+
+
+def test_few_queries_meet_every_vector_once(spark, monkeypatch):
+    """Copies of the vectors follow the number of queries, not the number of vectors."""
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    rng = np.random.default_rng(12)
+    rows = [(i, [float(x) for x in rng.normal(size=6)], "") for i in range(200)]
+    parts = []
+    compare = topk.compared
+
+    def told(queries, others, n, *rest):
+        parts.append(n)
+        return compare(queries, others, n, *rest)
+
+    monkeypatch.setattr(topk, "compared", told)
+    assert found(spark, rows, 5, 100) == brute(rows, 5, 100)
+    assert parts == [1, 1]
+
+
+@pytest.mark.parametrize("decay", [1.0, 0.6])
+def test_only_vectors_out_of_reach_are_dropped(decay):
+    rng = np.random.default_rng(13)
+    scale = decay ** np.arange(16)
+    queries, others = rng.normal(size=(40, 16)) * scale, rng.normal(size=(300, 16)) * scale
+    product = queries @ others.T
+    least = np.sort(product, axis=1)[:, -3] - 1e-9
+    kept = topk.wanted(queries, others, least)
+    assert set(np.flatnonzero((product >= least[:, None]).any(axis=0))) <= set(kept)
+    assert len(kept) < 300 if decay < 1 else len(kept) <= 300
+
+
+def test_products_beyond_doubles_are_ranked_exactly(spark):
+    """Scores near 2^58 that differ by less than doubles tell apart."""
+    rng = np.random.default_rng(14)
+    rows = [(i, [2.0**19, *(float(x) for x in rng.integers(-3, 4, 5))], "") for i in range(60)]
+    assert found(spark, rows, 7, 20) == brute(rows, 7, 20)
