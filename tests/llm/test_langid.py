@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -104,3 +105,40 @@ def test_every_row_is_learned_from(spark):
         reached = np.quantile([likely[t] for _, t, x in rows if x == lang], langid.FEW)
         unrelated = model.likely.mean(axis=0, dtype=np.float64)[k]
         assert model.least[k] == pytest.approx(unrelated + langid.UNLIKE * max(0.0, reached - unrelated), abs=1e-6)
+
+
+def test_texts_counted_together_are_all_counted(monkeypatch):
+    texts = ["", "a", "some words ", "ein langer Text mit äöü " * 9, "12 !"] * 5
+    want = np.zeros(1 << langid.BUCKET_BITS)
+    for text in texts:
+        for buckets in langid.trigram_buckets(text):
+            np.add.at(want, buckets, 1)
+    for together in (1, 50, 1 << 20):
+        monkeypatch.setattr(langid, "COUNTED", together)
+        assert (langid.bucket_counts(texts) == want).all()
+    assert not langid.bucket_counts([]).any()
+
+
+def test_texts_of_a_batch_are_decoded_as_one_by_one(spark):
+    docs = spark.read.parquet(DOCUMENTS)
+    model = langid.fit(docs)
+    texts = [r.text for r in docs.where("length(text) > 0").limit(40).collect()] + ["12 !", "x"]
+    margins = model.margins(texts)
+    for text, row, language, score, ambiguous in zip(texts, margins, *model.decode(margins)):
+        rows = [model.weights[b].astype(float) for b in langid.trigram_buckets(text)]
+        mean = sum(r.sum(axis=0) for r in rows) / max(1, sum(map(len, rows)))
+        assert row == pytest.approx(mean, abs=1e-9)
+        loss = [sum(t * math.log1p(math.exp(-c * m)) for t, c, m in zip(trust, code, mean)) for trust, code in zip(model.trust, model.code)]
+        likely = [math.exp(-x * model.code.shape[1]) for x in loss]
+        best = sorted(((-x / sum(likely), k) for k, x in enumerate(likely)))
+        assert (language, score) == (best[0][1], pytest.approx(-best[0][0]))
+        assert ambiguous == (best[1][0] - best[0][0] < langid.CLOSE)
+    assert [len(x) for x in model.decode(model.margins([]))] == [0, 0, 0]
+
+
+def test_texts_are_searched_for_letters_once(spark):
+    """The text goes to Python and is not kept for a second look."""
+    docs = spark.read.parquet(DOCUMENTS)
+    found = langid.identify(docs, langid.fit(docs)).select("doc_id", "lang_pred", "score")
+    plan = found._jdf.queryExecution().executedPlan().toString().lower()
+    assert plan.count("rlike") == 1
